@@ -95,3 +95,43 @@ def account_report(accounts: DataFrame, customers: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def campaign_report(customers: DataFrame, responses: DataFrame) -> DataFrame:
+    """Response rates overall and by region, gender, age group and income in one long table.
+
+    The customer rows with their yes and no counts are built once; each customer row then feeds
+    all dimensions in a single grouped pass.
+    """
+    from bankspark import fixed_values as V
+    from bankspark.functions.numbers import bin_left_closed, ratio
+    from bankspark.operators.campaign import merged_counts
+
+    merged = merged_counts(customers, responses)
+    age = bin_left_closed(F.col("age"), V.AGE_EDGES, V.AGE_LABELS)
+    dimensions = {
+        "overall": F.lit("all"),
+        "region": F.col("region"),
+        "gender": F.col("gender"),
+        "age_group": age,
+        "income": F.col("income").cast("decimal(18,2)").cast("string"),
+    }
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), c.alias("value")) for d, c in dimensions.items()])
+    counted = (
+        merged.select("_no", "_yes", F.inline(pairs))
+        .filter(F.col("value").isNotNull())
+        .groupBy("dimension", "value")
+        .agg(F.sum("_no").alias("no_response"), F.sum("_yes").alias("responded"))
+    )
+    # every age group has a row, also one that no customer falls into
+    bands = customers.sparkSession.createDataFrame(
+        [("age_group", label, 0, 0) for label in V.AGE_LABELS],
+        "dimension STRING, value STRING, no_response BIGINT, responded BIGINT",
+    )
+    complete = counted.unionByName(bands).groupBy("dimension", "value").agg(
+        F.sum("no_response").alias("no_response"), F.sum("responded").alias("responded")
+    )
+    total = F.col("no_response") + F.col("responded")
+    return complete.withColumn("total", total).withColumn(
+        "response_rate_pct", ratio(F.col("responded"), F.col("total")) * 100
+    )
