@@ -36,24 +36,23 @@ def average_ranks(df: DataFrame, score: str) -> DataFrame:
     return ranked.withColumn("avg_rank", F.col("n_upto") - (F.col("n") - 1) / 2).drop("n_upto")
 
 
-def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
-    return df.groupBy(score).agg(
+def _by_score(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
 
 
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve by the rank-sum formula; a higher score means label 1.
 
     Rows are first grouped by score, so ties and frequent scores collapse before anything is
     ordered.
     """
-    ranked = running_totals(_by_score(df, label, score), score, ["pos", "neg"])
+    ranked = running_totals(_by_score(df, label, score, by), score, ["pos", "neg"], by)
     below = F.col("neg_upto") - F.col("neg")
     wins = F.col("pos") * (below + F.col("neg") / 2)
-    return ranked.agg(
-        F.round(F.try_divide(F.sum(wins), (F.sum("pos") * F.sum("neg")).cast("double")), 9).alias("auc")
-    )
+    area = F.try_divide(F.sum(wins), (F.sum("pos") * F.sum("neg")).cast("double"))
+    return ranked.groupBy(*by).agg(F.round(area, 9).alias("auc"))
 
 
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -93,15 +92,7 @@ def confusion(df: DataFrame, label: str, score: str, by: Sequence[str] = (), cut
     )
 
 
-def compare_models(scores: dict[str, DataFrame], label: str, score: str) -> DataFrame:
-    """Accuracy, AUC, sensitivity and specificity of several models, one row each."""
-    out = None
-    for name, df in scores.items():
-        row = (
-            confusion(df, label, score)
-            .select("accuracy", "sensitivity", "specificity")
-            .withColumn("model", F.lit(name))
-            .join(auc(df, label, score).withColumn("model", F.lit(name)), "model")
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+def compare_models(df: DataFrame, model: str, label: str, score: str) -> DataFrame:
+    """Accuracy, AUC, sensitivity and specificity per model, from one long (model, label, score) frame."""
+    rates = confusion(df, label, score, [model]).select(model, "accuracy", "sensitivity", "specificity")
+    return rates.join(auc(df, label, score, [model]), model)

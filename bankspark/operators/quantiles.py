@@ -98,27 +98,30 @@ def _narrow(values: DataFrame, rank: int, n: int, whole, cuts) -> tuple[float, f
 
 
 def running_totals(
-    df: DataFrame, order: str, sums: Sequence[str], buckets: int = 256
+    df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int = 256
 ) -> DataFrame:
-    """Add ``<name>_upto`` columns: totals of ``sums`` over all rows up to ``order``.
+    """Add ``<name>_upto`` columns: totals of ``sums`` over all rows of the group up to ``order``.
 
-    ``order`` must be a unique numeric column (group by it first). Rows are cut into value ranges
-    by a sketch, each range is totalled, the few range totals are accumulated, and every range is
-    then finished by its own task. The result does not depend on where the cuts fall.
+    ``order`` must be numeric and unique within ``by`` (group by it first). Rows are cut into value
+    ranges by a sketch, each range is totalled, the few range totals are accumulated, and every
+    range is then finished by its own task. The result does not depend on where the cuts fall.
     """
+    by = list(by)
     grid = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), grid, _ACCURACY).alias("c")).first()["c"]
     splits = [-math.inf, *sorted(set(cuts or [])), math.inf]
     ranged = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(
         df.withColumn("_order", F.col(order).cast("double"))
     )
-    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}_range") for c in sums])
-    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most `buckets` rows
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}_range") for c in sums])
+    # at most `buckets` rows per group
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        "_range", *[F.coalesce(F.sum(f"_{c}_range").over(earlier), F.lit(0)).alias(f"_{c}_before") for c in sums]
+        *by, "_range",
+        *[F.coalesce(F.sum(f"_{c}_range").over(earlier), F.lit(0)).alias(f"_{c}_before") for c in sums],
     )
-    inside = W.partitionBy("_range").orderBy("_order")
-    out = ranged.join(F.broadcast(offsets), "_range")
+    inside = W.partitionBy(*by, "_range").orderBy("_order")
+    out = ranged.join(offsets, [*by, "_range"])
     for c in sums:
         out = out.withColumn(f"{c}_upto", F.sum(c).over(inside) + F.col(f"_{c}_before"))
     return out.drop("_range", "_order", *[f"_{c}_before" for c in sums])

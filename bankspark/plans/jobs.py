@@ -135,3 +135,36 @@ def campaign_report(customers: DataFrame, responses: DataFrame) -> DataFrame:
     return complete.withColumn("total", total).withColumn(
         "response_rate_pct", ratio(F.col("responded"), F.col("total")) * 100
     )
+
+
+def fraud_reports(flagged: DataFrame) -> DataFrame:
+    """Daily, per account, per location and overall fraud figures in one long table.
+
+    Flagged rows are summed once per (day, account, location); the four reports are sums of that.
+    """
+    from bankspark import fixed_values as V
+
+    day = F.col("transaction_date").cast("date").cast("string")
+    small = flagged.groupBy(day.alias("day"), "account_id", "location").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("fraud_flag").alias("_f"), F.sum(cents(F.col("amount"))).alias("_s")
+    )
+    pairs = F.array(
+        *[
+            F.struct(F.lit(report).alias("report"), c.alias("key"))
+            for report, c in [
+                ("daily", F.col("day")), ("account", F.col("account_id").cast("string")),
+                ("location", F.col("location")), ("all", F.lit("all")),
+            ]
+        ]
+    )
+    reports = (
+        small.select("_n", "_f", "_s", F.inline(pairs))
+        .groupBy("report", "key")
+        .agg(
+            F.sum("_n").alias("transactions"), F.sum("_f").alias("frauds"),
+            F.sum("_s").cast("double").alias("amount"),
+        )
+    )
+    return reports.filter(
+        (F.col("report") != "location") | (F.col("transactions") > V.MIN_LOCATION_TRANSACTIONS)
+    )
