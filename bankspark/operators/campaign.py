@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bankspark import fixed_values as V
 from bankspark.functions.numbers import cents, money_sum, percent, ratio
 from bankspark.functions.text import percent_label, yes_flag
-from bankspark.operators.joins import repeated_by
+from bankspark.operators.joins import lookup_join, repeated_by
 from bankspark.operators.profile import stack_rows
 from bankspark.operators.sampling import ab_group
 
@@ -94,7 +94,7 @@ def channel_counts(responses: DataFrame, campaigns: DataFrame) -> DataFrame:
     Grouped by customer and campaign before the campaign table is joined.
     """
     contacts = responses.groupBy("customer_id", "campaign_id").agg(F.count(F.lit(1)).alias("_n"))
-    joined = contacts.join(campaigns.select("campaign_id", "channel"), "campaign_id", "left")
+    joined = lookup_join(contacts, campaigns.select("campaign_id", "channel"), "campaign_id")
     return joined.groupBy("customer_id").agg(
         *[
             F.sum(F.when(F.col("channel") == ch, F.col("_n")).otherwise(0)).alias(column_name(ch))
@@ -112,7 +112,7 @@ def rate_by_band_and_channel(
         F.sum(flag).alias("_yes"), F.count(F.lit(1)).alias("_n")
     )
     joined = (
-        small.join(campaigns.select("campaign_id", "channel"), "campaign_id", "left")
+        lookup_join(small, campaigns.select("campaign_id", "channel"), "campaign_id")
         .join(customers, "customer_id", "left")
         .withColumn(name, band)
     )

@@ -49,3 +49,15 @@ def repeated_by(rows: DataFrame, others: DataFrame, key: str, count_name: str) -
     """
     counts = others.groupBy(key).agg(F.count(F.lit(1)).alias(count_name))
     return rows.join(counts, key)
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", limit: int = 100_000) -> DataFrame:
+    """Join a lookup that is expected to be small, on a key with few and therefore hot values.
+
+    The lookup is counted (up to the limit) and broadcast only when it fits; otherwise the join is
+    left to Spark, which can split skewed partitions.
+    """
+    lookup = lookup.persist()
+    if lookup.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(lookup), key, how)
+    return rows.join(lookup, key, how)

@@ -45,10 +45,9 @@ def _(b):
 LEFT JOIN campaigns p ON r.campaign_id = p.campaign_id LEFT JOIN customers c ON r.customer_id = c.customer_id""",
 )
 def _(b):
-    return (
-        b.campaign_responses.select("response_id", "campaign_id", "customer_id", "responded")
-        .join(b.campaigns.select("campaign_id", "channel"), "campaign_id", "left")
-        .join(b.customers.select("customer_id", "age", "region"), "customer_id", "left")
+    responses = b.campaign_responses.select("response_id", "campaign_id", "customer_id", "responded")
+    return J.lookup_join(responses, b.campaigns.select("campaign_id", "channel"), "campaign_id").join(
+        b.customers.select("customer_id", "age", "region"), "customer_id", "left"
     )
 
 
