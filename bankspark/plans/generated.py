@@ -1,0 +1,59 @@
+"""Generator queries: summaries of synthetic tables sized by the given customer table."""
+
+from __future__ import annotations
+
+
+from bankspark.generate.bank import BankGenerator
+from bankspark.plans.registry import query
+
+
+def _made(b):
+    """The generator and as many customers as the folder's customer table has."""
+    g = BankGenerator(b.spark)
+    return g, g.customers(b.customer.count())
+
+
+@query("gn1_customers")
+def _(b):
+    return _made(b)[1]
+
+
+@query("gn2_accounts")
+def _(b):
+    g, customers = _made(b)
+    return g.accounts(customers)
+
+
+@query("gn3_transactions")
+def _(b):
+    g, customers = _made(b)
+    return g.transactions(g.accounts(customers))
+
+
+@query("gn4_loans")
+def _(b):
+    g, customers = _made(b)
+    return g.loans(customers)
+
+
+@query("gn5_credit_scores")
+def _(b):
+    g, customers = _made(b)
+    return g.credit_scores(customers)
+
+
+@query("gn6_campaigns")
+def _(b):
+    return _made(b)[0].campaigns()
+
+
+@query("gn7_responses")
+def _(b):
+    g, customers = _made(b)
+    return g.campaign_responses(g.campaigns(), customers)
+
+
+@query("gn8_fraud_alerts")
+def _(b):
+    g, customers = _made(b)
+    return g.fraud_alerts(g.transactions(g.accounts(customers)))
