@@ -9,14 +9,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_LOW_BITS = 20
+
+
 def cents(c: Column) -> Column:
-    """Money as an exact decimal, so that sums do not depend on row order."""
-    return c.cast("decimal(18,2)")
+    """Money as whole cents, so that sums do not depend on row order."""
+    return F.floor(c * 100 + F.lit(0.5))
+
+
+def cents_sum(c: Column) -> Column:
+    """Exact total in cents (a decimal; sum it again freely, then :func:`as_money`).
+
+    The high and the low bits are summed as two plain integers, which stay far from overflow for
+    trillions of rows and are many times faster than a decimal per row.
+    """
+    whole = cents(c)
+    high = F.sum(F.shiftright(whole, _LOW_BITS)).cast("decimal(20,0)")
+    return high * F.lit(1 << _LOW_BITS) + F.sum(whole.bitwiseAND((1 << _LOW_BITS) - 1))
+
+
+def as_money(total: Column) -> Column:
+    """A total in cents as a double."""
+    return total.cast("double") / 100.0
 
 
 def money_sum(c: Column) -> Column:
     """Exact sum of a money column, as a double."""
-    return F.sum(cents(c)).cast("double")
+    return as_money(cents_sum(c))
 
 
 def money_avg(c: Column) -> Column:

@@ -72,10 +72,13 @@ class BankGenerator:
     def _u(self, purpose: str, *keys: str) -> Column:
         return uniform(self.seed, purpose, *keys)
 
-    def customers(self, n: int) -> DataFrame:
-        """Uniform attributes; the age follows from the year of birth."""
+    def ids(self, n: int, name: str) -> DataFrame:
+        """Ids 1 .. n."""
+        return self.spark.range(1, n + 1).withColumnRenamed("id", name)
+
+    def customers(self, ids: DataFrame) -> DataFrame:
+        """Uniform attributes for each customer id; the age follows from the year of birth."""
         key = "customer_id"
-        ids = self.spark.range(1, n + 1).withColumnRenamed("id", key)
         gender = choice(self._u("gender", key), V.GENDERS)
         first = F.when(gender == "Male", choice(self._u("first", key), V.MALE_NAMES)).otherwise(
             choice(self._u("first", key), V.FEMALE_NAMES)
@@ -173,12 +176,12 @@ class BankGenerator:
             risk_tier(score).alias("risk_level"),
         )
 
-    def campaigns(self, n: int = 10) -> DataFrame:
-        """Campaigns of 7 to 60 days that began in the last two years."""
+    def campaigns(self, ids: DataFrame) -> DataFrame:
+        """For each campaign id a campaign of 7 to 60 days that began in the last two years."""
         key = "campaign_id"
         start = day_between(self._u("campaign start", key), F.add_months(self.today, -24), self.today)
         days = (F.lit(7) + F.floor(self._u("campaign days", key) * 54)).cast("int")
-        return self.spark.range(1, n + 1).withColumnRenamed("id", key).select(
+        return ids.select(
             key,
             F.concat(F.lit("Campaign_"), F.col(key).cast("string"), F.lit("_"), F.year(start).cast("string")).alias(
                 "campaign_name"

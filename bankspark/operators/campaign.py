@@ -8,16 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bankspark import fixed_values as V
-from bankspark.functions.numbers import cents, money_sum, percent, ratio
+from bankspark.functions.numbers import as_money, cents_sum, percent, ratio
 from bankspark.functions.text import percent_label, yes_flag
 from bankspark.operators.joins import lookup_join, repeated_by
 from bankspark.operators.profile import stack_rows
 from bankspark.operators.sampling import ab_group
 
 
+def responded_flag(responses: DataFrame) -> Column:
+    """1 for a positive answer, else 0, whether the answer is a boolean or a spelled word."""
+    if dict(responses.dtypes)["responded"] == "boolean":
+        return F.coalesce(F.col("responded"), F.lit(False)).cast("int")
+    return yes_flag(F.col("responded"))
+
+
 def answers_per_customer(responses: DataFrame) -> DataFrame:
     """Numbers of yes and no answers of each customer; the rows of a busy customer combine early."""
-    flag = yes_flag(F.col("responded"))
+    flag = responded_flag(responses)
     return responses.groupBy("customer_id").agg(
         F.sum(flag).alias("_yes"), F.sum(1 - flag).alias("_no")
     )
@@ -78,7 +85,7 @@ def response_rate_by_bands(
 
 def response_history(responses: DataFrame) -> DataFrame:
     """Responses, campaigns and response rate per customer."""
-    flag = yes_flag(F.col("responded"))
+    flag = responded_flag(responses)
     return responses.groupBy("customer_id").agg(
         F.sum(flag).alias("total_responses"), F.count(F.lit(1)).alias("total_campaigns")
     ).withColumn("response_rate", ratio(F.col("total_responses"), F.col("total_campaigns")))
@@ -107,7 +114,7 @@ def rate_by_band_and_channel(
     responses: DataFrame, campaigns: DataFrame, customers: DataFrame, band: Column, name: str
 ) -> DataFrame:
     """Mean response per age band (rows) and channel (columns); missing pairs are 0."""
-    flag = yes_flag(F.col("responded"))
+    flag = responded_flag(responses)
     small = responses.groupBy("customer_id", "campaign_id").agg(
         F.sum(flag).alias("_yes"), F.count(F.lit(1)).alias("_n")
     )
@@ -164,7 +171,7 @@ def transactions_of_responders(
 
 def _spent(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
     """Spending per customer from spending per account, so accounts join as single rows."""
-    per_account = transactions.groupBy("account_id").agg(F.sum(cents(F.col("amount"))).alias("_s"))
+    per_account = transactions.groupBy("account_id").agg(cents_sum(F.col("amount")).alias("_s"))
     return (
         per_account.join(accounts.select("account_id", "customer_id"), "account_id")
         .groupBy("customer_id")
@@ -180,7 +187,7 @@ def revenue_stats(transactions: DataFrame, accounts: DataFrame, responses: DataF
     """
     yes = responses.filter("responded").groupBy("customer_id").agg(F.count(F.lit(1)).alias("_yes"))
     spent = _spent(transactions, accounts).join(yes, "customer_id")
-    total = F.col("_s").cast("double") * F.col("_yes")
+    total = as_money(F.col("_s") * F.col("_yes"))
     return spent.agg(F.round(F.avg(total), 4).alias("average_revenue_per_response"))
 
 
@@ -206,7 +213,7 @@ def offer_summary(transactions: DataFrame, accounts: DataFrame, responses: DataF
     """
     order = F.struct("transaction_date", "account_id", "amount", "location")
     per_account = transactions.groupBy("account_id", "channel").agg(
-        F.sum(cents(F.col("amount"))).alias("_s"), F.count(F.lit(1)).alias("_n"), F.max(order).alias("_last")
+        cents_sum(F.col("amount")).alias("_s"), F.count(F.lit(1)).alias("_n"), F.max(order).alias("_last")
     )
     per_customer = (
         per_account.join(accounts.select("account_id", "customer_id"), "account_id")
@@ -216,7 +223,7 @@ def offer_summary(transactions: DataFrame, accounts: DataFrame, responses: DataF
     yes = responses.filter("responded").groupBy("customer_id").agg(F.count(F.lit(1)).alias("_yes"))
     return per_customer.join(yes, "customer_id").select(
         "customer_id", "channel",
-        (F.col("_s") * F.col("_yes")).cast("double").alias("total_spent"),
+        as_money(F.col("_s") * F.col("_yes")).alias("total_spent"),
         (F.col("_n") * F.col("_yes")).alias("transactions"),
         F.col("_last.location").alias("last_location"),
     )
@@ -224,7 +231,7 @@ def offer_summary(transactions: DataFrame, accounts: DataFrame, responses: DataF
 
 def ab_statistics(responses: DataFrame, seed: int) -> DataFrame:
     """Total, responded and rate of both test groups."""
-    flag = yes_flag(F.col("responded"))
+    flag = responded_flag(responses)
     return (
         responses.withColumn("group", ab_group(F.col("response_id"), seed))
         .groupBy("group")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bankspark import fixed_values as V
 from bankspark.functions.dates import day_of, days_since
-from bankspark.functions.numbers import cents, money_sum
+from bankspark.functions.numbers import as_money, cents_sum, money_sum
 
 
 def last_transactions(transactions: DataFrame, accounts: DataFrame, as_of: str) -> DataFrame:
@@ -98,12 +98,12 @@ def customer_features(
 ) -> DataFrame:
     """One row per customer for segmentation; counts and sums without a source are 0."""
     per_account = transactions.groupBy("account_id").agg(
-        F.sum(cents(F.col("amount"))).alias("_s"), F.count(F.lit(1)).alias("_n")
+        cents_sum(F.col("amount")).alias("_s"), F.count(F.lit(1)).alias("_n")
     )
     spending = (
         per_account.join(accounts.select("account_id", "customer_id"), "account_id")
         .groupBy("customer_id")
-        .agg(F.try_divide(F.sum("_s").cast("double"), F.sum("_n")).alias("average_transaction"))
+        .agg(F.try_divide(as_money(F.sum("_s")), F.sum("_n")).alias("average_transaction"))
     )
     holdings = accounts.groupBy("customer_id").agg(money_sum(F.col("balance")).alias("total_balance"))
     joined = customers.select("customer_id", "age", "income")

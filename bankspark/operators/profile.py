@@ -62,9 +62,15 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def schema_report(df: DataFrame) -> DataFrame:
-    """Position, name and type of every column."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position INT, column STRING, dtype STRING")
+    """Position, name, type, number of rows and lowest value of every column, from one aggregate."""
+    fields = list(enumerate(df.schema.fields))
+    low = df.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.min(F.col(f.name)).cast("string").alias(f"_{i}") for i, f in fields]
+    )
+    rows = [
+        [F.lit(i), F.lit(f.name), F.lit(f.dataType.simpleString()), F.col("_rows"), F.col(f"_{i}")] for i, f in fields
+    ]
+    return stack_rows(low, rows, ["position", "column", "dtype", "rows", "lowest"])
 
 
 def _as_text(df: DataFrame, column: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bankspark.functions.dates import month_key
-from bankspark.functions.numbers import cents, money_avg, money_sum
+from bankspark.functions.numbers import as_money, cents_sum, money_avg, money_sum
 
 
 def value_counts(df: DataFrame, column: str, name: str = "count", keep_null: bool = False) -> DataFrame:
@@ -41,13 +41,13 @@ def count_and_sum_through(
     """
     per_key = [key] + ([fact_column] if fact_column else [])
     small = facts.groupBy(*per_key).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(cents(F.col(amount))).alias("_s")
+        F.count(F.lit(1)).alias("_n"), cents_sum(F.col(amount)).alias("_s")
     )
     out = [dimension_column] + ([fact_column] if fact_column else [])
     return (
         small.join(dimension.select(key, dimension_column), key)
         .groupBy(*out)
-        .agg(F.sum("_n").alias(count_name), F.sum("_s").cast("double").alias(sum_name))
+        .agg(F.sum("_n").alias(count_name), as_money(F.sum("_s")).alias(sum_name))
     )
 
 

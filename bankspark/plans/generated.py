@@ -1,4 +1,4 @@
-"""Generator queries: summaries of synthetic tables sized by the given customer table."""
+"""Generator queries: synthetic attributes for the customers and campaigns of the given tables."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from bankspark.plans.registry import query
 
 
 def _made(b):
-    """The generator and as many customers as the folder's customer table has."""
+    """The generator and synthetic customers for the customer ids of the folder."""
     g = BankGenerator(b.spark)
-    return g, g.customers(b.customer.count())
+    return g, g.customers(b.customers.select("customer_id"))
 
 
 @query("gn1_customers")
@@ -44,13 +44,13 @@ def _(b):
 
 @query("gn6_campaigns")
 def _(b):
-    return _made(b)[0].campaigns()
+    return BankGenerator(b.spark).campaigns(b.campaigns.select("campaign_id"))
 
 
 @query("gn7_responses")
 def _(b):
     g, customers = _made(b)
-    return g.campaign_responses(g.campaigns(), customers)
+    return g.campaign_responses(g.campaigns(b.campaigns.select("campaign_id")), customers)
 
 
 @query("gn8_fraud_alerts")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bankspark.functions.dates import month_key
-from bankspark.functions.numbers import cents
+from bankspark.functions.numbers import as_money, cents_sum
 
 
 def _report_rows(df: DataFrame, report: str, key1: str, key2: str | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def _report_rows(df: DataFrame, report: str, key1: str, key2: str | None = None)
         F.col(key1).alias("key1"),
         second.alias("key2"),
         "transaction_count",
-        F.col("_total").cast("double").alias("total_amount"),
+        as_money(F.col("_total")).alias("total_amount"),
     )
 
 
@@ -29,7 +29,7 @@ def transaction_report(tx: DataFrame) -> DataFrame:
     """
     cube = (
         tx.groupBy(month_key(F.col("transaction_date")).alias("date_time"), "type", "location", "channel")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(cents(F.col("amount"))).alias("_s"))
+        .agg(F.count(F.lit(1)).alias("_n"), cents_sum(F.col("amount")).alias("_s"))
         .persist()
     )
 
@@ -146,7 +146,7 @@ def fraud_reports(flagged: DataFrame) -> DataFrame:
 
     day = F.col("transaction_date").cast("date").cast("string")
     small = flagged.groupBy(day.alias("day"), "account_id", "location").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("fraud_flag").alias("_f"), F.sum(cents(F.col("amount"))).alias("_s")
+        F.count(F.lit(1)).alias("_n"), F.sum("fraud_flag").alias("_f"), cents_sum(F.col("amount")).alias("_s")
     )
     pairs = F.array(
         *[
@@ -162,7 +162,7 @@ def fraud_reports(flagged: DataFrame) -> DataFrame:
         .groupBy("report", "key")
         .agg(
             F.sum("_n").alias("transactions"), F.sum("_f").alias("frauds"),
-            F.sum("_s").cast("double").alias("amount"),
+            as_money(F.sum("_s")).alias("amount"),
         )
     )
     return reports.filter(

@@ -18,7 +18,7 @@ from bankspark.operators import campaign as C
 from bankspark.operators import columns as L
 from bankspark.operators import fraud as D
 from bankspark.operators.customers import loan_default_data
-from bankspark.operators.sampling import split_flag
+from bankspark.operators.sampling import fold_of, split_flag
 from bankspark.plans.registry import query
 from bankspark.plans.scalars import split_sql
 from bankspark.session import cut_lineage
@@ -366,9 +366,11 @@ def _(b):
     return fraud_predictions(b).select("transaction_id", "account_id", "amount", "is_fraud", "rf_pred", "rf_prob")
 
 
-@query("sp5_k_fold")
+@query(
+    "sp5_k_fold",
+    "transactions_ev",
+    """SELECT transaction_id, CAST(((transaction_id % 2147483647) * 2654435761 + 42) % 1000003 % 5 AS INTEGER) AS fold
+FROM transactions_ev""",
+)
 def _(b):
-    from bankspark.operators.sampling import fold_of
-
-    rows = b.transactions_ev.withColumn("fold", fold_of(F.col("transaction_id"), 5, 42))
-    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+    return b.transactions_ev.select("transaction_id", fold_of(F.col("transaction_id"), 5, 42).alias("fold"))

@@ -159,9 +159,11 @@ def _(b):
 @query(
     "io10_schema_report",
     "accounts",
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, '{c}', '{t}')" for i, (c, t) in enumerate(_ACCOUNT_TYPES.items()))
-    + ") AS t(position, \"column\", dtype)",
+    " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS dtype, COUNT(*) AS rows, "
+        f"CAST(MIN({c}) AS VARCHAR) AS lowest FROM accounts"
+        for i, (c, t) in enumerate(_ACCOUNT_TYPES.items())
+    ),
 )
 def _(b):
     return P.schema_report(b.accounts)

@@ -13,6 +13,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",  # merge up to the advisory size
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot key may hold a third of a table: split it even where that costs another shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

@@ -185,6 +185,25 @@ VIEWS: dict[str, View] = {
 }
 
 
+# Schemas of the files, stated so that reading starts without a job that infers them.
+RAW_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+}
+
+
 class Bank:
     """The logical tables of one data folder, each built on first use."""
 
@@ -199,7 +218,9 @@ class Bank:
                 view = VIEWS[name]
                 self._built[name] = self.spark.sql(view.select(), **{t: self.table(t) for t in view.reads})
             else:
-                self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._built[name] = self.spark.read.schema(RAW_SCHEMAS[name]).parquet(
+                    f"{self.folder}/{name}.parquet"
+                )
         return self._built[name]
 
     def __getattr__(self, name: str) -> DataFrame:
