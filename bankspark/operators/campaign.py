@@ -91,8 +91,9 @@ def response_history(responses: DataFrame) -> DataFrame:
     ).withColumn("response_rate", ratio(F.col("total_responses"), F.col("total_campaigns")))
 
 
-def column_name(label: str) -> str:
-    return label.lower().replace(" ", "_")
+def column_name(channel: str) -> str:
+    """Column of a campaign channel; the prefix keeps it apart from the customer's e-mail and phone."""
+    return "channel_" + channel.lower().replace(" ", "_")
 
 
 def channel_counts(responses: DataFrame, campaigns: DataFrame) -> DataFrame:
@@ -143,13 +144,11 @@ def last_campaign_contacts(responses: DataFrame, campaigns: DataFrame) -> DataFr
 
 def funnel(customers: DataFrame, responses: DataFrame) -> DataFrame:
     """Reached (all customers), Opened (customers with a response row), Converted (at least one yes)."""
-    answers = answers_per_customer(responses)
-    opened = answers.agg(F.count("customer_id").alias("opened"))
-    counted = (
-        customers.join(answers, "customer_id", "left")
-        .agg(F.count(F.lit(1)).alias("reached"), F.count_if(F.col("_yes") > 0).alias("converted"))
-        .withColumn("_one", F.lit(1))
-        .join(opened.withColumn("_one", F.lit(1)), "_one")
+    answers = answers_per_customer(responses.filter(F.col("customer_id").isNotNull()))
+    known = customers.select("customer_id", F.lit(1).alias("_known"))
+    counted = known.join(answers, "customer_id", "full").agg(
+        F.count("_known").alias("reached"), F.count("_yes").alias("opened"),
+        F.count_if(F.col("_known").isNotNull() & (F.col("_yes") > 0)).alias("converted"),
     )
     stages = [("Reached", "reached"), ("Opened", "opened"), ("Converted", "converted")]
     rows = []

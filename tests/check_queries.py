@@ -62,6 +62,23 @@ def compare(spark_rows, duck_rows):
     return f"{len(bad)} of {len(sr)} rows differ; columns {sn}; first {bad[0][0]} vs {bad[0][1]}"
 
 
+_TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+    "DATE": "date", "TIMESTAMP": "timestamp_ntz",
+}
+
+
+def compare_types(df, description):
+    """'' when every column has the same type on both sides."""
+    spark_types = dict(df.dtypes)
+    odd = [
+        f"{d[0]}: {spark_types.get(d[0])} vs {d[1]}"
+        for d in description
+        if _TYPES.get(str(d[1]), str(d[1])) != spark_types.get(d[0])
+    ]
+    return f"types differ: {odd}" if odd else ""
+
+
 def check(spark, con, query, folder):
     df = query(spark, folder)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
@@ -69,7 +86,8 @@ def check(spark, con, query, folder):
         return len(got[1]), ""
     cur = con.execute(query.sql)
     names = [d[0] for d in cur.description]
-    return len(got[1]), compare(got, rows_of(names, cur.fetchall()))
+    types = compare_types(df, cur.description)
+    return len(got[1]), compare(got, rows_of(names, cur.fetchall())) or types
 
 
 def main(argv):
