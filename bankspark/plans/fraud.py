@@ -105,6 +105,21 @@ def _(b):
     return D.with_intensity(risky).select("transaction_id", "fraud_intensity")
 
 
+@flagged_query(
+    "jb13_fraud_rule_part",
+    f"""SELECT f.transaction_id, f.account_id, f.hour, strftime(f.transaction_date, '%a') AS day_of_week,
+  CAST(strftime(f.transaction_date, '%a') IN ('Sat', 'Sun') AS INTEGER) AS is_weekend, time_since_last,
+  {_FLAG_LIST}, combined_anomaly_score, fraud_flag
+FROM flagged f JOIN ({_SINCE}) s ON f.transaction_id = s.transaction_id""",
+)
+def _(b):
+    rows = D.rule_scored(D.time_since_last(b.transactions_ev))
+    return rows.select(
+        "transaction_id", "account_id", "hour", "day_of_week", "is_weekend", "time_since_last",
+        *D.RULE_FLAGS, "combined_anomaly_score", "fraud_flag",
+    )
+
+
 @query(
     "ml3_top_1_flag",
     "transactions_ev",

@@ -55,33 +55,33 @@ def job(build: Callable[[Run], None]):
 
 @job
 def clean_transactions(run: Run) -> None:
-    run.save("transactions_cleaned", cleaning.clean_transactions(run.table("transactions")))
+    run.save("transactions", cleaning.clean_transactions(run.table("transactions")))
 
 
 @job
 def account_report(run: Run) -> None:
     accounts, customers = run.table("accounts").persist(), run.table("customers")
-    run.save("nullnotfound_summary_account", P.null_profile(accounts))
+    run.save("account_nulls", P.null_profile(accounts))
     run.save(
-        "accounts_summary_with_customer_analysis",
+        "account_distinct_and_ownership",
         P.distinct_profile(accounts).unionByName(P.count_of_counts(accounts, "customer_id")),
     )
     run.save(
-        "balance_analysis",
+        "balance_profile",
         P.scalar_profile(accounts, "balance", "Balance").unionByName(P.banded_histogram(accounts, "balance")),
     )
     chosen = ["account_type", "status", "open_date", "customer_id", "balance"]
-    run.save("accounts_summary_with_totals", P.value_profile(accounts, "account_id", chosen))
+    run.save("account_values", P.value_profile(accounts, "account_id", chosen))
     for column in ("status", "account_type"):
-        run.save(f"{column}_summary", R.value_counts(accounts, column))
-        run.save(f"{column}_balance_analysis", R.sum_by(accounts, column, "balance", "total_balance"))
+        run.save(f"accounts_by_{column}", R.value_counts(accounts, column))
+        run.save(f"balance_by_{column}", R.sum_by(accounts, column, "balance", "total_balance"))
         both = R.count_and_sum_through(
             accounts, customers, "customer_id", "region", column, "balance", f"{column}_count", "balance"
         ).persist()
-        run.save(f"{column}_count_by_region", both.drop("balance"))
+        run.save(f"accounts_by_region_and_{column}", both.drop("balance"))
         run.save(f"balance_by_region_and_{column}", both.drop(f"{column}_count"))
     run.save(
-        "total_balance_by_region",
+        "balance_by_region",
         R.count_and_sum_through(
             accounts, customers, "customer_id", "region", None, "balance", "accounts", "balance"
         ).drop("accounts"),
@@ -93,17 +93,17 @@ def transaction_report(run: Run) -> None:
     tx = run.table("transactions").persist()
     monthly = R.monthly_summary(tx).persist()
     by_location = R.monthly_summary(tx, ["location"], extremes=False).persist()
-    run.save("monthly_transactions_summary", monthly.orderBy("date_time"))
-    run.save("monthly_transactions_by_type", R.monthly_summary(tx, ["type"], False, False).orderBy("type", "date_time"))
-    run.save("monthly_transactions_by_location", by_location.orderBy("location", "date_time"))
-    run.save("top_transaction_locations", R.share_of_total(tx, "location", 10))
-    run.save("transaction_channel_analysis", R.channel_summary(tx))
-    run.save("peak_transaction_months", ranking.top_rows(monthly, [F.desc("transaction_count"), "date_time"], 5))
-    run.save("highest_revenue_months", ranking.top_rows(monthly, [F.desc("total_amount"), "date_time"], 5))
-    run.save("tran_sum_locations_by_month", by_location.orderBy("date_time", F.desc("total_amount"), "location"))
+    run.save("monthly", monthly.orderBy("date_time"))
+    run.save("monthly_by_type", R.monthly_summary(tx, ["type"], False, False).orderBy("type", "date_time"))
+    run.save("monthly_by_location", by_location.orderBy("location", "date_time"))
+    run.save("top_locations", R.share_of_total(tx, "location", 10))
+    run.save("channels", R.channel_summary(tx))
+    run.save("busiest_months", ranking.top_rows(monthly, [F.desc("transaction_count"), "date_time"], 5))
+    run.save("highest_amount_months", ranking.top_rows(monthly, [F.desc("total_amount"), "date_time"], 5))
+    run.save("locations_within_month", by_location.orderBy("date_time", F.desc("total_amount"), "location"))
     counts = R.value_counts(tx, "location", "number_of_transactions")
-    run.save("location_transaction_summary", counts)
-    run.save("location_transaction_amount_summary", R.sum_by(tx, "location", "amount", "total_transaction_amount"))
+    run.save("transactions_by_location", counts)
+    run.save("amount_by_location", R.sum_by(tx, "location", "amount", "total_transaction_amount"))
     run.save("location_activity", ranking.extremes(counts, "location", "number_of_transactions"))
 
 
@@ -111,21 +111,21 @@ def transaction_report(run: Run) -> None:
 def location_peaks(run: Run) -> None:
     tx = run.table("transactions").persist()
     peaks = ranking.peak_and_least_months(tx).persist()
-    run.save("all_loc_date_peak_least_tran_amount_summary", peaks)
-    files.write_per_key(peaks, "location", f"{run.out}/date_pl_tran_amount_summary", mode="overwrite")
-    run.save("location_peak_transaction_summary", ranking.first_peak_months(tx))
+    run.save("location_peaks", peaks)
+    files.write_per_key(peaks, "location", f"{run.out}/location_peaks_by_location", mode="overwrite")
+    run.save("location_first_peaks", ranking.first_peak_months(tx))
 
 
 @job
 def account_statistics(run: Run) -> None:
     stats = R.account_statistics(run.table("transactions")).persist()
-    run.save("transaction_statistics_per_account", stats)
-    run.save("transaction_statistics_per_account_with_customer_id", R.with_owner(stats, run.table("accounts")))
+    run.save("account_statistics", stats)
+    run.save("account_statistics_with_owner", R.with_owner(stats, run.table("accounts")))
 
 
 @job
 def usual_patterns(run: Run) -> None:
-    run.save("customer_usual_patterns", fraud.usual_patterns(run.table("transactions")))
+    run.save("usual_patterns", fraud.usual_patterns(run.table("transactions")))
 
 
 _RESPONSE_HEADERS = {
@@ -136,15 +136,15 @@ _RESPONSE_HEADERS = {
 @job
 def campaign_response(run: Run) -> None:
     customers, responses = run.table("customers").persist(), run.table("campaign_responses").persist()
-    run.save("overall_response_summary", C.overall_split(customers, responses))
+    run.save("responses_overall", C.overall_split(customers, responses))
     for column in ("region", "gender", "income"):
         rates = C.response_rate_by(customers, responses, F.col(column), column)
-        run.save(f"{column}_response_summary", rates.withColumnsRenamed(_RESPONSE_HEADERS))
+        run.save(f"responses_by_{column}", rates.withColumnsRenamed(_RESPONSE_HEADERS))
     band = N.bin_left_closed(F.col("age"), V.AGE_EDGES, V.AGE_LABELS)
     ages = C.response_rate_by_bands(customers, responses, band, V.AGE_LABELS, "age_group")
-    run.save("age_response_summary", ages.withColumnsRenamed(_RESPONSE_HEADERS))
+    run.save("responses_by_age_group", ages.withColumnsRenamed(_RESPONSE_HEADERS))
     merged = customers.join(responses, "customer_id", "left")
-    files.write_per_key(merged, "region", f"{run.out}/region_files", mode="overwrite", files_per_key=16)
+    files.write_per_key(merged, "region", f"{run.out}/responses_per_region", mode="overwrite", files_per_key=16)
 
 
 @job
@@ -157,13 +157,13 @@ def campaign_analysis(run: Run) -> None:
     )
     run.save("campaign_features", C.campaign_features(customers, responses, campaigns))
     run.save("funnel", C.funnel(customers, responses))
-    run.save("revenue_stats", C.revenue_stats(tx, accounts, responses))
-    run.save("roi_result", C.campaign_roi(responses, costs, V.REVENUE_PER_RESPONSE))
-    run.save("personalized_offers", C.offer_summary(tx, accounts, responses))
-    run.save("response_rate_AB_test_g", C.ab_statistics(responses, 123))
+    run.save("revenue_per_responder", C.revenue_stats(tx, accounts, responses))
+    run.save("campaign_roi", C.campaign_roi(responses, costs, V.REVENUE_PER_RESPONSE))
+    run.save("offers", C.offer_summary(tx, accounts, responses))
+    run.save("ab_test", C.ab_statistics(responses, 123))
     band = N.bin_right_closed(F.col("age"), V.HEATMAP_AGE_EDGES, V.HEATMAP_AGE_LABELS)
     run.save(
-        "response_rate_heatmap",
+        "response_rate_by_age_and_channel",
         C.rate_by_band_and_channel(responses, campaigns, customers.select("customer_id", "age"), band, "age_group"),
     )
 
@@ -171,7 +171,7 @@ def campaign_analysis(run: Run) -> None:
 @job
 def churn(run: Run) -> None:
     run.save(
-        "churn_labeled_customers",
+        "churn_labels",
         U.churn_labels(run.table("customers"), run.table("transactions"), run.table("accounts"), run.as_of),
     )
 
@@ -190,7 +190,7 @@ def segments(run: Run) -> None:
     out = features
     for part in (labels, ward, density):
         out = out.join(part, "customer_id", "left")
-    run.save("customer_segments", out.withColumn("segment_label", K.segment_name(F.col("kmeans_cluster"))))
+    run.save("segments", out.withColumn("segment_label", K.segment_name(F.col("kmeans_cluster"))))
 
 
 @job
@@ -200,9 +200,9 @@ def loan_default(run: Run) -> None:
     rows = split_flag(data, "row_id", 0.8, 123).persist()
     train, test = rows.filter("is_train"), rows.filter("NOT is_train")
     shown = ["default", *U.LOAN_FEATURES]
-    run.save("model_dataset", rows.select(shown))
-    run.save("train_dataset", train.select(shown))
-    run.save("test_dataset", test.select(shown))
+    run.save("loan_rows", rows.select(shown))
+    run.save("train_rows", train.select(shown))
+    run.save("test_rows", test.select(shown))
     logistic, scales = S.fit_logistic(train, S.GLM_FEATURES, "default")
     coefs = S.coefficients(logistic, scales, S.GLM_FEATURES, run.spark)
     run.save("logistic_coefficients", coefs)
@@ -211,13 +211,13 @@ def loan_default(run: Run) -> None:
     run.save("forest_importance", S.permutation_importance(forest, test, S.LOAN_MATRIX, "default", "row_id"))
     boosting = S.fit_boosting(train, S.LOAN_MATRIX, "default")
     scored = S.predict(boosting, test, S.LOAN_MATRIX)
-    run.save("test_predictions", scored.select(*shown, "predicted_prob", "predicted_class"))
+    run.save("predictions", scored.select(*shown, "predicted_prob", "predicted_class"))
     run.save("boosting_importance", S.importance(boosting, S.LOAN_MATRIX, run.spark).limit(10))
     run.save("roc_curve", M.roc_points(scored, "default", "predicted_prob"))
     run.save("confusion", M.confusion(scored, "default", "predicted_prob"))
     parts = H.shap_values(boosting, test, S.LOAN_MATRIX, ["loan_id", "score_id"])
-    run.save("shap_scores", parts)
-    run.save("shap_long_summary", H.shap_long(parts, S.LOAN_MATRIX, ["loan_id", "score_id"]))
+    run.save("shap_values", parts)
+    run.save("shap_long", H.shap_long(parts, S.LOAN_MATRIX, ["loan_id", "score_id"]))
 
 
 @job
@@ -227,7 +227,7 @@ def fraud_detection(run: Run) -> None:
     iso = ["log_amount", "hour", "is_weekend"]
     rows = rows.withColumn("log_amount", F.log1p("amount"))
     forest = A.fit_isolation_forest(rows, "transaction_id", iso).persist()
-    files.append_table(forest, f"{run.out}/isolation_forest_model", run_date=run.today)
+    files.append_table(forest, f"{run.out}/isolation_forest", run_date=run.today)
     scaled = A.scaled_fraud_features(fraud.time_features(tx))
     weights = A.fit_autoencoder(scaled, ["amount", "hour", "is_weekend"])
     errors = A.reconstruction_error(weights, scaled, ["amount", "hour", "is_weekend"])
@@ -238,16 +238,16 @@ def fraud_detection(run: Run) -> None:
     scored = fraud.top_share_flag(scored, "iso_anomaly_score", "iso_anomaly_flag")
     scored = fraud.top_share_flag(scored, "ae_reconstruction_error", "ae_anomaly_flag")
     data = cut_lineage(fraud.combine_flags(scored, [*fraud.MODEL_FLAGS, *fraud.RULE_FLAGS]))
-    run.save("processed_transactions_with_flags", data)
-    files.write_gzip(data, f"{run.out}/processed_data_gz", mode="overwrite")
+    run.save("flagged_transactions", data)
+    files.write_gzip(data, f"{run.out}/flagged_transactions_gz", mode="overwrite")
     files.write_dated_run(data, f"{run.out}/runs", run.today)
-    run.save("high_risk_transactions", data.filter(F.col("fraud_flag") == 1))
-    run.save("daily_fraud_summary", fraud.daily_summary(data))
-    run.save("customer_risk_profiles", fraud.account_risk(data))
-    run.save("location_risk_analysis", fraud.location_risk(data))
+    run.save("risky_transactions", data.filter(F.col("fraud_flag") == 1))
+    run.save("daily_fraud", fraud.daily_summary(data))
+    run.save("account_risk", fraud.account_risk(data))
+    run.save("location_risk", fraud.location_risk(data))
     kept = ["iso_anomaly_score", "ae_reconstruction_error", "combined_anomaly_score", "fraud_flag"]
     run.save("anomaly_scores", data.select("transaction_id", "account_id", "amount", *kept))
-    files.append_run_log(data, f"{run.out}/processing_log", f"{run.today} 00:00:00")
+    files.append_run_log(data, f"{run.out}/run_log", f"{run.today} 00:00:00")
 
 
 @job
@@ -257,7 +257,7 @@ def fraud_label_reports(run: Run) -> None:
     run.save("fraud_by_location", fraud.fraud_by(labelled, "location"))
     run.save("fraud_by_merchant", fraud.fraud_by(labelled, "merchant"))
     run.save("fraud_by_date", fraud.fraud_by_date(alerts))
-    run.save("fraud_summary", fraud.fraud_kpis(labelled))
+    run.save("fraud_totals", fraud.fraud_kpis(labelled))
 
 
 @job

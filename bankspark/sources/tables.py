@@ -244,6 +244,8 @@ def check_sql(views: str, body: str) -> str:
     ctes = [f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', VIEWS[n].select())})" for n in ordered]
     ctes = [c.replace("element_at(", "list_extract(") for c in ctes]  # the one function spelled differently
     body = body.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body if ctes else body

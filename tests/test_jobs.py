@@ -83,10 +83,10 @@ def test_job_writes_results(spark, made, tmp_path, name):
 
 def test_original_headers_and_cross_totals(spark, made, tmp_path):
     JOBS["campaign_response"](Run(spark, made, str(tmp_path)))
-    ages = spark.read.option("header", True).csv(f"{tmp_path}/age_response_summary")
+    ages = spark.read.option("header", True).csv(f"{tmp_path}/responses_by_age_group")
     assert ages.columns == ["age_group", "No Response", "Responded", "Total", "Response Rate (%)"]
     assert ages.agg(F.sum("Total")).first()[0] == 10000
-    regions = sorted(os.listdir(f"{tmp_path}/region_files"))
+    regions = sorted(os.listdir(f"{tmp_path}/responses_per_region"))
     assert [r for r in regions if r.startswith("region_slug=")] == [f"region_slug={x.lower()}" for x in sorted(V.LOCATIONS)]
 
 
@@ -95,10 +95,10 @@ def test_fraud_job(spark, made, tmp_path):
     JOBS["fraud_detection"](Run(spark, made, str(tmp_path)))  # the same day again
     n = read(spark, made, "transactions").count()
     assert spark.read.parquet(f"{tmp_path}/runs").count() == n  # the day was replaced
-    log = spark.read.parquet(f"{tmp_path}/processing_log")
+    log = spark.read.parquet(f"{tmp_path}/run_log")
     assert [r["records_processed"] for r in log.collect()] == [n, n]  # the log was appended
     flagged = spark.read.option("header", True).option("inferSchema", True).csv(
-        f"{tmp_path}/processed_transactions_with_flags"
+        f"{tmp_path}/flagged_transactions"
     )
     share = flagged.agg(F.avg("iso_anomaly_flag"), F.avg("ae_anomaly_flag")).first()
     assert 0.002 < share[0] <= 0.0101 and 0.002 < share[1] <= 0.0101
