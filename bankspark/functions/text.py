@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from bankspark.fixed_values import YES_WORDS
 
 
+_WHITE_SPACE = " \t\n\r\f\v"
+
+
 def strip(c: Column) -> Column:
-    """Remove all leading and trailing white space (``F.trim`` removes blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove all leading and trailing white space (``F.trim`` alone removes blanks only)."""
+    return F.btrim(c, F.lit(_WHITE_SPACE))
 
 
 def title_case(c: Column) -> Column:

@@ -37,7 +37,8 @@ def _cases(expr: str, labels: list[str]) -> str:
 
 
 _DEBIT = "event_type IN ('purchase','error','view')"
-_PROP = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
+# The number inside ``props`` is extracted once per row, however many columns use it.
+_EVENTS = "(SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS prop FROM {events}) AS e"
 _SCORE = "CAST(300 + (event_id * 37 + user_id * 11) % 551 AS INT)"
 _MERCHANTS = list(V.MERCHANT_LOCATIONS)
 
@@ -88,16 +89,16 @@ VIEWS: dict[str, View] = {
         },
     ),
     "transactions_ev": View(
-        "{events}",
+        _EVENTS,
         {
             "transaction_id": "event_id",
             "account_id": "user_id",
             "transaction_date": "ts",
             "amount": "value",
             "type": f"CASE WHEN {_DEBIT} THEN 'Debit' ELSE 'Credit' END",
-            "channel": _cases(f"{_PROP} % 4", ["ATM", "POS", "Online", "Branch"]),
+            "channel": _cases("prop % 4", ["ATM", "POS", "Online", "Branch"]),
             "merchant": f"CASE WHEN {_DEBIT} THEN {_cases('event_id % 10', _MERCHANTS)} ELSE NULL END",
-            "location": _cases(f"{_PROP} % 10", V.LOCATIONS),
+            "location": _cases("prop % 10", V.LOCATIONS),
         },
     ),
     "transactions_raw": View(
@@ -152,10 +153,10 @@ VIEWS: dict[str, View] = {
         },
     ),
     "campaign_responses": View(
-        "{events}",
+        _EVENTS,
         {
             "response_id": "event_id",
-            "campaign_id": f"CAST({_PROP} % 10 + 1 AS BIGINT)",
+            "campaign_id": "CAST(prop % 10 + 1 AS BIGINT)",
             "customer_id": "user_id",
             "response_date": "CAST(ts AS DATE)",
             "responded": "value > 50",

@@ -196,6 +196,23 @@ def test_split_is_a_partition_and_stable(spark):
     assert a.exceptAll(b).isEmpty() and a.count() == 5000
 
 
+@pytest.mark.parametrize("share, round_up", [(0.0, False), (0.001, False), (0.5, True), (0.73, True), (1.0, False)])
+def test_split_equals_plain_ranking(spark, share, round_up):
+    from pyspark.sql import Window as W
+
+    # ids that collide in the hash, a label that is null, a label with most of the rows
+    df = spark.range(4000).select(
+        (F.col("id") * 1000003 % 7000003 + F.col("id")).alias("id"),
+        F.when(F.col("id") % 9 == 0, None).when(F.col("id") % 4 == 0, "b").otherwise("a").alias("label"),
+    )
+    h = N.arithmetic_hash(F.col("id"), 5)
+    rank = F.row_number().over(W.partitionBy("label").orderBy(h, "id"))
+    size = F.count(F.lit(1)).over(W.partitionBy("label"))
+    want = df.withColumn("is_train", rank <= (F.ceil if round_up else F.floor)(size * F.lit(share)))
+    got = S.split_flag(df, "id", share, 5, ["label"], round_up)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_hash_takes_any_bigint(spark):
     df = spark.createDataFrame([(2**62,), (-5,), (0,)], "id BIGINT")
     got = [r[0] for r in df.select(N.arithmetic_hash(F.col("id"), 7)).collect()]
@@ -214,8 +231,9 @@ def test_time_since_last_equals_plain_lag(spark):
         "transaction_id",
         ((F.unix_micros(F.col("transaction_date").cast("timestamp")) - F.unix_micros(F.col("p").cast("timestamp"))) / 3.6e9).alias("h"),
     )
-    got = D.time_since_last(tx).select("transaction_id", F.col("time_since_last").alias("h"))
-    assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+    for hot_rows in (10, 500, 1_000_000):  # all, one, none of the accounts cut into slices
+        got = D.time_since_last(tx, hot_rows).select("transaction_id", F.col("time_since_last").alias("h"))
+        assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
 
 
 def test_rejected_edges_of_city_box(spark):
