@@ -109,7 +109,7 @@ def running_totals(
     by = list(by)
     grid = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), grid, _ACCURACY).alias("c")).first()["c"]
-    splits = [-math.inf, *sorted(set(cuts or [])), math.inf]
+    splits = [-math.inf, *sorted(set(cuts or [0.0])), math.inf]  # an empty table has no cuts
     ranged = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(
         df.withColumn("_order", F.col(order).cast("double"))
     )

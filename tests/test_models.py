@@ -170,6 +170,17 @@ def test_dbscan_equals_brute_force(spark, d, eps, monkeypatch):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_dbscan_of_noise_only(spark):
+    df = spark.createDataFrame([(i, float(i * 10)) for i in range(12)], "id BIGINT, x DOUBLE")
+    got = dbscan(df, "id", ["x"], 1.0, 3).collect()
+    assert len(got) == 12 and not any(r["core"] or r["dbscan_cluster"] for r in got)
+
+
+def test_metrics_of_nothing(spark):
+    df = spark.createDataFrame([], "label INT, p DOUBLE")
+    assert M.auc(df, "label", "p").first()["auc"] is None
+
+
 def test_components_of_a_chain(spark):
     nodes = spark.range(60).select("id")
     edges = spark.range(59).filter("id <> 29").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
