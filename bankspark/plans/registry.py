@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bankspark.session import configure
+from bankspark.session import configure, ship_package
 from bankspark.sources.tables import Bank, check_sql
 
 
@@ -20,6 +20,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         return self.build(Bank(configure(spark), folder))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,16 +46,23 @@ def local_session(app: str = "bankspark", cores: str = "8") -> SparkSession:
     return configure(spark)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine (``local``, ``local[n]``)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster.
+    """The folder all executors can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) is a fresh temporary folder made
-    and remembered in the session.
+    Only a session that is one process (tests) may do without: it gets a fresh temporary folder,
+    remembered in the session. Anywhere else a missing setting is an error, since a folder of one
+    machine would lose the rows that other machines write.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("bankspark.scratch.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("bankspark.scratch.dir", None)
     if not folder:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="bankspark-")
         spark.conf.set("bankspark.scratch.dir", folder)
     return folder.rstrip("/")
@@ -73,3 +82,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers of a cluster need not have it installed, and a driver may be started from any folder.
+    """
+    if spark.conf.get("bankspark.shipped", None) == spark.sparkContext.applicationId:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="bankspark-"), "bankspark.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("bankspark.shipped", spark.sparkContext.applicationId)
