@@ -13,10 +13,11 @@ threshold:
    says nothing: one spare block is added, and only rows with more empty blocks than spare ones
    also publish these.)
 3. *Products.* Rows that agree in a block are multiplied first with one pivot of the block (the
-   row that agrees most often); overlaps are accumulated and compared exactly. Rows that
-   this links are one component and need no further product. Where a block still holds several
-   components, every row outside its largest one is multiplied with all rows of the others, so no
-   link that joins components is lost, and no group of near copies is ever expanded into all pairs.
+   row that agrees most often), then with a second one from outside its largest component; overlaps
+   are accumulated and compared exactly. Rows that this links are one component and need
+   no further product. Where a block still holds several components, rows are compared by their
+   differences from the pivot: linked ones must share rare columns of these (``_by_differences``).
+   So no link that joins components is lost, and no group of near copies is expanded into pairs.
 4. *Components* by large-star / small-star rounds over the links, each written to the shared
    folder.
 """
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bankspark.llm.components import components
@@ -205,39 +206,28 @@ def jaccard_components(
     rows = _only_own_text(rows, size)
     ranked = rows.select("key", "n", "weight")
 
-    weighed = shared.join(ranked, "key")
-    pivots = weighed.groupBy("block").agg(F.max(F.struct("weight", "key", "n")).alias("pivot"))
-    fits = f"{denominator} * least(n, m) >= {numerator} * greatest(n, m)"
-    pairs = cut_lineage(
-        weighed.join(pivots, "block").select("key", "n", F.col("pivot.key").alias("b"), F.col("pivot.n").alias("m"))
-        .where("key <> b").where(fits).select(F.col("key").alias("a"), "b").distinct()
-    )
-    links = cut_lineage(_overlaps(pairs, rows, size, bounds))
+    weighed = cut_lineage(shared.join(ranked, "key"))
+    pivots = cut_lineage(weighed.groupBy("block").agg(F.max(F.struct("weight", "key")).alias("top")).select("block", F.col("top.key").alias("pivot")))
+    pairs = weighed.join(pivots, "block").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = cut_lineage(_overlaps(cut_lineage(pairs), rows, size, bounds))
     label = components(links, "a", "b")
 
-    # Blocks that still hold several components: rows outside the largest against the others.
-    grouped = weighed.join(label.withColumnRenamed("node", "key"), "key", "left").select(
-        "block", "key", "n", F.coalesce("component", "key").alias("component")
-    )
-    grouped = cut_lineage(grouped)
-    parts = grouped.groupBy("block", "component").agg(F.count("*").alias("rows"))
-    largest = (
-        parts.groupBy("block").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("parts"))
-        .where("parts > 1").select("block", F.col("top.component").alias("top"))
-    )
-    outside = (
-        grouped.join(largest, "block").where("component <> top")
-        .select("block", F.col("key").alias("a"), "n", F.col("component").alias("own"), "top")
-    )
-    others = grouped.select("block", F.col("key").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    rest = (
-        outside.join(others, "block").where("own <> other").where("other = top or a < b").where(fits)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut_lineage(rest.join(done, ["a", "b"], "left_anti"))
-    more = cut_lineage(_overlaps(rest, rows, size, bounds))
-    label = components(links.unionByName(more), "a", "b")
+    # A second pivot for blocks that still hold several components, from outside the largest one.
+    grouped = _undecided(weighed, label)
+    largest = grouped.groupBy("block", "component").agg(F.count("*").alias("rows")).groupBy("block").agg(
+        F.max(F.struct("rows", "component")).alias("top")
+    ).select("block", F.col("top.component").alias("top"))
+    second = grouped.join(largest, "block").where("component <> top").groupBy("block").agg(
+        F.max(F.struct("weight", "key", "component")).alias("s")
+    ).select("block", F.col("s.key").alias("b"), F.col("s.component").alias("own"))
+    pairs = grouped.join(second, "block").where("component <> own").select(F.col("key").alias("a"), "b").distinct()
+    links = links.unionByName(cut_lineage(_overlaps(cut_lineage(pairs), rows, size, bounds)))
+    label = components(links, "a", "b")
+
+    grouped = _undecided(weighed, label)
+    rest = cut_lineage(_by_differences(grouped.join(pivots, "block"), rows, size, bounds))
+    links = links.unionByName(cut_lineage(_overlaps(rest, rows, size, bounds)))
+    label = components(links, "a", "b")
 
     named = cut_lineage(
         classes.join(label.withColumnRenamed("node", "key"), "key", "left")
@@ -254,6 +244,71 @@ def jaccard_components(
     )
 
 
+def _undecided(weighed: DataFrame, label: DataFrame) -> DataFrame:
+    """(block, key, n, weight, component) of blocks whose rows are not all in one component."""
+    grouped = cut_lineage(
+        weighed.join(label.withColumnRenamed("node", "key"), "key", "left")
+        .select("block", "key", "n", "weight", F.coalesce("component", "key").alias("component"))
+    )
+    several = grouped.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return grouped.join(several.where("low <> high").select("block"), "block")
+
+
+def _by_differences(grouped: DataFrame, rows: DataFrame, size: int, bounds: SizeBounds) -> DataFrame:
+    """Pairs (a, b) of different components that may still be linked, without forming a block's pairs.
+
+    With pivot v, x and y differ in |x^y| = |Dx| + |Dy| - 2 |Dx & Dy| columns, where Dx = x^v. If x
+    and y are linked but not both linked to v, |Dx| + |Dy| exceeds the largest difference of a
+    linked pair, so their differences share at least t columns, t half of the excess. In an order
+    of columns by rarity, x and y then share one of the first |Dx| - t + 1 and |Dy| - t + 1.
+    """
+    p, q = bounds.p, bounds.q
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for texts in (batch.column(4), batch.column(5)):
+                words, _, at = word_hashes(texts)
+                sets.append([np.unique(shingle(words[at[i] : at[i + 1]], size)) for i in range(batch.num_rows)])
+            delta = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(*sets, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array([len(d) for d in delta], pa.int64()), pa.array(delta, pa.list_(pa.int64()))],
+                names=["pivot", "key", "n", "component", "differing", "delta"],
+            )
+
+    members = cut_lineage(grouped.select("pivot", "key", "n", "component").distinct())
+    texts = rows.select("key", "text")
+    delta = cut_lineage(
+        members.where("key <> pivot").join(texts, "key")
+        .join(texts.select(F.col("key").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+        .select("pivot", "key", "n", "component", "text", "pivot_text")
+        .mapInArrow(differences, "pivot long, key long, n long, component long, differing long, delta array<long>")
+    )
+    entry = delta.select("pivot", "key", "n", "component", "differing", F.explode("delta").alias("column"))
+    counted = entry.groupBy("pivot", "column").agg(F.count("*").alias("rows"))
+    ranked = entry.join(counted, ["pivot", "column"]).withColumn(
+        "place", F.row_number().over(Window.partitionBy("pivot", "key").orderBy("rows", "column"))
+    )
+    # no pair needs more places than the largest difference of a linked pair with the larger partner
+    far = f"({q} - {p}) * (n + n * {q} div {p}) div ({q} + {p}) + 1"
+    prefix = cut_lineage(ranked.where(f"rows > 1 and place <= {far}").drop("rows"))
+    mixed = prefix.groupBy("pivot", "column").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    open_ = cut_lineage(prefix.join(mixed.select("pivot", "column"), ["pivot", "column"]))
+    largest = open_.groupBy("pivot", "column", "component").agg(F.count("*").alias("rows")).groupBy("pivot", "column").agg(
+        F.max(F.struct("rows", "component")).alias("top")
+    ).select("pivot", "column", F.col("top.component").alias("top"))
+    x = open_.join(largest, ["pivot", "column"]).where("component <> top")
+    y = open_.select("pivot", "column", F.col("key").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("differing").alias("d"), F.col("place").alias("at"))
+    excess = f"(differing + d - ({q} - {p}) * (n + m) div ({q} + {p}) + 1) div 2"
+    return (
+        x.join(y, ["pivot", "column"])
+        .where("component <> other and (other = top or key < b)")
+        .where(f"{q} * least(n, m) >= {p} * greatest(n, m)")
+        .where(f"place <= differing - {excess} + 1 and at <= d - {excess} + 1")
+        .select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+    )
+
+
 def _only_own_text(rows: DataFrame, size: int) -> DataFrame:
     """Rows whose text has the row's fingerprint (an id may stand at several texts), once each."""
 
