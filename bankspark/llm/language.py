@@ -19,7 +19,15 @@ from bankspark.llm.rows import map_rows
 
 LETTER = regex.compile(r"\p{L}")
 PIECE = 4096  # bytes compressed at once
-LEVEL = 3
+LEVEL = 6
+SHORTEST_MATCH = 3  # bytes: texts of a few words still match the dictionary
+#: bytes.translate table: ASCII that is no lower-case letter becomes a space.
+LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def plain_letters(text: str) -> bytes:
+    """The whole text in lower case, without digits, signs and repeated white space."""
+    return b" ".join(text.lower().encode().translate(LETTERS).split())
 
 
 def held_out(id_column: str | Column) -> Column:
@@ -29,7 +37,7 @@ def held_out(id_column: str | Column) -> Column:
 
 def language_dictionaries(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
-    sample: int = 64, dictionary_bytes: int = 131072,
+    sample: int = 256, dictionary_bytes: int = 131072,
 ) -> list[tuple[str, bytes]]:
     """(language, dictionary) learned from labelled documents that are not held out.
 
@@ -58,7 +66,7 @@ def language_dictionaries(
     )
     found: list[tuple[str, bytes]] = []
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        own = [t.text.lower().encode() for t in texts if t.lang == lang]
+        own = [plain_letters(t.text) for t in texts if t.lang == lang]
         own.sort(key=len)
         left, content = dictionary_bytes, []
         for k, text in enumerate(own):  # what short documents leave unused goes to longer ones
@@ -69,13 +77,14 @@ def language_dictionaries(
     return [(lang, content[-even:]) for lang, content in found]
 
 
-def with_language(documents: DataFrame, dictionaries: list[tuple[str, bytes]], text_column: str = "text", least_margin: float = 0.002) -> DataFrame:
+def with_language(documents: DataFrame, dictionaries: list[tuple[str, bytes]], text_column: str = "text", least_margin: float = 0.001) -> DataFrame:
     """(row, lang_pred, score, rejected): every row packed in ``row``, with its language.
 
     ``lang_pred`` is the language of the smallest compressed size (ties: the more frequent one in
     learning), ``und`` for a null text, one without letters, or when nothing was learned.
     ``score`` is the part of the second-smallest size that the best one saves, 0 for ``und``.
-    ``rejected``: ``und``, or a score below ``least_margin``. Whole texts are read, in lower case.
+    ``rejected``: ``und``, or a score below ``least_margin``. Whole texts are read, their letters in
+    lower case.
     Repeated rows, null ids and other columns do no harm.
     """
     sent = documents.sparkSession.sparkContext.broadcast(dictionaries)
@@ -84,9 +93,13 @@ def with_language(documents: DataFrame, dictionaries: list[tuple[str, bytes]], t
         names, compressors = [], []
         for name, content in sent.value:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
+            settings = zstandard.ZstdCompressionParameters.from_level(
+                LEVEL, source_size=PIECE, dict_size=len(content), min_match=SHORTEST_MATCH,
+                write_content_size=False, write_dict_id=False, write_checksum=False,
+            )
+            d.precompute_compress(compression_params=settings)
             names.append(name)
-            compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
+            compressors.append(zstandard.ZstdCompressor(dict_data=d, compression_params=settings))
 
         def classify(columns: list[pa.Array]) -> list[pa.Array]:
             best, score = [], []
@@ -96,9 +109,9 @@ def with_language(documents: DataFrame, dictionaries: list[tuple[str, bytes]], t
                     best.append("und")
                     score.append(0.0)
                     continue
-                data = text.lower().encode()
+                data = plain_letters(text)
                 pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-                sizes = np.array([sum(len(c.compress(p)) for p in pieces) for c in compressors])
+                sizes = np.array([sum(len(c.compress(p)) for p in pieces) for c in compressors], np.int64)
                 order = np.argsort(sizes, kind="stable")
                 best.append(names[order[0]])
                 second = sizes[order[1]] if len(order) > 1 else len(data) + sizes[order[0]]
@@ -111,7 +124,7 @@ def with_language(documents: DataFrame, dictionaries: list[tuple[str, bytes]], t
     return map_rows(documents, [F.col(text_column)], "lang_pred string, score double, rejected boolean", make)
 
 
-def identify_languages(documents: DataFrame, dictionaries: list[tuple[str, bytes]], least_margin: float = 0.002) -> DataFrame:
+def identify_languages(documents: DataFrame, dictionaries: list[tuple[str, bytes]], least_margin: float = 0.001) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) per row; see ``with_language``."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return with_language(rows, dictionaries, "text", least_margin).select(

@@ -180,7 +180,7 @@ def _least_squares(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 30
 
 
 #: Shares of the fitted repeat counts that are tried; the plan with the fewest sequences is used.
-SHARES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)
+SHARES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.0)
 
 
 def packing_plan(histogram: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:

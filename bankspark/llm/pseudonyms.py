@@ -34,44 +34,57 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _feistel(values: Column, radices: Column, tag: Column, key: str) -> Column:
     """The permuted vector. ``values`` and ``radices``: array<int> of equal size."""
-    half = F.ceil(F.size(values) / 2).cast("int")
-    rest = F.size(values) - half
-    part = lambda x: (F.slice(x, F.lit(1), half), F.slice(x, half + 1, rest))
-    (a, b), (ra, rb) = part(values), part(radices)
 
-    def shifted(x: Column, r: Column, other: Column, k: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tag, k.cast("string"), F.array_join(other.cast("array<string>"), ",")), 512)
-        word = lambda j: F.conv(F.substr(digest, 1 + 4 * (j % 32), F.lit(4)), 16, 10).cast("int")
-        return F.transform(x, lambda v, j: ((v + word(j)) % F.get(r, j)).cast("int"))
+    def shifted(x: Column, r: Column, other: Column, k: Column, name: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.lit(key), name, k.cast("string"), F.array_join(other.cast("array<string>"), ",")), 512)
+        word = lambda d, j: F.conv(F.substr(d, 1 + 4 * (j % 32), F.lit(4)), 16, 10).cast("int")
+        return _let(digest, lambda d: F.transform(x, lambda v, j: ((v + word(d, j)) % F.get(r, j)).cast("int")))
 
-    def one_round(state: Column, k: Column) -> Column:
-        return F.when(
-            k % 2 == 1, F.struct(shifted(state["a"], ra, state["b"], k).alias("a"), state["b"].alias("b"))
-        ).otherwise(F.struct(state["a"].alias("a"), shifted(state["b"], rb, state["a"], k).alias("b")))
+    def rounds(s: Column) -> Column:
+        def one(state: Column, k: Column) -> Column:
+            return F.when(
+                k % 2 == 1, F.struct(shifted(state["a"], s["ra"], state["b"], k, s["tag"]).alias("a"), state["b"].alias("b"))
+            ).otherwise(F.struct(state["a"].alias("a"), shifted(state["b"], s["rb"], state["a"], k, s["tag"]).alias("b")))
 
-    start = F.struct(a.alias("a"), b.alias("b"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round, lambda state: F.concat(state["a"], state["b"])
-    )
+        start = F.struct(s["a"].alias("a"), s["b"].alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one, lambda state: F.concat(state["a"], state["b"]))
+
+    def halves(s: Column) -> Column:
+        half = F.ceil(F.size(s["v"]) / 2).cast("int")
+        rest = F.size(s["v"]) - half
+        cut = lambda x, name: [F.slice(x, F.lit(1), half).alias(name[0]), F.slice(x, half + 1, rest).alias(name[1])]
+        return F.struct(*cut(s["v"], ("a", "b")), *cut(s["r"], ("ra", "rb")), s["tag"].alias("tag"))
+
+    return _let(F.struct(values.alias("v"), radices.alias("r"), tag.alias("tag")), lambda s: _let(halves(s), rounds))
 
 
 def _characters(value: Column, tag: str, key: str, letters: int, kept: Callable[[Column], Column]) -> Column:
     """Permute digits as digits and letters as letters of their case; ``kept`` places stay."""
-    chars = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substr(value, i, F.lit(1)))
-    radix = lambda c, j: (
-        F.when(kept(j), 1).when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), letters).otherwise(1)
-    )
-    first = lambda c: F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).otherwise(65)
-    radices = F.transform(chars, lambda c, j: radix(c, j).cast("int"))
-    values = F.transform(chars, lambda c, j: F.when(radix(c, j) == 1, 0).otherwise(F.ascii(c) - first(c)).cast("int"))
-    # the places that stay, and so the format, are part of the hash
-    form = F.concat(F.lit(tag), F.array_join(F.transform(chars, lambda c, j: F.when(radix(c, j) == 1, c).otherwise(radix(c, j).cast("string"))), ""))
-    got = _feistel(values, radices, form, key)
-    return F.array_join(
-        F.transform(got, lambda v, j: F.when(F.get(radices, j) == 1, F.get(chars, j)).otherwise(F.char(v + first(F.get(chars, j))))), ""
-    )
+
+    def place(i: Column) -> Column:
+        return _let(F.substr(value, i, F.lit(1)), lambda c: F.struct(
+            c.alias("c"),
+            F.when(kept(i - 1), 1).when(c.between("0", "9"), 10).when(c.between("a", "z") | c.between("A", "Z"), letters).otherwise(1).alias("r"),
+            F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).otherwise(65).alias("first"),
+        ))
+
+    def permuted(p: Column) -> Column:
+        radices = F.transform(p, lambda x: x["r"])
+        values = F.transform(p, lambda x: F.when(x["r"] == 1, 0).otherwise(F.ascii(x["c"]) - x["first"]))
+        # the places that stay, and so the format, are part of the hash
+        form = F.concat(F.lit(tag), F.array_join(F.transform(p, lambda x: F.when(x["r"] == 1, x["c"]).otherwise(x["r"].cast("string"))), ""))
+        return F.array_join(
+            F.zip_with(p, _feistel(values, radices, form, key), lambda x, v: F.when(x["r"] == 1, x["c"]).otherwise(F.char(v + x["first"]))), ""
+        )
+
+    return _let(F.transform(F.sequence(F.lit(1), F.length(value)), place), permuted)
 
 
 def _digits(value: Column) -> Column:
@@ -92,9 +105,8 @@ def _luhn(digits: Column, doubled: int) -> Column:
 def _card(value: Column, key: str) -> Column:
     """All digits but the first and the check digit are permuted; the check digit is made anew."""
     moved = _characters(value, "card", key, 1, lambda j: (j == 0) | (j == F.length(value) - 1))
-    body = F.substr(moved, F.lit(1), F.length(moved) - 1)
-    check = (10 - _luhn(_digits(body), 0) % 10) % 10
-    return F.concat(body, check.cast("string"))
+    check = lambda body: (10 - _let(_digits(body), lambda d: _luhn(d, 0)) % 10) % 10
+    return _let(F.substr(moved, F.lit(1), F.length(value) - 1), lambda body: F.concat(body, check(body).cast("string")))
 
 
 def _numbers(value: Column) -> Column:
@@ -108,46 +120,56 @@ def _address(value: Column, key: str) -> Column:
 
 def _social(value: Column, key: str) -> Column:
     """Area 001 to 899 without 666, group from 01, serial from 0001."""
-    n = _numbers(value)
-    area = F.get(n, F.lit(0))
-    values = F.array(area - 1 - (area > 666).cast("int"), F.get(n, F.lit(1)) - 1, F.get(n, F.lit(2)) - 1)
-    got = _feistel(values, F.array(F.lit(898), F.lit(99), F.lit(9999)), F.lit("social"), key)
-    new = F.get(got, F.lit(0)) + 1
-    return F.format_string("%03d-%02d-%04d", new + (new > 665).cast("int"), F.get(got, F.lit(1)) + 1, F.get(got, F.lit(2)) + 1)
 
+    def vector(n: Column) -> Column:
+        area = F.get(n, F.lit(0))
+        return F.array(area - 1 - (area > 666).cast("int"), F.get(n, F.lit(1)) - 1, F.get(n, F.lit(2)) - 1)
 
-def _day_parts(value: Column) -> tuple[Column, Column, Column]:
-    """Year, month and day; with slashes the month comes first where that gives a month."""
-    n = _numbers(value)
-    a, b, c = (F.get(n, F.lit(k)) for k in range(3))
-    iso, swapped = value.substr(5, 1) == "-", (value.substr(3, 1) == ".") | (a > 12)
-    return F.when(iso, a).otherwise(c), F.when(iso, b).when(swapped, b).otherwise(a), F.when(iso, c).when(swapped, a).otherwise(b)
+    def written(got: Column) -> Column:
+        new = F.get(got, F.lit(0)) + 1
+        return F.format_string("%03d-%02d-%04d", new + (new > 665).cast("int"), F.get(got, F.lit(1)) + 1, F.get(got, F.lit(2)) + 1)
 
+    return _let(_feistel(_let(_numbers(value), vector), F.array(F.lit(898), F.lit(99), F.lit(9999)), F.lit("social"), key), written)
 
-def _is_date(value: Column) -> Column:
-    year, month, day = _day_parts(value)
-    last = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
-    return (
-        year.between(FIRST_YEAR, FIRST_YEAR + CYCLE_YEARS * CYCLES - 1) & month.between(1, 12) & (day >= 1)
-        & F.when(month.between(1, 12) & (year >= 1), day <= last).otherwise(False)
-    )
+
+def _day(value: Column) -> Column:
+    """Year, month, day and form of what looks like a date; with slashes the month comes first
+    where that gives a month."""
+
+    def parts(n: Column) -> Column:
+        a, b, c = (F.get(n, F.lit(k)) for k in range(3))
+        fields = lambda y, m, d, form: F.struct(y.alias("y"), m.alias("m"), d.alias("d"), F.lit(form).alias("form"))
+        return (
+            F.when(value.substr(5, 1) == "-", fields(a, b, c, "yyyy-MM-dd")).when(value.substr(3, 1) == ".", fields(c, b, a, "dd.MM.yyyy"))
+            .when(a > 12, fields(c, b, a, "dd/MM/yyyy")).otherwise(fields(c, a, b, "MM/dd/yyyy"))
+        )
+
+    return _let(_numbers(value), parts)
 
 
 def _date(value: Column, key: str) -> Column:
-    """A day of the same 28 years, written in the same form; one day has one pseudonym in all forms."""
-    year, month, day = _day_parts(value)
-    begin_year = F.lit(FIRST_YEAR) + CYCLE_YEARS * F.floor((year - FIRST_YEAR) / CYCLE_YEARS).cast("int")
-    begin = F.make_date(begin_year, F.lit(1), F.lit(1))
-    place = F.date_diff(F.make_date(year, month, day), begin)
+    """A day of the same 28 years, written in the same form; one day has one pseudonym in all forms.
+    Null where there is no such day."""
     low = CYCLE_RADICES[1]
-    values = F.array(F.floor(place / low).cast("int"), (place % low).cast("int"))
-    got = _feistel(values, F.array(*map(F.lit, CYCLE_RADICES)), F.concat(F.lit("date"), begin_year.cast("string")), key)
-    new = F.date_add(begin, F.get(got, F.lit(0)) * low + F.get(got, F.lit(1)))
-    return (
-        F.when(value.substr(5, 1) == "-", F.date_format(new, "yyyy-MM-dd"))
-        .when(value.substr(3, 1) == ".", F.date_format(new, "dd.MM.yyyy"))
-        .when(F.get(_numbers(value), F.lit(0)) > 12, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
-    )
+
+    def there(t: Column) -> Column:
+        first = t["y"].between(FIRST_YEAR, FIRST_YEAR + CYCLE_YEARS * CYCLES - 1) & t["m"].between(1, 12) & (t["d"] >= 1)
+        last = F.when(first, F.dayofmonth(F.last_day(F.make_date(t["y"], t["m"], F.lit(1)))))
+        begin = F.make_date(F.lit(FIRST_YEAR) + CYCLE_YEARS * F.floor((t["y"] - FIRST_YEAR) / CYCLE_YEARS).cast("int"), F.lit(1), F.lit(1))
+        return F.when(
+            F.coalesce(t["d"] <= last, F.lit(False)),
+            F.struct(begin.alias("begin"), F.date_diff(F.make_date(t["y"], t["m"], t["d"]), begin).alias("place"), t["form"].alias("form")),
+        )
+
+    def moved(s: Column) -> Column:
+        values = F.array(F.floor(s["place"] / low).cast("int"), (s["place"] % low).cast("int"))
+        got = _feistel(values, F.array(*map(F.lit, CYCLE_RADICES)), F.concat(F.lit("date"), F.year(s["begin"]).cast("string")), key)
+        day = _let(got, lambda g: F.date_add(s["begin"], F.get(g, F.lit(0)) * low + F.get(g, F.lit(1))))
+        forms = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy")
+        written = lambda x: F.coalesce(*[F.when(s["form"] == f, F.date_format(x, f)) for f in forms], F.date_format(x, "MM/dd/yyyy"))
+        return F.when(s.isNotNull(), _let(day, written))
+
+    return _let(_let(_day(value), there), moved)
 
 
 def _of_form(value: Column, kind: str) -> Column:
@@ -164,7 +186,7 @@ def _replaced(value: Column, key: str) -> Column:
     return (
         F.when(_of_form(value, "email"), _characters(value, "email", key, 26, lambda j: j >= at))
         .when(_of_form(value, "address"), F.when(F.forall(octets, lambda o: o <= 255), _address(value, key)))
-        .when(_of_form(value, "date"), F.when(_is_date(value), _date(value, key)))
+        .when(_of_form(value, "date"), _date(value, key))
         .when(
             _of_form(value, "social"),
             F.when(

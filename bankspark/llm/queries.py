@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bankspark.llm.fm_index import contamination
 from bankspark.llm.jaccard import jaccard_components
+from bankspark.llm.language import identify_languages, language_dictionaries
+from bankspark.llm.packing import pack_documents
+from bankspark.llm.pseudonyms import pseudonymise
 from bankspark.llm.sql import ORACLE_SQL
 from bankspark.session import configure, ship_package
 
+#: Key of the registered query; whoever publishes a corpus passes a secret one.
+PSEUDONYM_KEY = "registered query"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -29,11 +36,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @llm_query
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, numerator=90, denominator=100)
 
 
+@llm_query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), capacity=2048)
+
+
+@llm_query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, one_in=20).drop("spans")
+
+
+@llm_query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return identify_languages(documents, language_dictionaries(documents))
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@llm_query
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(documents, PSEUDONYM_KEY)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
