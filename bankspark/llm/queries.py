@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from bankspark.llm.fm_index import contamination
 from bankspark.llm.jaccard import jaccard_components
 from bankspark.llm.language import identify_languages, language_dictionaries
+from bankspark.llm.licenses import license_scan
+from bankspark.llm.likelihood import quality_rules
 from bankspark.llm.packing import pack_documents
 from bankspark.llm.pseudonyms import pseudonymise
+from bankspark.llm.quotations import link_quotations
 from bankspark.llm.sql import ORACLE_SQL
+from bankspark.llm.warc_chunks import read_back
+from bankspark.llm.weak_labels import classify_quality
 from bankspark.session import configure, ship_package
 
 #: Key of the registered query; whoever publishes a corpus passes a secret one.
@@ -47,16 +52,36 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, numerator=90, denominator=100)
 
 
+@llm_query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"))
+
+
+@llm_query
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 @llm_query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), capacity=2048)
 
 
+@llm_query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 @llm_query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, one_in=20).drop("spans")
 
 
+@llm_query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @llm_query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -69,6 +94,11 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@llm_query
+def op9_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_back(table(spark, sf_dir, "pages"))
+
+
 @llm_query
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
