@@ -9,35 +9,35 @@ from bankspark.session import cut_lineage
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for every node of ``links``: the smallest node that it reaches.
+    """(node, component) for every node of ``links``: one of the nodes it reaches, the same for all.
 
-    Large-star and small-star steps in turn until nothing changes; every step is a map-side
-    combined minimum per node and a join, and is written to the shared folder. Empty links give an
-    empty table; loops and repeated links do no harm.
+    Contraction: every node goes to the first among itself and its neighbours in an order by a hash
+    that changes each round, links go along, and links within one node vanish, until none is left;
+    then the steps of each node are followed. A round is a map-side combined minimum per node and
+    two joins, written to the shared folder, so no node's links come together in one task. The
+    number of rounds grows with the logarithm of the links, for chains as for stars. Empty links give an empty table; loops and repeated links do
+    no harm.
     """
-    edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    edges = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
+    edges = cut_lineage(
+        links.select(F.least(a, b).cast("long").alias("u"), F.greatest(a, b).cast("long").alias("v")).distinct()
+    )
+    steps: list[DataFrame] = []
+    while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # large: every larger neighbour now hangs on the smallest; small: the rest of a node's
-        # smaller neighbours hang on its smallest one
-        large = cut_lineage(large)
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v").where("u <> v").distinct()
+        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        first = both.groupBy("u").agg(F.min(ranked("v")).alias("m"))
+        target = cut_lineage(first.select(F.col("u").alias("node"), F.least("m", ranked("u"))["id"].alias("to")))
+        steps.append(target)
+        edges = cut_lineage(
+            edges.join(target.select(F.col("node").alias("u"), F.col("to").alias("x")), "u")
+            .join(target.select(F.col("node").alias("v"), F.col("to").alias("y")), "v")
+            .where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
         )
-        edges = cut_lineage(small)
-        now = edges.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        if (now.n, now.h) == state:
-            break
-        state = (now.n, now.h)
-    return nodes.join(
-        edges.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left"
-    ).select("node", F.coalesce("component", "node").alias("component"))
+    if not steps:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    label = steps[0].select("node", F.col("to").alias("component"))
+    for step in steps[1:]:
+        label = label.join(step.select(F.col("node").alias("component"), "to"), "component", "left").select(
+            "node", F.coalesce("to", "component").alias("component")
+        )
+    return cut_lineage(label)
