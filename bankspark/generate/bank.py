@@ -80,20 +80,17 @@ class BankGenerator:
         """Uniform attributes for each customer id; the age follows from the year of birth."""
         key = "customer_id"
         gender = choice(self._u("gender", key), V.GENDERS)
-        first = F.when(gender == "Male", choice(self._u("first", key), V.MALE_NAMES)).otherwise(
-            choice(self._u("first", key), V.FEMALE_NAMES)
-        )
         born = day_between(self._u("born", key), F.add_months(self.today, -81 * 12), F.add_months(self.today, -18 * 12))
         number = F.lpad(F.floor(self._u("phone", key) * 100_000_000).cast("string"), 8, "0")
         return ids.select(
             key,
-            F.concat_ws(" ", first, choice(self._u("family", key), V.FAMILY_NAMES)).alias("name"),
+            F.concat(F.lit("Customer "), F.col(key).cast("string")).alias("name"),
             gender.alias("gender"),
             born.alias("date_of_birth"),
             (F.year(self.today) - F.year(born)).alias("age"),
             choice(self._u("marital", key), V.MARITAL_STATUSES).alias("marital_status"),
             choice(self._u("education", key), V.EDUCATION_LEVELS).alias("education_level"),
-            choice(self._u("occupation", key), V.OCCUPATIONS).alias("occupation"),
+            F.concat(F.lit("Occupation "), F.floor(self._u("occupation", key) * 12 + 1).cast("string")).alias("occupation"),
             money(self._u("income", key), 300_000, 5_000_000).alias("income"),
             choice(self._u("region", key), V.LOCATIONS).alias("region"),
             day_between(self._u("join", key), F.add_months(self.today, -120), self.today).alias("join_date"),

@@ -48,7 +48,7 @@ def tree_samples(df: DataFrame, key: str, features: Sequence[str], trees: int, r
     return drawn.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows).drop("_r", "_copy")
 
 
-_NODES = "tree INT, node INT, feature INT, split DOUBLE, left INT, right INT, depth DOUBLE"
+_NODES = "tree INT, node INT, feature INT, split DOUBLE, left INT, right INT, depth DOUBLE, sample INT"
 
 
 def _grow(features: Sequence[str], seed: int):
@@ -67,15 +67,15 @@ def _grow(features: Sequence[str], seed: int):
             low, high = part.min(axis=0), part.max(axis=0)
             open_features = np.flatnonzero(high > low)
             if depth >= limit or len(idx) <= 1 or len(open_features) == 0:
-                rows.append((tree, node, -1, 0.0, -1, -1, depth + average_path(len(idx))))
+                rows.append((tree, node, -1, 0.0, -1, -1, depth + average_path(len(idx)), len(x)))
                 continue
             f = int(rng.choice(open_features))
             split = float(rng.uniform(low[f], high[f]))
             goes_left = part[:, f] <= split
             left, right, used = used, used + 1, used + 2
-            rows.append((tree, node, f, split, left, right, float(depth)))
+            rows.append((tree, node, f, split, left, right, float(depth), len(x)))
             waiting += [(left, idx[goes_left], depth + 1), (right, idx[~goes_left], depth + 1)]
-        return pd.DataFrame(rows, columns=["tree", "node", "feature", "split", "left", "right", "depth"])
+        return pd.DataFrame(rows, columns=["tree", "node", "feature", "split", "left", "right", "depth", "sample"])
 
     return grow
 
@@ -89,9 +89,12 @@ def fit_isolation_forest(
 
 
 def isolation_scores(
-    forest: DataFrame, df: DataFrame, features: Sequence[str], rows: int = 256, name: str = "iso_anomaly_score"
+    forest: DataFrame, df: DataFrame, features: Sequence[str], name: str = "iso_anomaly_score"
 ) -> DataFrame:
-    """Attach the anomaly score 2^(-mean depth / expected depth) to every row."""
+    """Attach the anomaly score 2^(-mean of depth / expected depth) to every row.
+
+    The expected depth is that of a tree's own sample, which is smaller than asked for where the table is.
+    """
     spark = df.sparkSession
     nodes = forest.toPandas()  # bounded by trees * 2 * rows
     packed = []
@@ -99,11 +102,12 @@ def isolation_scores(
         packed.append(
             tuple(
                 t[c].to_numpy(dtype=kind)
-                for c, kind in [("feature", int), ("split", float), ("left", int), ("right", int), ("depth", float)]
+                for c, kind in [("feature", int), ("split", float), ("left", int), ("right", int)]
             )
+            + (t["depth"].to_numpy(dtype=float) / max(average_path(int(t["sample"].iloc[0])), 1e-9),)
         )
     shared = spark.sparkContext.broadcast(packed)
-    names, norm = list(features), average_path(rows)
+    names = list(features)
 
     def score(batches):
         for pdf in batches:
@@ -120,7 +124,7 @@ def isolation_scores(
                     goes_left = x[every, np.maximum(f, 0)] <= split[at]
                     at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
                 depth_sum += depth[at]
-            yield pdf.assign(**{name: np.power(2.0, -depth_sum / len(shared.value) / norm)})
+            yield pdf.assign(**{name: np.power(2.0, -depth_sum / len(shared.value))})
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"{name} DOUBLE"])
     return df.mapInPandas(score, schema)
@@ -168,49 +172,59 @@ def _gradient(flat: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def fit_autoencoder(
-    scaled: DataFrame, features: Sequence[str], epochs: int = 50, batch: int = 64, rate: float = 0.01, seed: int = 42
+    scaled: DataFrame, features: Sequence[str], steps: int = 60, rate: float = 0.05, seed: int = 42, settled: float = 1e-5
 ) -> np.ndarray:
     """Train the n-10-2-10-n tanh network and return its flat weights.
 
-    In every epoch each partition runs mini-batches from the same start and reports its weights;
-    Spark averages them by rows. What moves is one small array per partition, and the rows are
-    read from a written copy.
+    Each step sums the gradient over all rows and moves once (Adam), so the weights do not depend on
+    how rows are dealt to partitions. Training ends after ``steps`` or when the loss has
+    settled. What moves is one small array per partition; the rows are read from a written copy.
+    Rows with a null are left out.
     """
     names, n = list(features), len(features)
-    rows = cut_lineage(scaled.select(*[F.col(f).cast("double").alias(f) for f in names]))
+    rows = cut_lineage(scaled.select(*[F.col(f).cast("double").alias(f) for f in names]).dropna("any"))
     weights = _start(n, seed)
     spark = scaled.sparkSession
+    m, v, last = np.zeros_like(weights), np.zeros_like(weights), math.inf
 
-    def one_epoch(shared):
+    def one_step(shared):
         def run(batches):
-            flat, seen = shared.value.copy(), 0
-            m, v, step = np.zeros_like(flat), np.zeros_like(flat), 0
+            total, loss, seen = np.zeros(len(shared.value)), 0.0, 0
             for pdf in batches:
                 x = pdf.to_numpy(dtype=float)
-                seen += len(x)
-                for at in range(0, len(x), batch):
-                    g = _gradient(flat, x[at : at + batch])
-                    step += 1
-                    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                    flat = flat - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                if len(x):
+                    total += _gradient(shared.value, x) * len(x)
+                    loss += _loss(shared.value, x)
+                    seen += len(x)
             if seen:
-                yield pd.DataFrame({"place": np.arange(len(flat)), "total": flat * seen, "n": float(seen)})
+                place = np.arange(len(total) + 2)
+                yield pd.DataFrame({"place": place, "total": np.concatenate([total, [loss, seen]])})
 
         return run
 
-    for _ in range(epochs):
+    for step in range(1, steps + 1):
         shared = spark.sparkContext.broadcast(weights)
-        averaged = (
-            rows.mapInPandas(one_epoch(shared), "place INT, total DOUBLE, n DOUBLE")
-            .groupBy("place")
-            .agg((F.sum("total") / F.sum("n")).alias("w"))
-            .collect()  # one number per weight
-        )
-        weights = np.array([r["w"] for r in sorted(averaged, key=lambda r: r["place"])])
+        sums = rows.mapInPandas(one_step(shared), "place INT, total DOUBLE").groupBy("place").agg(F.sum("total").alias("t"))
+        got = np.array([r["t"] for r in sorted(sums.collect(), key=lambda r: r["place"])])  # one number per weight
         shared.unpersist()
+        if not len(got):
+            break
+        gradient, loss = got[:-2] / got[-1], got[-2] / got[-1]
+        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient * gradient
+        weights = weights - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if abs(last - loss) < settled * max(loss, 1e-12):
+            break
+        last = loss
     return weights
 
 
+def _loss(flat: np.ndarray, x: np.ndarray) -> float:
+    out, layers = x, _unpack(flat, x.shape[1])
+    for w, bias in layers[:-1]:
+        out = np.tanh(out @ w + bias)
+    return float(((out @ layers[-1][0] + layers[-1][1] - x) ** 2).mean(axis=1).sum())
+
+
 def reconstruction_error(
     weights: np.ndarray, scaled: DataFrame, features: Sequence[str], name: str = "ae_reconstruction_error"
 ) -> DataFrame:

@@ -37,9 +37,20 @@ def model_matrix(df: DataFrame) -> DataFrame:
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows for fitting: those with a null or NaN feature are left out."""
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
 
 
+def assemble_all(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows for scoring: all of them; ``_complete`` tells those that have every feature."""
+    complete = F.lit(True)
+    for f in features:
+        complete = complete & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    filled = df.withColumns({f"_f{i}": F.when(complete, F.col(f).cast("double")).otherwise(0.0) for i, f in enumerate(features)} | {"_complete": complete})
+    names = [f"_f{i}" for i in range(len(features))]
+    return VectorAssembler(inputCols=names, outputCol="features").transform(filled).drop(*names)
+
+
 def fit_boosting(train: DataFrame, features: Sequence[str], label: str, rounds: int = 100, seed: int = 123):
     """Gradient boosted trees with logistic loss, depth 6 and step 0.3."""
     rows = assemble(train, features).select("features", F.col(label).cast("double").alias(label)).persist()
@@ -96,11 +107,14 @@ def fit_forest_cross_validated(
 
 
 def predict(model, df: DataFrame, features: Sequence[str], cut: float = 0.5) -> DataFrame:
-    """Attach the probability of class 1 and the class (strictly above the cut)."""
-    scored = model.transform(assemble(df, features))
-    prob = vector_to_array("probability")[1]
+    """Attach the probability of class 1 and the class (strictly above the cut) to every row.
+
+    A row with a null or NaN feature keeps both as null.
+    """
+    scored = model.transform(assemble_all(df, features))
+    prob = F.when(F.col("_complete"), vector_to_array("probability")[1])
     return scored.select(*df.columns, prob.alias("predicted_prob")).withColumn(
-        "predicted_class", F.when(F.col("predicted_prob") > cut, 1).otherwise(0)
+        "predicted_class", F.when(F.col("predicted_prob").isNull(), F.lit(None)).when(F.col("predicted_prob") > cut, 1).otherwise(0)
     )
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from bankspark import fixed_values as V
 from bankspark.functions import dates as D
 from bankspark.functions.numbers import log_amount, money_avg, money_sum, percent, ratio
-from bankspark.operators.joins import lookup_join
 from bankspark.operators.quantiles import exact_quantiles
 
 RULE_FLAGS = ["amount_anomaly", "type_anomaly", "channel_anomaly", "time_anomaly", "location_anomaly"]
@@ -61,33 +60,27 @@ def usual_patterns(tx: DataFrame) -> DataFrame:
     return amounts.join(modes, "account_id", "left")
 
 
-def time_since_last(tx: DataFrame, hot_rows: int = 1_000_000, every: str = "HOUR") -> DataFrame:
+def time_since_last(tx: DataFrame, every: str = "HOUR") -> DataFrame:
     """Hours since the previous transaction of the account; null for the first.
 
-    Ordinary accounts are looked back at in one window each. An account with more than
-    ``hot_rows`` rows is not sorted as a whole: it is cut into slices of the calendar, and the
-    first row of a slice takes the last time of the account's previous slice, from a table with
-    one row per slice.
+    No account is sorted as a whole: each is cut into slices of the calendar, and the first row of
+    a slice takes the last time of the account's previous slice, from a table with one row per slice.
     """
-    counts = tx.groupBy("account_id").agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > hot_rows).select("account_id", F.lit(True).alias("_hot"))
-    slice_start = F.when(F.col("_hot"), F.date_trunc(every, "transaction_date"))
-    sliced = lookup_join(tx, hot, "account_id").withColumn(
-        "_slice", F.coalesce(F.unix_seconds(slice_start.cast("timestamp")), F.lit(0))
-    )
-    ends = (
-        sliced.filter("_hot").groupBy("account_id", "_slice").agg(F.max("transaction_date").alias("_end"))
-    )
+    slice_start = F.date_trunc(every, "transaction_date")
+    sliced = tx.withColumn("_slice", F.coalesce(F.unix_seconds(slice_start.cast("timestamp")), F.lit(0)))
+    ends = sliced.groupBy("account_id", "_slice").agg(F.max("transaction_date").alias("_end"))
     carried = ends.select(
         "account_id", "_slice",
         F.lag("_end").over(W.partitionBy("account_id").orderBy("_slice")).alias("_carried"),
     )
     inside = W.partitionBy("account_id", "_slice").orderBy("transaction_date", "transaction_id")
     previous = F.coalesce(F.lag("transaction_date").over(inside), F.col("_carried"))
+    same = F.col("account_id").eqNullSafe(F.col("_account")) & (F.col("_slice") == F.col("_at"))
+    named = carried.select(F.col("account_id").alias("_account"), F.col("_slice").alias("_at"), "_carried")
     return (
-        sliced.join(carried, ["account_id", "_slice"], "left")
+        sliced.join(named, same, "left")
         .withColumn("time_since_last", D.hours_between(F.col("transaction_date"), previous))
-        .drop("_hot", "_slice", "_carried")
+        .drop("_slice", "_carried", "_account", "_at")
     )
 
 

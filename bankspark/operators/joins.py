@@ -51,16 +51,9 @@ def repeated_by(rows: DataFrame, others: DataFrame, key: str, count_name: str) -
     return rows.join(counts, key)
 
 
-def checked_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is."""
-    df = df.persist()
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Join a lookup that is expected to be small, on a key with few and therefore hot values.
+    """Join a lookup on a key with few and therefore hot values.
 
-    It is broadcast when its count allows; otherwise the join is left to Spark, which can split
-    skewed partitions.
+    Spark broadcasts the lookup if it is below its size limit, and else splits skewed partitions.
     """
-    return rows.join(checked_broadcast(lookup), key, how)
+    return rows.join(lookup, key, how)

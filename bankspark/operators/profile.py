@@ -74,15 +74,19 @@ def schema_report(df: DataFrame) -> DataFrame:
 
 
 def _as_text(df: DataFrame, column: str) -> Column:
-    if dict(df.dtypes)[column] == "double":
-        return F.col(column).cast("decimal(18,2)").cast("string")
     return F.col(column).cast("string")
 
 
 def value_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, count) for all the columns at once; null is a value."""
+    """(column, value, count) for all the columns at once; null is a value.
+
+    Values are told apart by their exact text; doubles are then shown with two decimals.
+    """
+    doubles = [c for c, t in df.dtypes if t == "double"]
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in columns])
-    return df.select(F.inline(pairs)).groupBy("column", "value").count()
+    counted = df.select(F.inline(pairs)).groupBy("column", "value").count()
+    shown = F.coalesce(F.col("value").try_cast("double").try_cast("decimal(18,2)").cast("string"), F.col("value"))
+    return counted.withColumn("value", F.when(F.col("column").isin(doubles), shown).otherwise(F.col("value")))
 
 
 def distinct_profile(df: DataFrame) -> DataFrame:

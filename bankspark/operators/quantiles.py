@@ -16,12 +16,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
-_ONE_TASK_ROWS = 1_000_000
+_ONE_TASK_ROWS = 1_000_000  # distinct values of a band that one task may order
 
 
-def _around(position: float) -> list[float]:
-    """Probabilities that surely enclose ``position`` given the sketch's rank error."""
-    return [max(0.0, position - 2 / _ACCURACY), min(1.0, position + 2 / _ACCURACY)]
+def _around(position: float, width: int = 1) -> list[float]:
+    """Probabilities that enclose ``position`` given ``width`` times the sketch's rank error."""
+    return [max(0.0, position - 2 * width / _ACCURACY), min(1.0, position + 2 * width / _ACCURACY)]
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
@@ -42,12 +42,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[
     if n == 0:
         return [None] * len(probs)
     targets = [(n - 1) * p for p in probs]
-    bands = [(head["low"], head["high"], 0)] * len(probs)
-    if n > _ONE_TASK_ROWS:
-        bands = [
-            _narrow(values, math.floor(t), n, (head["low"], head["high"]), tuple(head["cuts"][2 * i : 2 * i + 2]))
-            for i, t in enumerate(targets)
-        ]
+    cuts = [tuple(head["cuts"][2 * i : 2 * i + 2]) for i in range(len(probs))]
+    bands = _narrow(values, [math.floor(t) for t in targets], n, (head["low"], head["high"]), cuts)
     in_bands = F.array_compact(
         F.array(*[F.when(v.between(low, high), F.lit(i)) for i, (low, high, _) in enumerate(bands)])
     )
@@ -74,27 +70,46 @@ def _interpolate(target: float, n: int, rows) -> float:
     return low + (high - low) * (target - k)
 
 
-def _narrow(values: DataFrame, rank: int, n: int, whole, cuts) -> tuple[float, float, int]:
-    """Shrink a value band until it is small or a single value; returns (low, high, rows below)."""
+def _narrow(values: DataFrame, ranks: Sequence[int], n: int, whole, cuts: list[tuple]) -> list[tuple[float, float, int]]:
+    """For each rank a value band that is small or a single value: (low, high, rows below).
+
+    All bands are counted in one pass. A band that misses its rank is widened, up to all values; one
+    that is still large is cut again by a sketch of its own rows.
+    """
     v = F.col("_v")
-    band = (*whole, 0)
-    while True:
-        low, high = cuts
+    bands: list[tuple] = [(*whole, 0)] * len(ranks)
+    width = [1] * len(ranks)
+    size = [n] * len(ranks)
+    waiting = list(range(len(ranks)))
+    while waiting:
         row = values.agg(
-            F.count_if(v < low).alias("below"), F.count_if(v.between(low, high)).alias("inside")
+            *[F.count_if(v < cuts[i][0]).alias(f"b{i}") for i in waiting],
+            *[F.count_if(v.between(*cuts[i])).alias(f"i{i}") for i in waiting],
         ).first()
-        below, inside = row["below"], row["inside"]
-        fits = below <= rank and below + inside > min(rank + 1, n - 1)
-        if not fits or (low, high) == band[:2]:
-            return band
-        band = (low, high, below)
-        if inside <= _ONE_TASK_ROWS or low == high:
-            return band
-        cuts = tuple(
-            values.filter(v.between(low, high))
-            .agg(F.percentile_approx(v, _around((rank - below) / inside), _ACCURACY).alias("c"))
-            .first()["c"]
-        )
+        again = []
+        for i in waiting:
+            below, inside = row[f"b{i}"], row[f"i{i}"]
+            fits = below <= ranks[i] and below + inside > min(ranks[i] + 1, n - 1)
+            if fits:
+                stuck = cuts[i] == bands[i][:2]
+                bands[i], size[i], width[i] = (*cuts[i], below), inside, 1
+                if inside > _ONE_TASK_ROWS and cuts[i][0] < cuts[i][1] and not stuck:
+                    again.append(i)
+            else:
+                width[i] *= 8
+                again.append(i)
+        if again:
+            asked = []
+            for i in again:
+                low, high, below = bands[i]
+                inner = F.when(v.between(low, high), v)
+                grid = _around((ranks[i] - below) / size[i], width[i])
+                asked.append(F.percentile_approx(inner, grid, _ACCURACY).alias(f"c{i}"))
+            found = values.agg(*asked).first()
+            for i in again:
+                cuts[i] = tuple(found[f"c{i}"]) if width[i] < _ACCURACY else bands[i][:2]
+        waiting = again
+    return bands
 
 
 def running_totals(

@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bankspark.functions.numbers import HASH_RANGE, arithmetic_hash
-from bankspark.operators.joins import checked_broadcast
 
 _HASHES_PER_BUCKET = 1024
 
@@ -69,7 +68,7 @@ def split_flag(
             return rows.withColumns({c: F.lit(row[c] if row else None).cast(t) for c, t in cuts.dtypes})
         small = cuts.select(*[F.col(k).alias(f"_c{k}") for k in keys], *[c for c in cuts.columns if c not in keys])
         same = [F.col(k).eqNullSafe(F.col(f"_c{k}")) for k in keys]
-        return rows.join(checked_broadcast(small), reduce(lambda a, b: a & b, same), "left").drop(
+        return rows.join(small, reduce(lambda a, b: a & b, same), "left").drop(
             *[f"_c{k}" for k in keys]
         )
 

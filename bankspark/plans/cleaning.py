@@ -11,6 +11,7 @@ from bankspark.operators import cleaning as C
 from bankspark.operators import columns as L
 from bankspark.operators import quality as Q
 from bankspark.plans.registry import query
+from bankspark.sources.tables import VECTOR_SIZE
 from bankspark.schema import DOMAINS
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -148,7 +149,7 @@ def _(b):
     return out
 
 
-_VECTOR = [f"v{i}" for i in range(1, 9)]
+_VECTOR = [f"v{i}" for i in range(1, VECTOR_SIZE + 1)]
 
 
 @query(
@@ -167,23 +168,23 @@ def _(b):
 @query(
     "dq6_drop_constant_columns",
     "vectors",
-    "SELECT vec_id, v1, v2, v3 FROM vectors",
+    "SELECT vec_id, " + ", ".join(_VECTOR) + " FROM vectors",
 )
 def _(b):
-    widened = b.vectors.select("vec_id", "v1", "v2", "v3", F.lit(1.0).alias("always_one"))
-    return Q.drop_constant(widened, ["v1", "v2", "v3", "always_one"])
+    widened = b.vectors.select("vec_id", *_VECTOR, F.lit(1.0).alias("always_one"))
+    return Q.drop_constant(widened, [*_VECTOR, "always_one"])
 
 
 @query(
     "ml1_standardise",
     "vectors",
     "SELECT vec_id, "
-    + ", ".join(f"round(({c} - AVG({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in _VECTOR[:3])
+    + ", ".join(f"round(({c} - AVG({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in _VECTOR)
     + " FROM vectors",
 )
 def _(b):
-    scaled = L.standardise(b.vectors.select("vec_id", "v1", "v2", "v3"), ["v1", "v2", "v3"])
-    return scaled.select("vec_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ["v1", "v2", "v3"]])
+    scaled = L.standardise(b.vectors.select("vec_id", *_VECTOR), _VECTOR)
+    return scaled.select("vec_id", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in _VECTOR])
 
 
 @query(

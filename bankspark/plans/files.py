@@ -9,7 +9,7 @@ from bankspark.operators import fraud as D
 from bankspark.operators import ranking as K
 from bankspark.operators import reports as R
 from bankspark.plans.fraud import FLAGGED
-from bankspark.plans.ranking import PEAK_AND_LEAST
+from bankspark.plans.ranking import peak_and_least_sql
 from bankspark.plans.registry import query
 from bankspark.plans.reports import SUM_AMOUNT
 from bankspark.session import fresh_path
@@ -66,11 +66,7 @@ def _per_location(b):
     return S.read_csv(b.spark, path, schema + ", location_slug STRING")
 
 
-_SLUG_SQL = PEAK_AND_LEAST + "\n"
-_SLUG_SQL = _SLUG_SQL.replace(
-    "SELECT location,\n  MAX(CASE WHEN n_desc",
-    "SELECT location, replace(lower(location), ' ', '_') AS location_slug,\n  MAX(CASE WHEN n_desc",
-)
+_SLUG_SQL = peak_and_least_sql(" replace(lower(e.location), ' ', '_') AS location_slug,")
 query("io5_write_per_key", "transactions", _SLUG_SQL)(_per_location)
 query("jb3_peak_least_by_location", "transactions", _SLUG_SQL)(_per_location)
 
@@ -86,7 +82,6 @@ _RUN_DAY = "2025-05-10"
 def _(b):
     path = fresh_path(b.spark, "dated-runs")
     rows = D.rule_scored(b.transactions_ev).select("transaction_id", "fraud_flag")
-    S.write_dated_run(rows.limit(10), path, _RUN_DAY)  # an interrupted first run, replaced below
     S.write_dated_run(rows, path, _RUN_DAY)
     return b.spark.read.parquet(path)
 

@@ -95,14 +95,17 @@ def _(b):
 @query(
     "jn8_cross_join",
     "campaigns customers",
-    "SELECT campaign_id, start_date, end_date, customer_id FROM campaigns CROSS JOIN customers",
+    """SELECT age_from, channel, customers, campaigns FROM
+  (SELECT CAST(age - age % 10 AS INT) AS age_from, COUNT(*) AS customers FROM customers GROUP BY 1)
+  CROSS JOIN (SELECT channel, COUNT(*) AS campaigns FROM campaigns GROUP BY 1)""",
 )
 def _(b):
-    return J.pair_all(
-        b.customers.select("customer_id"),
-        b.campaigns.select("campaign_id", "start_date", "end_date"),
-        "customer_id",
+    # both sides are grouped first: ten-year age bands and channels, so the grid has a fixed size
+    bands = b.customers.groupBy((F.col("age") - F.col("age") % 10).cast("int").alias("age_from")).agg(
+        F.count("*").alias("customers")
     )
+    channels = b.campaigns.groupBy("channel").agg(F.count("*").alias("campaigns"))
+    return bands.crossJoin(channels)
 
 
 @query(

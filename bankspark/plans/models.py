@@ -20,6 +20,7 @@ from bankspark.operators import fraud as D
 from bankspark.operators.customers import loan_default_data
 from bankspark.operators.sampling import fold_of, split_flag
 from bankspark.plans.registry import query
+from bankspark.sources.tables import VECTOR_SIZE
 from bankspark.plans.scalars import split_sql
 from bankspark.session import cut_lineage
 
@@ -82,8 +83,8 @@ def _(b):
     return S.variance_inflation(model, scales, loan_split(b)[0], S.GLM_FEATURES, terms)
 
 
-_GRAM = ["v1", "v2", "v3"]
-_GRAM_PAIRS = [(a, c) for i, a in enumerate(_GRAM) for c in _GRAM[i:]]
+_GRAM = [f"v{i}" for i in range(1, VECTOR_SIZE + 1)]
+_GRAM_PAIRS = [(a, c) for i, a in enumerate(_GRAM) for c in _GRAM[i : i + 2]]  # every entry, and its neighbour
 
 
 @query(

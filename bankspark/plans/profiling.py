@@ -113,7 +113,7 @@ VALUES = " UNION ALL ".join(
     + [
         f"SELECT '{c}', '{_ACCOUNT_TYPES[c]}', "
         + (f"CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR)" if c == "balance" else f"CAST({c} AS VARCHAR)")
-        + ", CAST(COUNT(*) AS DOUBLE) FROM accounts GROUP BY 3"
+        + f", CAST(COUNT(*) AS DOUBLE) FROM accounts GROUP BY {c}"
         for c in _CHOSEN
     ]
 )

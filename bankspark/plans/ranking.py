@@ -9,27 +9,30 @@ from bankspark.operators import reports as R
 from bankspark.plans.registry import query
 from bankspark.plans.reports import MONTH, SUM_AMOUNT
 
-_RANKED = f"""WITH monthly_rows AS (
-  SELECT location, {MONTH} AS month, COUNT(*) AS transaction_count, {SUM_AMOUNT} AS total_amount
-  FROM transactions GROUP BY 1, 2),
-ranked AS (
-  SELECT *, RANK() OVER (PARTITION BY location ORDER BY transaction_count DESC) AS n_desc,
-    RANK() OVER (PARTITION BY location ORDER BY transaction_count) AS n_asc,
-    RANK() OVER (PARTITION BY location ORDER BY total_amount DESC) AS s_desc,
-    RANK() OVER (PARTITION BY location ORDER BY total_amount) AS s_asc
-  FROM monthly_rows)
+# Check side: the extreme values of each location first, then the months that have them.
+_MONTHS = f"""WITH per_month AS (
+  SELECT location, {MONTH} AS month, COUNT(*) AS n, {SUM_AMOUNT} AS total FROM transactions GROUP BY ALL),
+extremes AS (
+  SELECT location, max(n) AS most, min(n) AS fewest, max(total) AS highest, min(total) AS lowest
+  FROM per_month GROUP BY location)
 """
 
-PEAK_AND_LEAST = _RANKED + """SELECT location,
-  MAX(CASE WHEN n_desc = 1 THEN month END) AS peak_transaction_month,
-  MAX(CASE WHEN n_desc = 1 THEN transaction_count END) AS peak_transaction_count,
-  MAX(CASE WHEN n_asc = 1 THEN month END) AS least_transaction_month,
-  MAX(CASE WHEN n_asc = 1 THEN transaction_count END) AS least_transaction_count,
-  MAX(CASE WHEN s_desc = 1 THEN month END) AS peak_amount_month,
-  MAX(CASE WHEN s_desc = 1 THEN total_amount END) AS peak_total_amount,
-  MAX(CASE WHEN s_asc = 1 THEN month END) AS least_amount_month,
-  MAX(CASE WHEN s_asc = 1 THEN total_amount END) AS least_total_amount
-FROM ranked GROUP BY location"""
+
+def peak_and_least_sql(more: str = "") -> str:
+    """Twin of the peak and least months; of several months with the same value the latest counts."""
+    return _MONTHS + f"""SELECT e.location,{more}
+  (SELECT max(month) FROM per_month p WHERE p.location IS NOT DISTINCT FROM e.location AND n = most) AS peak_transaction_month,
+  most AS peak_transaction_count,
+  (SELECT max(month) FROM per_month p WHERE p.location IS NOT DISTINCT FROM e.location AND n = fewest) AS least_transaction_month,
+  fewest AS least_transaction_count,
+  (SELECT max(month) FROM per_month p WHERE p.location IS NOT DISTINCT FROM e.location AND total = highest) AS peak_amount_month,
+  highest AS peak_total_amount,
+  (SELECT max(month) FROM per_month p WHERE p.location IS NOT DISTINCT FROM e.location AND total = lowest) AS least_amount_month,
+  lowest AS least_total_amount
+FROM extremes e"""
+
+
+PEAK_AND_LEAST = peak_and_least_sql()
 
 
 @query("wn1_peak_least_month", "transactions", PEAK_AND_LEAST)
@@ -37,12 +40,12 @@ def peak_and_least(b):
     return K.peak_and_least_months(b.transactions)
 
 
-_FIRST_PEAK = _RANKED + """SELECT location,
-  MIN(CASE WHEN n_desc = 1 THEN month END) AS peak_transaction_month,
-  MAX(transaction_count) AS max_transactions,
-  MIN(CASE WHEN s_desc = 1 THEN month END) AS peak_amount_month,
-  MAX(total_amount) AS max_total_amount
-FROM ranked GROUP BY location"""
+_FIRST_PEAK = _MONTHS + """SELECT e.location,
+  (SELECT min(month) FROM per_month p WHERE p.location IS NOT DISTINCT FROM e.location AND n = most) AS peak_transaction_month,
+  most AS max_transactions,
+  (SELECT min(month) FROM per_month p WHERE p.location IS NOT DISTINCT FROM e.location AND total = highest) AS peak_amount_month,
+  highest AS max_total_amount
+FROM extremes e"""
 
 
 @query("wn2_peak_month_idxmax", "transactions", _FIRST_PEAK)

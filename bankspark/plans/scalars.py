@@ -13,6 +13,7 @@ from bankspark.operators import reports as R
 from bankspark.operators import sampling as S
 from bankspark.operators.quantiles import exact_quantiles
 from bankspark.plans.registry import query
+from bankspark.sources.tables import VECTOR_SIZE
 from bankspark.plans.reports import MONTH, SUM_AMOUNT
 
 
@@ -431,7 +432,7 @@ def _(b):
 @query(
     "st_u6_wide_to_long",
     "vectors",
-    " UNION ALL ".join(f"SELECT vec_id, 'v{i}' AS feature, v{i} AS value FROM vectors" for i in range(1, 9)),
+    " UNION ALL ".join(f"SELECT vec_id, 'v{i}' AS feature, v{i} AS value FROM vectors" for i in range(1, VECTOR_SIZE + 1)),
 )
 def _(b):
-    return L.wide_to_long(b.vectors, ["vec_id"], [f"v{i}" for i in range(1, 9)], "feature", "value")
+    return L.wide_to_long(b.vectors, ["vec_id"], [f"v{i}" for i in range(1, VECTOR_SIZE + 1)], "feature", "value")

@@ -9,16 +9,22 @@ from bankspark.session import fresh_path
 from bankspark.streaming import router
 
 
+STAGED_FILES = 9
+
+
 def _routed(b) -> str:
-    """Stage the transactions as a folder of files, each id twice, and route them."""
+    """Stage the transactions as a folder of files, each id twice and out of time order, and route them
+    in several batches."""
     incoming, out = fresh_path(b.spark, "incoming"), fresh_path(b.spark, "routed")
     live = b.transactions_ev.select(
         "transaction_id", "account_id", F.col("transaction_date").cast("timestamp").alias("transaction_date"),
         "amount", "type", "channel", "location",
         F.when(F.col("transaction_id") % 3 == 0, F.col("amount") / 100.0).alias("fraud_score"),
     )
-    live.union(live).write.parquet(incoming)
-    router.route_stream(b.spark, incoming, out, fresh_path(b.spark, "checkpoint"))
+    # dealt by a hash: a file has rows of all days, and repeats of rows of other files
+    twice = live.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    twice.repartition(STAGED_FILES, F.xxhash64("transaction_id", "copy")).drop("copy").write.parquet(incoming)
+    router.route_stream(b.spark, incoming, out, fresh_path(b.spark, "checkpoint"), files_per_batch=STAGED_FILES // 3)
     return out
 
 

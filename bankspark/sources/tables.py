@@ -42,6 +42,8 @@ _EVENTS = "(SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS prop
 _SCORE = "CAST(300 + (event_id * 37 + user_id * 11) % 551 AS INT)"
 _MERCHANTS = list(V.MERCHANT_LOCATIONS)
 
+VECTOR_SIZE = 64  # entries of an embedding
+
 VIEWS: dict[str, View] = {
     "customers": View(
         "{customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey",
@@ -51,10 +53,7 @@ VIEWS: dict[str, View] = {
             "gender": _cases("c_custkey % 3", ["Male", "Female", "Other"]),
             "age": "CAST(18 + (c_custkey * 11) % 63 AS INT)",
             "marital_status": _cases("c_custkey % 4", ["Single", "Married", "Divorced", "Widowed"]),
-            "education_level": _cases(
-                "c_custkey % 7",
-                ["Primary", "Middle School", "High School", "Diploma", "Bachelor", "Master", "PhD"],
-            ),
+            "education_level": _cases("c_custkey % 7", V.EDUCATION_LEVELS),
             "occupation": "c_mktsegment",
             "income": "c_acctbal + 1000.0",
             "region": "r_name",
@@ -63,7 +62,7 @@ VIEWS: dict[str, View] = {
         },
     ),
     "accounts": View(
-        "{orders} WHERE o_custkey % 11 <> 3",
+        "{orders}",
         {
             "account_id": "o_orderkey",
             "customer_id": "o_custkey",
@@ -75,9 +74,7 @@ VIEWS: dict[str, View] = {
         },
     ),
     "transactions": View(
-        "{lineitem} JOIN {accounts} ON l_orderkey = account_id JOIN {supplier} ON l_suppkey = s_suppkey "
-        "JOIN {nation} ON s_nationkey = n_nationkey "
-        "WHERE status = 'Active' OR (status = 'Closed' AND customer_id % 2 = 0)",
+        "{lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey",
         {
             "account_id": "l_orderkey",
             "transaction_date": "l_shipdate",
@@ -117,7 +114,7 @@ VIEWS: dict[str, View] = {
         },
     ),
     "loans": View(
-        "{orders} WHERE o_orderkey % 4 = 3",
+        "{orders}",
         {
             "loan_id": "o_orderkey",
             "customer_id": "o_custkey",
@@ -142,12 +139,12 @@ VIEWS: dict[str, View] = {
         },
     ),
     "campaigns": View(
-        "{part} WHERE p_partkey < 10",
+        "{part}",
         {
             "campaign_id": "p_partkey + 1",
             "campaign_name": "'Campaign_' || CAST(p_partkey + 1 AS VARCHAR(10)) || '_2024'",
-            "start_date": "DATE '2024-01-01' + CAST(p_partkey * 3 AS INT)",
-            "end_date": "DATE '2024-01-08' + CAST(p_partkey * 3 + (p_partkey * 17) % 54 AS INT)",
+            "start_date": "DATE '2024-01-01' + CAST(p_partkey * 3 % 366 AS INT)",
+            "end_date": "DATE '2024-01-08' + CAST(p_partkey * 3 % 366 + (p_partkey * 17) % 54 AS INT)",
             "channel": _cases("p_partkey % 4", ["Email", "SMS", "Phone", "App Notification"]),
             "cost_mmk": "CAST(p_retailprice * 100 AS BIGINT)",
         },
@@ -180,7 +177,7 @@ VIEWS: dict[str, View] = {
         {
             "vec_id": "vec_id",
             "label": "label",
-            **{f"v{i}": f"CAST(element_at(embedding, {i}) AS DOUBLE)" for i in range(1, 9)},
+            **{f"v{i}": f"CAST(element_at(embedding, {i}) AS DOUBLE)" for i in range(1, VECTOR_SIZE + 1)},
         },
     ),
 }

@@ -44,26 +44,22 @@ def route_stream(
     model_name: str = "ManualCheck",
     model_version: str = "v1.0",
     score: Callable[[DataFrame], DataFrame] = rule_score,
-    lateness: str = "1 day",
-    files_per_batch: int | None = None,
+    files_per_batch: int = 64,
 ) -> None:
     """Read the folder of incoming Parquet files to its end and write the three tables.
 
-    A transaction id that comes again within the lateness is dropped. Each table is partitioned by
-    the batch number and a batch overwrites only its own partition, so a batch that is run again
-    after a failure leaves the same rows.
+    Every transaction is stored, scored and logged, however late it comes. An id that is already
+    stored is a repeat and is dropped; of several rows with one id in a batch the earliest (then
+    the smallest in the order of columns) counts. A row without id is never a repeat. Each table is
+    partitioned by the batch number and a batch overwrites only its own partition, so a batch that is
+    run again after a failure leaves the same rows.
     """
-    reader = spark.readStream.schema(ddl("live_transactions"))
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    once_each = (
-        reader.parquet(incoming)
-        .withWatermark("transaction_date", lateness)
-        .dropDuplicatesWithinWatermark(["transaction_id"])
+    incoming_rows = (
+        spark.readStream.schema(ddl("live_transactions")).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score(batch).persist()
+        scored = score(_new_rows(batch, out, batch_id)).persist()
         for name, rows in route_batch(scored, model_name, model_version).items():
             (
                 rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
@@ -73,7 +69,7 @@ def route_stream(
         scored.unpersist()
 
     query = (
-        once_each.writeStream.foreachBatch(write)
+        incoming_rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -90,6 +86,18 @@ _STORED = {
 }
 
 
+def _new_rows(batch: DataFrame, out: str, batch_id: int) -> DataFrame:
+    """Rows of a batch whose id no other batch has stored, one per id."""
+    columns = ["transaction_date", *[c for c in batch.columns if c not in ("transaction_id", "transaction_date")]]
+    known = batch.filter("transaction_id IS NOT NULL")
+    first = known.groupBy("transaction_id").agg(F.min(F.struct(*columns)).alias("row")).select("transaction_id", "row.*")
+    spark = batch.sparkSession
+    if batch_id > 0:
+        before = stored(spark, out, "transactions").filter(F.col("batch_id") != batch_id).select("transaction_id")
+        first = first.join(before, "transaction_id", "left_anti")
+    return first.select(batch.columns).unionByName(batch.filter("transaction_id IS NULL"))
+
+
 def stored(spark: SparkSession, out: str, table: str) -> DataFrame:
     """One of the three tables as written so far."""
     return spark.read.schema(_STORED[table]).parquet(f"{out}/{table}")

@@ -141,3 +141,22 @@ def test_router_flags_strictly_and_drops_repeats(spark):
     router.route_stream(spark, incoming, out2, fresh_path(spark, "ck"), "XGBoost", "v1.2")
     for t in ("transactions", "model_logs"):
         assert router.stored(spark, out2, t).count() == 4
+
+
+def test_router_keeps_late_rows(spark):
+    incoming, out = fresh_path(spark, "in"), fresh_path(spark, "out")
+    for k, day in enumerate((10, 20, 1, 2)):  # a file per batch, out of time order
+        rows = [(k, 7, dt.datetime(2025, 1, day), 10.0, "Debit", "ATM", "Bago", 0.9), (0, 7, dt.datetime(2025, 3, day), 5.0, "Debit", "ATM", "Bago", 0.1)]
+        _live(spark, rows).coalesce(1).write.mode("append").parquet(incoming)
+    router.route_stream(spark, incoming, out, fresh_path(spark, "ck"), files_per_batch=1)
+    for table in router.TABLES:
+        assert sorted(r["transaction_id"] for r in router.stored(spark, out, table).collect()) == [0, 1, 2, 3]
+
+
+def test_shared_folder_is_required_off_one_machine(spark, monkeypatch):
+    from bankspark import session
+
+    monkeypatch.setattr(session, "is_local", lambda s: False)
+    monkeypatch.setattr(session.SparkSession, "conf", property(lambda s: type("C", (), {"get": staticmethod(lambda k, d=None: d)})()), raising=False)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(spark)

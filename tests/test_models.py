@@ -109,7 +109,7 @@ def test_autoencoder_learns_and_flags_outliers(outliers):
     from bankspark.operators.columns import standardise
 
     scaled = standardise(flat, ["a", "b", "c"])
-    weights = A.fit_autoencoder(scaled, ["a", "b", "c"], epochs=15)
+    weights = A.fit_autoencoder(scaled, ["a", "b", "c"])
     errors = A.reconstruction_error(weights, scaled, ["a", "b", "c"])
     normal = errors.filter("id >= 10").agg(F.avg("ae_reconstruction_error")).first()[0]
     odd = errors.filter("id < 10").agg(F.avg("ae_reconstruction_error")).first()[0]
@@ -199,3 +199,44 @@ def test_positive_class_is_zero(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.9), (0, 0.2), (1, 0.9)], "label INT, p DOUBLE")
     r = M.confusion(df, "label", "p").first()
     assert r["sensitivity"] == pytest.approx(2 / 3, abs=1e-8) and r["specificity"] == 1.0
+
+
+def test_scoring_keeps_rows_with_nulls(spark):
+    from bankspark.ml import supervised as S
+
+    data = [(i, float(i % 7), None if i % 5 == 0 else float(i % 3), i % 2) for i in range(50)]
+    df = spark.createDataFrame(data, "id BIGINT, a DOUBLE, b DOUBLE, y INT")
+    scored = S.predict(S.fit_tree(df, ["a", "b"], "y"), df, ["a", "b"])
+    assert scored.count() == 50 and scored.filter("predicted_prob IS NULL AND predicted_class IS NULL").count() == 10
+    labels = K.kmeans_labels(K.fit_kmeans(df, ["a", "b"], k=2, starts=2), df, ["a", "b"])
+    assert labels.count() == 50 and labels.filter("kmeans_cluster IS NULL").count() == 10
+    assert K.principal_components(df, "id", ["a", "b"], 1).filter("pc1 IS NULL").count() == 10
+    assert K.ward_labels(df, ["a", "b"], k=2, micro=5).filter("hc_cluster IS NULL").count() == 10
+
+
+def test_ward_with_a_centre_per_row_is_wards_method(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 2))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id BIGINT, a DOUBLE, b DOUBLE")
+    got = {r["id"]: r["hc_cluster"] for r in K.ward_labels(df, ["a", "b"], k=3, micro=12).collect()}
+    want = K._ward(x, np.ones(12), 3)
+    pairs = {(got[i], int(want[i])) for i in range(12)}
+    assert len(pairs) == 3
+
+
+def test_isolation_score_of_noise_is_near_a_half(spark):
+    rng = np.random.default_rng(1)
+    for n in (60, 3000):
+        df = spark.createDataFrame([(i, *map(float, rng.uniform(size=2))) for i in range(n)], "id BIGINT, a DOUBLE, b DOUBLE")
+        forest = A.fit_isolation_forest(df, "id", ["a", "b"], trees=50)
+        mean = A.isolation_scores(forest, df, ["a", "b"]).agg(F.avg("iso_anomaly_score")).first()[0]
+        assert 0.42 < mean < 0.54
+
+
+def test_autoencoder_does_not_depend_on_partitions(outliers):
+    from bankspark.operators.columns import standardise
+
+    scaled = standardise(outliers, ["a", "b", "c"])
+    one = A.fit_autoencoder(scaled.coalesce(1), ["a", "b", "c"], steps=5)
+    many = A.fit_autoencoder(scaled.repartition(8), ["a", "b", "c"], steps=5)
+    assert np.abs(one - many).max() < 1e-6
