@@ -1,7 +1,8 @@
 """The corpus pipeline: each stage works on all its predecessor kept.
 
 All stages but the last return the columns of ``documents``. A null or empty text has no language
-and goes in the first stage; rows that share an id with a kept row stay with it.
+and goes in the first stage; rows that share an id with a kept row stay with it; a row without an id
+goes in the second stage, where no group can be named by it.
 """
 
 from __future__ import annotations
