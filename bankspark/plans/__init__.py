@@ -9,7 +9,7 @@ from bankspark.plans.registry import QUERIES, Query
 
 MODULES = [
     "reports", "ranking", "profiling", "cleaning", "scalars", "joins", "campaign", "customers",
-    "fraud", "models", "clusters", "files", "streams",
+    "fraud", "models", "clusters", "files", "streams", "facts",
 ]
 
 

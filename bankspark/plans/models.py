@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bankspark import fixed_values as V
+from bankspark.functions import numbers as N
 from bankspark.functions.numbers import dummies
 from bankspark.ml import anomaly as A
 from bankspark.ml import metrics as M
@@ -21,20 +22,39 @@ from bankspark.operators.customers import loan_default_data
 from bankspark.operators.sampling import fold_of, split_flag
 from bankspark.plans.registry import query
 from bankspark.sources.tables import VECTOR_SIZE
+from bankspark.operators.quantiles import exact_quantiles
+from bankspark.plans.campaign import INCOME_BRACKET_SQL, INCOME_EDGES_SQL
 from bankspark.plans.scalars import split_sql
 from bankspark.session import cut_lineage
 
 _FITTED: dict[tuple, object] = {}
 
 
+def folder_state(b) -> tuple:
+    """Name, size and time of every file of the folder."""
+    jvm, conf = b.spark.sparkContext._jvm, b.spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(b.folder)
+    files = path.getFileSystem(conf).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def once(b, name, make):
-    """The result of ``make()`` for this application and folder, computed on first use."""
-    key = (b.spark.sparkContext.applicationId, b.folder, name)
+    """The result of ``make()`` for this application and the folder's files as they are now."""
+    key = (b.spark.sparkContext.applicationId, b.folder, folder_state(b), name)
     if key not in _FITTED:
         _FITTED[key] = make()
     return _FITTED[key]
 
 
+def forget() -> None:
+    """Drop all fitted models; the next query fits its own."""
+    _FITTED.clear()
+
+
 # --- loan default --------------------------------------------------------------------------------
 
 
@@ -145,8 +165,7 @@ def _(b):
     return H.mean_absolute(H.shap_long(_shap(b), S.LOAN_MATRIX, ["loan_id", "score_id"]))
 
 
-@query("ml18_score_new_applicant")
-def _(b):
+def new_applicants(b):
     # applicants: every customer asks for the same loan, with their own income, age and score
     applicants = b.customers.select("customer_id", "income", "age").join(
         b.credit_scores.groupBy("customer_id").agg(
@@ -161,6 +180,11 @@ def _(b):
     )
 
 
+@query("ml18_score_new_applicant")
+def _(b):
+    return new_applicants(b)
+
+
 @query("ml19_prediction_table")
 def _(b):
     return _boosted(b).select(
@@ -242,6 +266,31 @@ def _(b):
     return _bayes(b).select("response_id", "label", F.round("predicted_prob", 6).alias("predicted_prob"))
 
 
+@query(
+    "ag31_conversion_of_predictions",
+    "campaign_responses customers",
+    f"""SELECT {INCOME_BRACKET_SQL} AS income_bracket, round(AVG(predicted_prob), 5) AS conversion_rate
+FROM ({_BAYES}) JOIN campaign_responses USING (response_id) JOIN customers USING (customer_id), {INCOME_EDGES_SQL}
+GROUP BY 1""",
+)
+def _(b):
+    edges = exact_quantiles(b.customers, "income", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    bracket = N.bin_right_closed(F.col("income"), edges, V.INCOME_BRACKETS, include_lowest=True)
+    scored = C.mean_by_bracket(_bayes(b), bracket, "predicted_prob", "conversion_rate")
+    return scored.select("income_bracket", F.round("conversion_rate", 5).alias("conversion_rate"))
+
+
+@query(
+    "ml22_errors_of_predictions",
+    "campaign_responses customers",
+    f"""SELECT response_id, label, CASE WHEN label = 0 THEN 'False Positive' ELSE 'False Negative' END AS classification
+FROM ({_BAYES}) WHERE (label = 1) <> (predicted_prob > 0.5)""",
+)
+def _(b):
+    predicted = _bayes(b).withColumn("predicted", (F.round("predicted_prob", 6) > 0.5).cast("int"))
+    return M.errors_only(predicted, "label", "predicted").select("response_id", "label", "classification")
+
+
 _LEVELS = {
     "gender": V.GENDERS, "marital_status": V.MARITAL_STATUSES, "education_level": V.EDUCATION_LEVELS,
 }
@@ -260,7 +309,7 @@ def _(b):
     train, test = rows.filter("is_train"), rows.filter("NOT is_train")
     linear = [f for f in features if f not in reference]
     logistic, scales = S.fit_logistic(train, linear, "label")
-    boosting = S.fit_boosting(train, features, "label", rounds=20)
+    boosting = S.fit_boosting(train, features, "label")
     scored = {
         "Logistic Regression": S.predict_logistic(logistic, scales, test, linear),
         "Naive Bayes": _bayes(b),
@@ -279,7 +328,7 @@ _CUSTOMER_FEATURES = [
 def _(b):
     rows = C.campaign_features(b.customers, b.campaign_responses, b.campaigns).persist()
     split = split_flag(rows, "customer_id", 0.8, 123, ["responded"])
-    model = S.fit_boosting(split.filter("is_train"), _CUSTOMER_FEATURES, "responded", rounds=20)
+    model = S.fit_boosting(split.filter("is_train"), _CUSTOMER_FEATURES, "responded")
     aligned = L.align_features(rows, _CUSTOMER_FEATURES, keep=["customer_id", "responded"])
     return S.predict(model, aligned, _CUSTOMER_FEATURES).select(
         "customer_id", "responded", "predicted_prob", "predicted_class"

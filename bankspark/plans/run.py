@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +24,13 @@ from bankspark.ml import metrics as M
 from bankspark.ml import shap as H
 from bankspark.ml import supervised as S
 from bankspark.ml.dbscan import dbscan
+from bankspark.ml.naive_bayes import NaiveBayes
 from bankspark.operators import campaign as C
 from bankspark.operators import cleaning, fraud, ranking
 from bankspark.operators import customers as U
 from bankspark.operators import profile as P
 from bankspark.operators import reports as R
+from bankspark.operators.quantiles import exact_quantiles
 from bankspark.operators.sampling import split_flag
 from bankspark.session import configure, cut_lineage
 from bankspark.sources import files
@@ -38,7 +41,8 @@ JOBS: dict[str, Callable[[Run], None]] = {}
 class Run:
     """Input tables, output folder and parameters of one run."""
 
-    def __init__(self, spark: SparkSession, source: str, out: str, as_of: str = "2025-04-25", today: str = "2025-05-10"):
+    def __init__(self, spark: SparkSession, source: str, out: str, as_of: str = "2025-04-25", today: str = "2025-05-10", rounds: int = 100):
+        self.rounds = rounds  # of boosting
         self.spark, self.source, self.out, self.as_of, self.today = configure(spark), source, out, as_of, today
 
     def table(self, name: str) -> DataFrame:
@@ -155,7 +159,14 @@ def campaign_analysis(run: Run) -> None:
     costs = run.table("campaign_costs").withColumns(
         {c: parse_date(F.col(c), "M/d/yyyy", "yyyy-MM-dd") for c in ("start_date", "end_date")}
     )
-    run.save("campaign_features", C.campaign_features(customers, responses, campaigns))
+    features = C.campaign_features(customers, responses, campaigns).persist()
+    run.save("campaign_features", features)
+    predicted = response_predictions(features, run.rounds).persist()
+    run.save("predictions", predicted)
+    edges = exact_quantiles(customers, "income", [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])
+    bracket = N.bin_right_closed(F.col("income"), edges, V.INCOME_BRACKETS, include_lowest=True)
+    run.save("income_conversion", C.mean_by_bracket(predicted, bracket, "predicted_prob", "conversion_rate"))
+    features.unpersist()
     run.save("funnel", C.funnel(customers, responses))
     run.save("revenue_per_responder", C.revenue_stats(tx, accounts, responses))
     run.save("campaign_roi", C.campaign_roi(responses, costs, V.REVENUE_PER_RESPONSE))
@@ -168,6 +179,63 @@ def campaign_analysis(run: Run) -> None:
     )
 
 
+ENCODED = {"gender": V.GENDERS, "marital_status": V.MARITAL_STATUSES, "education_level": V.EDUCATION_LEVELS}
+
+
+def encoded(rows, also: dict[str, list] | None = None):
+    """Rows with a 0/1 column per level of the categorical customer columns, and the names of these.
+
+    Levels without a fixed list are given by ``also``.
+    """
+    names: list[str] = []
+    for column, levels in (ENCODED | (also or {})).items():
+        columns = N.dummies(F.col(column), levels, column)
+        rows = rows.withColumns(columns)
+        names += list(columns)
+    return rows, names
+
+
+def levels_of(rows, columns) -> dict[str, list]:
+    """The values of columns that hold a few labels each."""
+    found = rows.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).first()
+    return {c: list(found[c]) for c in columns}
+
+
+def response_predictions(features: DataFrame, rounds: int) -> DataFrame:
+    """Boosting over numeric and encoded columns, fitted on 80 % and applied to every customer."""
+    rows, names = encoded(features, levels_of(features, ["occupation", "region"]))
+    names += ["age", "income", "total_campaigns", "response_rate", *map(C.column_name, V.CAMPAIGN_CHANNELS), "last_campaign_contacts"]
+    split = split_flag(rows, "customer_id", 0.8, 123, ["responded"]).persist()
+    model = S.fit_boosting(split.filter("is_train"), names, "responded", rounds)
+    return S.predict(model, split, names).select("customer_id", "income", "responded", "predicted_prob", "predicted_class")
+
+
+@job
+def campaign_models(run: Run) -> None:
+    """Three models of the single answer, compared on the same held-out 30 %."""
+    numeric, labels = ["age", "income"], [*ENCODED, "occupation", "region"]
+    customers = run.table("customers").select("customer_id", *numeric, *labels)
+    answers = run.table("campaign_responses").select("response_id", "customer_id", F.col("responded").cast("int").alias("label"))
+    rows = answers.join(customers, "customer_id", "left").dropna("any").drop("customer_id")
+    rows = split_flag(rows, "response_id", 0.7, 123, ["label"], round_up=True)
+    rows, names = encoded(rows, levels_of(rows, ["occupation", "region"]))
+    rows = rows.persist()
+    train, test = rows.filter("is_train"), rows.filter("NOT is_train")
+    first = {c: next(n for n in names if n.startswith(f"{c}_")) for c in labels}  # the reference level of each
+    linear = numeric + [n for n in names if n not in first.values()]
+    logistic, scales = S.fit_logistic(train, linear, "label")
+    bayes = NaiveBayes.fit(train, "label", numeric, labels)
+    boosting = S.fit_boosting(train, numeric + names, "label", run.rounds)
+    scored = {
+        "Logistic Regression": S.predict_logistic(logistic, scales, test, linear),
+        "Naive Bayes": bayes.predict(test),
+        "Gradient Boosting": S.predict(boosting, test, numeric + names),
+    }
+    parts = [df.select(F.lit(m).alias("model"), "label", "predicted_prob") for m, df in scored.items()]
+    run.save("model_comparison", M.compare_models(reduce(lambda x, y: x.unionByName(y), parts), "model", "label", "predicted_prob"))
+    rows.unpersist()
+
+
 @job
 def churn(run: Run) -> None:
     run.save(
@@ -185,7 +253,10 @@ def segments(run: Run) -> None:
     rows, kept = K.scaled_features(features, "customer_id", names)
     rows = rows.persist()
     labels = K.kmeans_labels(K.fit_kmeans(rows, kept), rows, kept).select("customer_id", "kmeans_cluster")
-    ward = K.ward_labels(rows, kept).select("customer_id", "hc_cluster")
+    few = min(5, len(kept))
+    components = K.principal_components(rows, "customer_id", kept, few)
+    run.save("principal_components", components)
+    ward = K.ward_labels(components, [f"pc{i + 1}" for i in range(few)]).select("customer_id", "hc_cluster")
     density = dbscan(rows, "customer_id", kept, 0.5, 5).select("customer_id", "dbscan_cluster")
     out = features
     for part in (labels, ward, density):
@@ -207,9 +278,19 @@ def loan_default(run: Run) -> None:
     coefs = S.coefficients(logistic, scales, S.GLM_FEATURES, run.spark)
     run.save("logistic_coefficients", coefs)
     run.save("odds_ratios", S.odds_ratios(coefs))
+    terms = {f: [f] for f in S.LOAN_NUMERIC} | {"risk_level": S.RISK_DUMMIES[1:]}
+    run.save("variance_inflation", S.variance_inflation(logistic, scales, train, S.GLM_FEATURES, terms))
     forest = S.fit_forest(train, S.LOAN_MATRIX, "default")
+    tree = S.fit_tree(train, S.LOAN_MATRIX, "default")
+    others = {
+        "logistic": S.predict_logistic(logistic, scales, test, S.GLM_FEATURES), "tree": S.predict(tree, test, S.LOAN_MATRIX),
+        "forest": S.predict(forest, test, S.LOAN_MATRIX),
+    }
+    for name, found in others.items():
+        run.save(f"{name}_confusion", M.confusion(found, "default", "predicted_prob"))
+        run.save(f"{name}_roc_curve", M.roc_points(found, "default", "predicted_prob"))
     run.save("forest_importance", S.permutation_importance(forest, test, S.LOAN_MATRIX, "default", "row_id"))
-    boosting = S.fit_boosting(train, S.LOAN_MATRIX, "default")
+    boosting = S.fit_boosting(train, S.LOAN_MATRIX, "default", run.rounds)
     scored = S.predict(boosting, test, S.LOAN_MATRIX)
     run.save("predictions", scored.select(*shown, "predicted_prob", "predicted_class"))
     run.save("boosting_importance", S.importance(boosting, S.LOAN_MATRIX, run.spark).limit(10))
@@ -248,6 +329,14 @@ def fraud_detection(run: Run) -> None:
     kept = ["iso_anomaly_score", "ae_reconstruction_error", "combined_anomaly_score", "fraud_flag"]
     run.save("anomaly_scores", data.select("transaction_id", "account_id", "amount", *kept))
     files.append_run_log(data, f"{run.out}/run_log", f"{run.today} 00:00:00")
+    labelled = fraud.with_alerts(data, run.table("fraud_alerts")).withColumn("is_fraud", F.col("is_fraud").cast("int"))
+    labelled = split_flag(labelled.select("transaction_id", "account_id", "is_fraud", *S.FRAUD_FEATURES), "transaction_id", 0.8, 42, ["is_fraud"], round_up=True).persist()
+    best = S.fit_forest_cross_validated(labelled.filter("is_train"), S.FRAUD_FEATURES, "is_fraud", "transaction_id")
+    predicted = cut_lineage(S.predict(best, labelled.filter("NOT is_train"), S.FRAUD_FEATURES).withColumnsRenamed({"predicted_prob": "rf_prob", "predicted_class": "rf_pred"}))
+    run.save("forest_predictions", predicted)
+    run.save("forest_errors", M.errors_only(predicted, "is_fraud", "rf_pred"))
+    run.save("forest_confusion", M.confusion(predicted, "is_fraud", "rf_prob"))
+    labelled.unpersist()
 
 
 @job

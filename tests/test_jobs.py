@@ -69,13 +69,13 @@ def test_generator_does_not_depend_on_partitions(spark):
 
 FAST = [
     "clean_transactions", "account_report", "transaction_report", "location_peaks", "account_statistics",
-    "usual_patterns", "campaign_response", "campaign_analysis", "churn", "fraud_label_reports",
+    "usual_patterns", "campaign_response", "campaign_analysis", "churn", "fraud_label_reports", "campaign_models",
 ]
 
 
 @pytest.mark.parametrize("name", FAST)
 def test_job_writes_results(spark, made, tmp_path, name):
-    JOBS[name](Run(spark, made, str(tmp_path)))
+    JOBS[name](Run(spark, made, str(tmp_path), rounds=3))
     assert os.listdir(tmp_path)
     for result in os.listdir(tmp_path):
         assert not spark.read.option("header", True).csv(f"{tmp_path}/{result}").isEmpty(), result
