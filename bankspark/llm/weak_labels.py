@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from bankspark.llm.likelihood import text_statistics
 from bankspark.llm.rows import map_rows
 from bankspark.llm.words import SPACE, text_bytes
+from bankspark.session import cut_lineage
 
 BUCKETS = 1 << 16
 GOOD, BAD, NONE = 1, 0, 2
@@ -109,79 +110,88 @@ def fit_labellers(counts: dict[int, int], rounds: int = 200) -> tuple[np.ndarray
     return posterior, chance
 
 
-def _sum_by(rows: DataFrame, key: str) -> list:
-    return rows.groupBy(key).agg(*[F.sum(c).alias(c) for c in rows.columns if c != key]).collect()  # a fixed number of keys
+def label_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, pattern, features) of rows with doc_id and text: votes, and hash buckets of the
+    distinct words (two bytes each). A written table, so that texts are read once."""
 
+    def make():
+        def work(columns: list[pa.Array]) -> list[pa.Array]:
+            cast, words, at = votes(columns[0])
+            features = [(np.unique(words[at[i] : at[i + 1]]) % np.uint64(BUCKETS)).astype("<u2").tobytes() for i in range(len(columns[0]))]
+            return [pa.array(pattern_code(cast)), pa.array(features, pa.binary())]
+
+        return work
+
+    return cut_lineage(map_rows(documents, [F.col("text")], "pattern long, features binary", make).select("row.doc_id", "pattern", "features"))
+
+
+def count_patterns(labelled: DataFrame) -> dict[int, int]:
+    counts = labelled.groupBy("pattern").agg(F.count("*").alias("n"))  # a fixed number of patterns
+    return {r.pattern: r.n for r in counts.collect()}
+
+
+def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All features of a batch, the row of each, and the number of features of each row."""
+    raw = column.to_pylist()
+    size = np.array([len(r) // 2 for r in raw], np.int64)
+    return np.frombuffer(b"".join(raw), "<u2").astype(np.int64), np.repeat(np.arange(len(raw)), size), size
 
-def count_patterns(documents: DataFrame) -> dict[int, int]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(3 ** len(LABELLERS), np.int64)
-        for batch in batches:
-            np.add.at(total, pattern_code(votes(batch.column(0))[0]), 1)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["pattern", "n"])
 
-    return {r.pattern: r.n for r in _sum_by(documents.select("text").mapInArrow(run, "pattern long, n long"), "pattern")}
+def _raw(weight: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Mean weight of each row's features; the lowest score for a row without any."""
+    features, row, size = _features(column)
+    total = np.bincount(row, weight[features], minlength=len(size))
+    return np.where(size > 0, total / np.maximum(size, 1), -BOUND)
 
 
-def _features(words: np.ndarray) -> np.ndarray:
-    return (np.unique(words) % np.uint64(BUCKETS)).astype(np.int64)
+def _soft(posterior: np.ndarray, patterns: pa.Array) -> np.ndarray:
+    """Posteriors in whole thousandths: their sums do not depend on the order of rows."""
+    return np.rint(posterior[patterns.to_numpy()] * 1000).astype(np.int64)
 
 
-def fit_scorer(documents: DataFrame, posterior: np.ndarray) -> tuple[np.ndarray, float, float]:
+def fit_scorer(labelled: DataFrame, posterior: np.ndarray) -> tuple[np.ndarray, float, float]:
     """(weight per bucket, slope, intercept): log odds of buckets under the soft labels of all
     documents, then a logistic curve from their mean to the posterior, fitted on binned counts."""
-    sent = documents.sparkSession.sparkContext.broadcast(posterior)
+    context = labelled.sparkSession.sparkContext
+    sent = context.broadcast(posterior)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        good, every = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            cast, words, at = votes(batch.column(0))
-            soft = sent.value[pattern_code(cast)]
-            for i in range(batch.num_rows):
-                f = _features(words[at[i] : at[i + 1]])
-                np.add.at(every, f, 1.0)
-                np.add.at(good, f, soft[i])
+            features, row, _ = _features(batch.column(1))
+            every += np.bincount(features, minlength=BUCKETS)
+            good += np.rint(np.bincount(features, _soft(sent.value, batch.column(0))[row], minlength=BUCKETS)).astype(np.int64)
         there = np.flatnonzero(every)
-        # whole thousandths, so that sums do not depend on their order
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(there), pa.array(np.rint(good[there] * 1000).astype(np.int64)), pa.array(every[there].astype(np.int64))], names=["bucket", "good", "every"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(good[there]), pa.array(every[there])], names=["bucket", "good", "every"])
 
-    texts = documents.select("text")
+    rows = labelled.select("pattern", "features")
     good, every = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in _sum_by(texts.mapInArrow(count, "bucket long, good long, every long"), "bucket"):
+    found = rows.mapInArrow(count, "bucket long, good long, every long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("every").alias("every"))
+    for r in found.collect():  # at most BUCKETS rows
         good[r.bucket], every[r.bucket] = r.good / 1000, r.every
-    bad = np.maximum(0, every - good)
+    bad = every - good
     weight = np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((bad + 1) / (bad.sum() + BUCKETS))
-    model = documents.sparkSession.sparkContext.broadcast(weight)
+    model = context.broadcast(weight)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, soft_total = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1)
+        total, soft = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1, np.int64)
         for batch in batches:
-            cast, words, at = votes(batch.column(0))
-            raw = np.array([_raw(model.value, words[at[i] : at[i + 1]]) for i in range(batch.num_rows)])
+            raw = _raw(model.value, batch.column(1))
             bin_ = np.rint((np.clip(raw, -BOUND, BOUND) / BOUND + 1) / 2 * BINS).astype(np.int64)
             np.add.at(total, bin_, 1)
-            np.add.at(soft_total, bin_, sent.value[pattern_code(cast)])
+            np.add.at(soft, bin_, _soft(sent.value, batch.column(0)))
         there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(there), pa.array(total[there]), pa.array(np.rint(soft_total[there] * 1000).astype(np.int64))], names=["bin", "n", "good"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there]), pa.array(soft[there])], names=["bin", "n", "good"])
 
+    bins = rows.mapInArrow(spread, "bin long, n long, good long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     x, n, y = [], [], []
-    for r in sorted(_sum_by(texts.mapInArrow(spread, "bin long, n long, good long"), "bin"), key=lambda r: r.bin):
+    for r in sorted(bins.collect(), key=lambda r: r.bin):  # at most BINS + 1 rows
         x.append((r.bin / BINS * 2 - 1) * BOUND)
         n.append(r.n)
         y.append(r.good / 1000 / r.n)
     return weight, *_logistic(np.array(x), np.array(y), np.array(n, float))
 
 
-def _raw(weight: np.ndarray, words: np.ndarray) -> float:
-    f = _features(words)
-    return float(weight[f].mean()) if len(f) else -BOUND
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton steps with a slight pull to slope 1."""
     a, b = 1.0, 0.0
@@ -208,21 +218,19 @@ def classify_quality(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     every document. A null or empty text gets bad votes; repeated rows, null ids and other columns do
     no harm; an empty table gives an empty result.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    posterior, _ = fit_labellers(count_patterns(rows))
-    weight, slope, intercept = fit_scorer(rows, posterior)
-    sent = rows.sparkSession.sparkContext.broadcast((posterior, weight, slope, intercept))
+    labelled = label_documents(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    posterior, _ = fit_labellers(count_patterns(labelled))
+    weight, slope, intercept = fit_scorer(labelled, posterior)
+    sent = documents.sparkSession.sparkContext.broadcast((posterior, weight, slope, intercept))
 
-    def make():
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         soft, w, a, b = sent.value
+        for batch in batches:
+            linear = 1 / (1 + np.exp(-np.clip(a * _raw(w, batch.column(2)) + b, -30, 30)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(soft[batch.column(1).to_numpy()]), pa.array(linear)], names=["doc_id", "posterior", "score"]
+            )
 
-        def work(columns: list[pa.Array]) -> list[pa.Array]:
-            cast, words, at = votes(columns[0])
-            raw = np.array([_raw(w, words[at[i] : at[i + 1]]) for i in range(len(columns[0]))])
-            return [pa.array(soft[pattern_code(cast)]), pa.array(1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30))))]
-
-        return work
-
-    return map_rows(rows, [F.col("text")], "posterior double, score double", make).select(
-        "row.doc_id", "posterior", "score", (F.col("posterior") + F.col("score") >= 2 * threshold).alias("kept")
+    return labelled.mapInArrow(score, "doc_id long, posterior double, score double").withColumn(
+        "kept", F.col("posterior") + F.col("score") >= 2 * threshold
     )
