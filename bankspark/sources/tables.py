@@ -143,8 +143,8 @@ VIEWS: dict[str, View] = {
         {
             "campaign_id": "p_partkey + 1",
             "campaign_name": "'Campaign_' || CAST(p_partkey + 1 AS VARCHAR(10)) || '_2024'",
-            "start_date": "DATE '2024-01-01' + CAST(p_partkey * 3 % 366 AS INT)",
-            "end_date": "DATE '2024-01-08' + CAST(p_partkey * 3 % 366 + (p_partkey * 17) % 54 AS INT)",
+            "start_date": "DATE '2024-01-01' + CAST(p_partkey % 10 * 3 AS INT)",
+            "end_date": "DATE '2024-01-08' + CAST(p_partkey % 10 * 3 + (p_partkey % 10 * 17) % 54 AS INT)",
             "channel": _cases("p_partkey % 4", ["Email", "SMS", "Phone", "App Notification"]),
             "cost_mmk": "CAST(p_retailprice * 100 AS BIGINT)",
         },
