@@ -79,14 +79,14 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, folder: str | None = None
     folder = folder or fresh_path(pages.sparkSession, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, path, records, size, done = None, "", 0, 0, []
+        out, path, records, done = None, "", 0, []
         for batch in batches:
             for page_id, url, html, first in zip(*batch.columns, strict=True):
                 if out is None:
                     system, root = fs.FileSystem.from_uri(folder)
                     system.create_dir(root, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
-                    out, path, records, size = system.open_output_stream(f"{root}/{name}", compression=None), f"{folder}/{name}", 0, 0
+                    out, path, records = system.open_output_stream(f"{root}/{name}", compression=None), f"{folder}/{name}", 0
                 payload = html.as_buffer()
                 digest = hashlib.sha1()
                 for at in range(0, payload.size, CHUNK):
@@ -94,10 +94,10 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, folder: str | None = None
                 kind = "response" if first.as_py() is None else "revisit"
                 member = zlib.compressobj(1, zlib.DEFLATED, 31)
                 header = _header(page_id.as_py(), url.as_py(), kind, first.as_py(), base32(digest.digest()), payload.size)
-                size += out.write(member.compress(header)) or 0
+                out.write(member.compress(header))
                 if kind == "response":
                     for at in range(0, payload.size, CHUNK):
-                        size += out.write(member.compress(payload.slice(at, min(CHUNK, payload.size - at)))) or 0
+                        out.write(member.compress(payload.slice(at, min(CHUNK, payload.size - at))))
                 out.write(member.compress(b"\r\n\r\n") + member.flush())
                 records += 1
                 if out.tell() >= file_bytes:
