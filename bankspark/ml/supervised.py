@@ -75,25 +75,29 @@ def fit_forest(
     return model
 
 
-def fit_tree(train: DataFrame, features: Sequence[str], label: str, min_gain: float = 0.001, seed: int = 123):
-    """One classification tree; growth stops on small nodes and small gains."""
+def fit_tree(
+    train: DataFrame, features: Sequence[str], label: str, min_gain: float = 0.001, depth: int = 8, seed: int = 123
+):
+    """One classification tree; growth stops on small nodes, on small gains and at ``depth``."""
     rows = assemble(train, features).select("features", F.col(label).cast("double").alias(label))
     return DecisionTreeClassifier(
-        labelCol=label, maxDepth=8, minInstancesPerNode=3, minInfoGain=min_gain, seed=seed
+        labelCol=label, maxDepth=depth, minInstancesPerNode=3, minInfoGain=min_gain, seed=seed
     ).fit(rows)
 
 
 def fit_forest_cross_validated(
-    train: DataFrame, features: Sequence[str], label: str, key: str, folds: int = 5, seed: int = 42
+    train: DataFrame, features: Sequence[str], label: str, key: str, folds: int = 5, seed: int = 42,
+    trees: int = 20, per_split: Sequence[str] = ("2", "4"),
 ):
-    """Random forest chosen by 5-fold cross validation; folds come from a hash of the key."""
+    """Random forest of ``trees`` trees chosen by cross validation over ``per_split``; folds come from a
+    hash of the key."""
     rows = (
         assemble(train, features)
         .select("features", F.col(label).cast("double").alias(label), fold_of(F.col(key), folds, seed).alias("fold"))
         .persist()
     )
-    forest = RandomForestClassifier(labelCol=label, numTrees=20, maxDepth=5, seed=seed)
-    grid = ParamGridBuilder().addGrid(forest.featureSubsetStrategy, ["2", "4"]).build()
+    forest = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=5, seed=seed)
+    grid = ParamGridBuilder().addGrid(forest.featureSubsetStrategy, list(per_split)).build()
     best = (
         CrossValidator(
             estimator=forest, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",

@@ -67,18 +67,19 @@ def _(b):
 @query(
     "jn5_many_to_many_inner",
     "campaign_responses transactions accounts",
-    """SELECT t.account_id, t.customer_id, t.transaction_date, t.amount, t.channel, t.location,
-  COUNT(*) // t.copies AS response_count FROM
-  (SELECT account_id, a.customer_id, transaction_date, amount, channel, location, COUNT(*) AS copies,
-    ROW_NUMBER() OVER () AS k
-   FROM transactions JOIN accounts a USING (account_id) GROUP BY 1, 2, 3, 4, 5, 6) t
-JOIN campaign_responses r ON t.customer_id = r.customer_id AND r.responded
-CROSS JOIN generate_series(1, t.copies) GROUP BY t.k, 1, 2, 3, 4, 5, 6, t.copies""",
+    """SELECT a.customer_id, COUNT(*) AS pairs, CAST(SUM(CAST(round(t.amount * 100) AS HUGEINT)) AS BIGINT) AS cents
+FROM transactions t JOIN accounts a USING (account_id)
+JOIN campaign_responses r ON a.customer_id = r.customer_id AND r.responded GROUP BY 1""",
 )
 def _(b):
+    # the check side forms all pairs; here each transaction stands for its copies and sums multiply
     from bankspark.operators.campaign import transactions_of_responders
 
-    return transactions_of_responders(b.transactions, b.accounts, b.campaign_responses)
+    joined = transactions_of_responders(b.transactions, b.accounts, b.campaign_responses)
+    cents = F.round(F.col("amount") * 100).cast("bigint")
+    return joined.groupBy("customer_id").agg(
+        F.sum("response_count").alias("pairs"), F.sum(cents * F.col("response_count")).alias("cents")
+    )
 
 
 @query(
