@@ -106,7 +106,7 @@ def _(b):
         F.count("*").alias("customers")
     )
     channels = b.campaigns.groupBy("channel").agg(F.count("*").alias("campaigns"))
-    return bands.crossJoin(channels)
+    return J.pair_all(bands, channels, "age_from", lanes=4)
 
 
 @query(
