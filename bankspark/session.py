@@ -20,7 +20,9 @@ RUNTIME_SETTINGS = {
     # A hot key may hold a third of a table: split it even where that costs another shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",  # long texts: bound what a Python worker holds
+    # long texts: bound what a Python worker holds
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
