@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bankspark.llm.components import components
@@ -92,14 +92,14 @@ def _block_sums(grams: np.ndarray, band: int, blocks: int, spare: int) -> np.nda
 
 
 def incidence(documents: DataFrame, size: int, bounds: SizeBounds) -> DataFrame:
-    """(doc_id, n, key, blocks) per document: set size, fingerprint of the set, signatures."""
+    """(doc_id, row, n, key, blocks) per document: its id and row fingerprint, set size, fingerprint of the set, signatures."""
     p, q = bounds.p, bounds.q
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = SizeBounds(p, q)
         lows, counts = _bands(own, 64)
         for batch in batches:
-            words, _, at = word_hashes(batch.column(1))
+            words, _, at = word_hashes(batch.column(2))
             n, key, signatures = [], [], []
             for i in range(batch.num_rows):
                 grams = np.unique(shingle(words[at[i] : at[i + 1]], size))
@@ -123,11 +123,11 @@ def incidence(documents: DataFrame, size: int, bounds: SizeBounds) -> DataFrame:
                     parts.append(_block_sums(grams, band - 1, counts[band - 1], SPARE))
                 signatures.append(np.concatenate(parts).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "key", "blocks"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(signatures, pa.list_(pa.int64()))],
+                names=["doc_id", "row", "n", "key", "blocks"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, key long, blocks array<long>")
+    return documents.select("doc_id", "row", "text").mapInArrow(rows, "doc_id long, row long, n long, key long, blocks array<long>")
 
 
 def _overlaps(pairs: DataFrame, rows: DataFrame, size: int, bounds: SizeBounds) -> DataFrame:
@@ -181,11 +181,50 @@ def jaccard_components(
     component has the smallest id that is not null (null if there is none). Other columns are
     ignored. Sets are compared by 64-bit hashes of their shingles.
     """
-    bounds = SizeBounds(numerator, denominator)
     source = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    table, named = _classes(source.withColumn("row", _fingerprint(source)), size, SizeBounds(numerator, denominator))
+    first = named.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    return (
+        table.select("doc_id", "n", "key")
+        .join(named.join(first, "component").select("key", "component_id"), "key", "left")
+        .select(
+            "doc_id", F.col("n").alias("n_shingles"),
+            F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        )
+    )
+
+
+def one_of_each_component(
+    documents: DataFrame, size: int = 3, numerator: int = 90, denominator: int = 100,
+    id_column: str = "doc_id", text_column: str = "text",
+) -> DataFrame:
+    """The rows of ``documents`` with exactly one per component of ``jaccard_components``.
+
+    It is the row with the smallest id, one without an id only if the component has no other, then
+    the one with the smallest fingerprint over all columns; of equal rows one stays. A row without
+    shingles (null or wordless text) is its own component and stays, as often as it occurs.
+    """
+    text = F.col(text_column)
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("kept"), _fingerprint(documents).alias("row"))
+    source = packed.select(F.col(f"kept.`{id_column}`").cast("long").alias("doc_id"), F.col(f"kept.`{text_column}`").alias("text"), "row")
+    _, named = _classes(source, size, SizeBounds(numerator, denominator))
+    stay = cut_lineage(named.groupBy("component").agg(F.min("first").alias("first")).select("first.row"))
+    kept = packed.join(stay, "row").dropDuplicates(["row"]).select("kept.*")
+    return kept.unionByName(documents.where(text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")))
+
+
+def _fingerprint(rows: DataFrame) -> Column:
+    """A 64-bit hash of all columns; a null is told from a value that is left out."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
+def _classes(source: DataFrame, size: int, bounds: SizeBounds) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n, key, blocks) per row of ``source`` (doc_id, text, row), and (key, first, component)
+    per class: its first row as (no_id, doc_id, row), and the component that links reach."""
     table = cut_lineage(incidence(source, size, bounds))
-    classes = (
-        table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
+    classes = table.where("key is not null").groupBy("key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"), F.min("n").alias("n")
     )
 
     # Column blocks in which at least two different rows agree.
@@ -199,7 +238,7 @@ def jaccard_components(
     weight = counted.groupBy("key").agg(F.sum("rows").alias("weight"))
     rows = cut_lineage(
         source.join(
-            classes.join(weight.select("key", "weight"), "key").select("first_id", "key", "n", "weight"),
+            classes.join(weight.select("key", "weight"), "key").select(F.col("first.doc_id").alias("first_id"), "key", "n", "weight"),
             source["doc_id"].eqNullSafe(F.col("first_id")),
         ).select("key", "n", "weight", "text")
     )
@@ -231,17 +270,9 @@ def jaccard_components(
 
     named = cut_lineage(
         classes.join(label.withColumnRenamed("node", "key"), "key", "left")
-        .select("key", "first_id", F.coalesce("component", "key").alias("component"))
-    )
-    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return (
-        table.select("doc_id", "n", "key")
-        .join(named.join(first, "component").select("key", "component_id"), "key", "left")
-        .select(
-            "doc_id", F.col("n").alias("n_shingles"),
-            F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        )
+        .select("key", "first", F.coalesce("component", "key").alias("component"))
     )
+    return table, named
 
 
 def _undecided(weighed: DataFrame, label: DataFrame) -> DataFrame:

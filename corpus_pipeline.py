@@ -1,8 +1,8 @@
 """The corpus pipeline: each stage works on all its predecessor kept.
 
 All stages but the last return the columns of ``documents``. A null or empty text has no language
-and goes in the first stage; rows that share an id with a kept row stay with it; a row without an id
-goes in the second stage, where no group can be named by it.
+and goes in the first stage. The second stage decides by row, not by id: of each group of linked rows
+exactly one stays, also where ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bankspark.llm.fm_index import hit_words, with_benchmark_hits
-from bankspark.llm.jaccard import jaccard_components
+from bankspark.llm.jaccard import one_of_each_component
 from bankspark.llm.language import language_dictionaries, with_language
 from bankspark.llm.packing import pack_documents
 from bankspark.llm.pseudonyms import pseudonymise
@@ -29,10 +29,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: the document with the smallest id of each group of linked ones stays."""
+    """N-gram Jaccard join: the row with the smallest id of each group of linked ones stays."""
     ship_package(configure(spark))
-    stay = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    return one_of_each_component(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from bankspark.llm.jaccard import jaccard_components
 
 
@@ -90,3 +91,14 @@ def test_linked_only_through_a_base(spark):
     got = run(spark, rows)
     assert got == brute(rows)
     assert {r[2] for r in got} == {0}
+
+
+def test_one_row_of_each_component(spark):
+    x, y, z = "one clean text of its own", "another text with other words", "the third text is linked twice"
+    rows = [(None, "no id but a clean text here", "s"), (5, x, "s"), (5, x, "s"), (5, x, "t"), (3, y, "s"), (5, y, "s"), (None, y, "s"),
+            (None, z, "a"), (None, z, "a"), (None, z, "b"), (7, None, "s"), (7, None, "s"), (None, " ", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    assert sorted(r[:2] for r in got if r[0] is not None and r[1]) == [(3, y), (5, x)]
+    assert sorted(r[1] for r in got if r[0] is None) == [" ", "no id but a clean text here", z]
+    assert got.count((7, None, "s")) == 2 and len(got) == 7
