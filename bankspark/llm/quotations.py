@@ -3,7 +3,7 @@
 Lines that start with ``>`` are quotations, as deep as they have markers. Runs of lines of equal
 depth are passages. Quoted passages and their lines are normalised and hashed, and joined to the
 messages of the same conversation that first wrote them; a message replies to the writer of what it
-quotes at depth one. Messages lose their quotations and get the thread they belong to.
+quotes at the shallowest depth that has one. Messages lose their quotations and get the thread they belong to.
 """
 
 from __future__ import annotations
@@ -65,14 +65,45 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, n_quoted, reply_to, root_turn, depth) per row of ``messages``.
 
     ``text`` has no quotations (null stays null); ``n_quoted`` counts quoted passages; ``reply_to`` is
-    the turn, earlier in the same conversation, that first wrote what the message quotes at depth
-    one: the writer of a whole passage goes first, then of most lines, then the latest; null if
-    there is none. ``root_turn`` is where following ``reply_to`` ends (the turn itself without one),
-    ``depth`` the number of steps. Conversations are read in the order (conv_id, root_turn, turn).
+    the turn, earlier in the same conversation, that first wrote what the message quotes, at the
+    shallowest depth where there is one: the writer of a whole passage goes first, then of most
+    lines, then the latest; null if there is none at any depth. ``root_turn`` is where following
+    ``reply_to`` ends (the turn itself without one), ``depth`` the number of steps. Conversations are read in the order (conv_id, root_turn, turn).
     Messages without conversation or turn are never linked. Equal rows are returned as often as they
     occur; other rows with the same conversation and turn count as one turn, whose reply is the
     earliest of theirs. Other columns are ignored; an empty table gives an empty result.
     """
+    keyed, quotes, quoting, runs, own = _parts(messages)
+    quoted = runs.where("depth > 0").groupBy("message").agg(F.count("*").alias("n_quoted"))
+    threads = _follow(cut_lineage(
+        _origins(keyed, quotes, quoting, runs, own, "message", "depth")
+        .groupBy("conv_id", "turn", "message").agg(F.min(F.struct("depth", "origin")).alias("first"))
+        .groupBy("conv_id", "turn").agg(F.min("first.origin").alias("reply_to"))
+    ))
+
+    return (
+        keyed.join(own, "message", "left").join(quoted, "message", "left").join(threads, ["conv_id", "turn"], "left").select(
+            "conv_id", "turn", "role",
+            F.when(F.col("n_quoted") > 0, F.coalesce("own", F.lit(""))).otherwise(F.col("text")).alias("text"),
+            F.coalesce("n_quoted", F.lit(0).cast("long")).alias("n_quoted"), "reply_to",
+            F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
+        )
+    )
+
+
+def passage_origins(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, run, depth, text, origin) per quoted passage of ``messages``, however deep.
+
+    ``origin`` is the turn that first wrote the passage, found as in ``link_quotations``; null if
+    there is none. Equal messages count once.
+    """
+    keyed, quotes, quoting, runs, own = _parts(messages)
+    found = _origins(keyed, quotes, quoting, runs, own, "message", "run").select("message", "run", "origin")
+    return runs.where("depth > 0").join(found, ["message", "run"], "left").select("conv_id", "turn", "run", "depth", "text", "origin")
+
+
+def _parts(messages: DataFrame) -> tuple[DataFrame, Column, DataFrame, DataFrame, DataFrame]:
+    """Messages with their key, which of them quote, these once each, their runs, and their own text."""
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
     keyed = rows.withColumn("message", F.sha2(F.concat_ws("|", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.coalesce(F.col("turn").cast("string"), F.lit("-")), F.col("text")), 256))
     quotes = F.coalesce(F.col("text").rlike(r"(?m)" + MARKS), F.lit(False))
@@ -83,13 +114,16 @@ def link_quotations(messages: DataFrame) -> DataFrame:
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n"), r"^\s+|\s+$", ""
         ).alias("own")
     )
-    quoted = runs.where("depth > 0").groupBy("message").agg(F.count("*").alias("n_quoted"))
+    return keyed, quotes, quoting, runs, own
 
+
+def _origins(keyed: DataFrame, quotes: Column, quoting: DataFrame, runs: DataFrame, own: DataFrame, *unit: str) -> DataFrame:
+    """(conv_id, turn, *unit, origin): who first wrote what is quoted in each ``unit`` of columns of ``runs``."""
     # Who first wrote what: message bodies, their runs of own lines, and their longer lines.
     there = "conv_id is not null and turn is not null"
     asked = cut_lineage(
-        _units(runs.where(f"depth = 1 and {there}").select("message", "conv_id", "turn", F.col("text").alias("body")))
-        .select("message", "conv_id", "turn", "unit.hash", "unit.whole").distinct()
+        _units(runs.where(f"depth > 0 and {there}").select("conv_id", "turn", *unit, F.col("text").alias("body")))
+        .select("conv_id", "turn", *unit, "unit.hash", "unit.whole").distinct()
     )
     bodies = keyed.where(there).where(~quotes & F.col("text").isNotNull()).select("conv_id", "turn", F.col("text").alias("body"))
     bodies = bodies.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
@@ -97,20 +131,10 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     bodies = bodies.unionByName(own.join(quoting.where(there), "message").select("conv_id", "turn", F.col("own").alias("body")))
     written = _units(bodies).select("conv_id", "turn", "unit.hash").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     found = asked.join(written, ["conv_id", "hash"]).where("origin < turn")
-    best = (
-        found.groupBy("conv_id", "turn", "message", "origin").agg(F.max("whole").alias("whole"), F.count("*").alias("n"))
-        .groupBy("conv_id", "turn", "message").agg(F.max(F.struct("whole", "n", "origin")).alias("best"))
-        .groupBy("conv_id", "turn").agg(F.min("best.origin").alias("reply_to"))
-    )
-    threads = _follow(cut_lineage(best))
-
     return (
-        keyed.join(own, "message", "left").join(quoted, "message", "left").join(threads, ["conv_id", "turn"], "left").select(
-            "conv_id", "turn", "role",
-            F.when(F.col("n_quoted") > 0, F.coalesce("own", F.lit(""))).otherwise(F.col("text")).alias("text"),
-            F.coalesce("n_quoted", F.lit(0).cast("long")).alias("n_quoted"), "reply_to",
-            F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
-        )
+        found.groupBy("conv_id", "turn", *unit, "origin").agg(F.max("whole").alias("whole"), F.count("*").alias("n"))
+        .groupBy("conv_id", "turn", *unit).agg(F.max(F.struct("whole", "n", "origin")).alias("best"))
+        .select("conv_id", "turn", *unit, "best.origin")
     )
 
 

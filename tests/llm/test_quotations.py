@@ -1,4 +1,4 @@
-from bankspark.llm.quotations import link_quotations
+from bankspark.llm.quotations import link_quotations, passage_origins
 
 A = "Could you explain how the index works?\nI read the paper twice."
 B = "It sorts all suffixes of the text.\n\nThen it keeps samples of them."
@@ -44,3 +44,18 @@ def test_edges(spark):
     assert by[(1, 5)][3:] == ("yes", 1, 4, 4, 1) and by[(1, 6)][3:] == ("end", 1, None, 6, 0) and by[(1, 7)][3:5] == ("a > b", 0)
     assert by[(1, 0)][3] is None and by[(1, 2)][3:5] == ("", 1) and by[(1, 3)][3:5] == ("", 1) and by[(1, None)][6] is None
     assert run(spark, []) == []
+
+
+def test_nested_passages(spark):
+    first, second = "How does the index find a phrase?", "It walks the text from the back."
+    rows = [
+        (1, 0, "user", first), (1, 1, "assistant", second),
+        (1, 2, "user", f">> {first}\nonly a nested quotation"),
+        (1, 3, "user", f"> never written by anyone here\n>> {second}\n>>> {first}\nthe shallowest that is found"),
+        (1, 4, "user", f">> {first}\n> {second}\ndepth one goes first"),
+    ]
+    got = {r[1]: r for r in run(spark, rows)}
+    assert [got[k][5:] for k in (2, 3, 4)] == [(0, 0, 1), (1, 1, 1), (1, 1, 1)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = sorted((r.turn, r.depth, r.text, r.origin) for r in passage_origins(d).collect() if r.origin is not None)
+    assert found == [(2, 2, first, 0), (3, 2, second, 1), (3, 3, first, 0), (4, 1, second, 1), (4, 2, first, 0)]
