@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from bankspark.session import cut_lineage
 
 MARKS = r"^\s*>[>\s]*"
-#: Hashed by themselves only if they have this many words: shorter lines say little.
+#: Lines of fewer words say little: what they match ranks after all other matches.
 LINE_WORDS = 4
+#: Ranks of what is compared: short lines, long lines, whole passages.
+SHORT, LONG, WHOLE = 0, 1, 2
 
 
 def normalised(text: Column) -> Column:
@@ -49,16 +51,14 @@ def passages(messages: DataFrame) -> DataFrame:
     )
 
 
-def _line_hashes(text: Column) -> Column:
-    long = F.filter(F.split(text, "\n", -1), lambda x: F.size(F.split(normalised(x), " ")) >= LINE_WORDS)
-    return F.transform(long, _hash)
-
-
 def _units(rows: DataFrame) -> DataFrame:
-    """``rows`` exploded to (hash, whole): the passage itself and its longer lines."""
-    whole = F.when(normalised(F.col("body")) != "", F.array(F.struct(_hash(F.col("body")).alias("hash"), F.lit(True).alias("whole"))))
-    lines = F.transform(_line_hashes(F.col("body")), lambda h: F.struct(h.alias("hash"), F.lit(False).alias("whole")))
-    return rows.withColumn("unit", F.explode(F.concat(F.coalesce(whole, F.array().cast("array<struct<hash:string,whole:boolean>>")), lines)))
+    """``rows`` exploded to (hash, rank): the passage itself and each of its lines that is not blank."""
+    unit = lambda text, rank: F.struct(_hash(text).alias("hash"), rank.alias("rank"))
+    whole = F.filter(F.array("body"), lambda x: normalised(x) != "")
+    lines = F.filter(F.split("body", "\n", -1), lambda x: normalised(x) != "")
+    rank = lambda x: F.when(F.size(F.split(normalised(x), " ")) >= LINE_WORDS, LONG).otherwise(SHORT)
+    units = F.concat(F.transform(whole, lambda x: unit(x, F.lit(WHOLE))), F.transform(lines, lambda x: unit(x, rank(x))))
+    return rows.withColumn("unit", F.explode(units))
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
@@ -66,8 +66,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
 
     ``text`` has no quotations (null stays null); ``n_quoted`` counts quoted passages; ``reply_to`` is
     the turn, earlier in the same conversation, that first wrote what the message quotes, at the
-    shallowest depth where there is one: the writer of a whole passage goes first, then of most
-    lines, then the latest; null if there is none at any depth. ``root_turn`` is where following
+    shallowest depth where there is one: the writer of a whole passage goes first, then of most long
+    lines, then of most lines under ``LINE_WORDS`` words, then the latest; null if there is none at
+    any depth. ``root_turn`` is where following
     ``reply_to`` ends (the turn itself without one), ``depth`` the number of steps. Conversations are read in the order (conv_id, root_turn, turn).
     Messages without conversation or turn are never linked. Equal rows are returned as often as they
     occur; other rows with the same conversation and turn count as one turn, whose reply is the
@@ -119,21 +120,35 @@ def _parts(messages: DataFrame) -> tuple[DataFrame, Column, DataFrame, DataFrame
 
 def _origins(keyed: DataFrame, quotes: Column, quoting: DataFrame, runs: DataFrame, own: DataFrame, *unit: str) -> DataFrame:
     """(conv_id, turn, *unit, origin): who first wrote what is quoted in each ``unit`` of columns of ``runs``."""
-    # Who first wrote what: message bodies, their runs of own lines, and their longer lines.
+    # Who first wrote what: message bodies, their runs of own lines, and all their lines.
     there = "conv_id is not null and turn is not null"
     asked = cut_lineage(
         _units(runs.where(f"depth > 0 and {there}").select("conv_id", "turn", *unit, F.col("text").alias("body")))
-        .select("conv_id", "turn", *unit, "unit.hash", "unit.whole").distinct()
+        .select("conv_id", "turn", *unit, "unit.hash", "unit.rank").distinct()
     )
     bodies = keyed.where(there).where(~quotes & F.col("text").isNotNull()).select("conv_id", "turn", F.col("text").alias("body"))
     bodies = bodies.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
     bodies = bodies.unionByName(runs.where(f"depth = 0 and {there}").select("conv_id", "turn", F.col("text").alias("body")))
     bodies = bodies.unionByName(own.join(quoting.where(there), "message").select("conv_id", "turn", F.col("own").alias("body")))
-    written = _units(bodies).select("conv_id", "turn", "unit.hash").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    found = asked.join(written, ["conv_id", "hash"]).where("origin < turn")
+    written = _units(bodies).select("conv_id", "turn", "unit.hash", "unit.rank").groupBy("conv_id", "hash").agg(
+        F.min(F.when(F.col("rank") > SHORT, F.col("turn"))).alias("origin"), F.min(F.when(F.col("rank") == SHORT, F.col("turn"))).alias("short")
+    )
+    match = lambda origin, rank: F.struct(origin.alias("origin"), rank.alias("rank"))
+    found = (
+        asked.join(written, ["conv_id", "hash"])
+        .withColumn("match", F.explode(F.array(
+            match(F.when(F.col("rank") > SHORT, F.col("origin")).otherwise(F.least("origin", "short")), F.col("rank")),
+            match(F.when(F.col("rank") == WHOLE, F.col("short")), F.lit(SHORT)),
+        )))
+        .select("conv_id", "turn", *unit, "hash", "match.origin", "match.rank").where("origin < turn").distinct()
+    )
+    best = F.struct("whole", "long_lines", "short_lines", "origin")
     return (
-        found.groupBy("conv_id", "turn", *unit, "origin").agg(F.max("whole").alias("whole"), F.count("*").alias("n"))
-        .groupBy("conv_id", "turn", *unit).agg(F.max(F.struct("whole", "n", "origin")).alias("best"))
+        found.groupBy("conv_id", "turn", *unit, "origin").agg(
+            F.max(F.col("rank") == WHOLE).alias("whole"), F.count_if(F.col("rank") > SHORT).alias("long_lines"),
+            F.count_if(F.col("rank") == SHORT).alias("short_lines"),
+        )
+        .groupBy("conv_id", "turn", *unit).agg(F.max(best).alias("best"))
         .select("conv_id", "turn", *unit, "best.origin")
     )
 

@@ -59,3 +59,19 @@ def test_nested_passages(spark):
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     found = sorted((r.turn, r.depth, r.text, r.origin) for r in passage_origins(d).collect() if r.origin is not None)
     assert found == [(2, 2, first, 0), (3, 2, second, 1), (3, 3, first, 0), (4, 1, second, 1), (4, 2, first, 0)]
+
+
+def test_short_lines(spark):
+    rows = [
+        (1, 0, "user", "Hello there\nYes, please\nBy Monday would suit me well"),
+        (1, 1, "user", "Thanks\nand now something else entirely"),
+        (1, 2, "user", "> yes please\none short line of three"),
+        (1, 3, "user", "> Hello there\n>\n> Yes, please\nmore short lines"),
+        (1, 4, "user", "> By Monday would suit me well\n> Thanks\n> more short lines\na long line goes first"),
+        (1, 5, "user", "Yes, please"),
+        (1, 6, "user", "> Yes, please\nits whole writer goes first"),
+        (1, 7, "user", "> Thanks\n> Hello there\nlatest of equal ones"),
+        (1, 8, "user", "> ...\nnothing"),
+    ]
+    got = {r[1]: r[5] for r in run(spark, rows)}
+    assert got == {0: None, 1: None, 2: 0, 3: 0, 4: 0, 5: None, 6: 5, 7: 1, 8: None}
