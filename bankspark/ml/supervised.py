@@ -226,6 +226,19 @@ def gram_sums(df: DataFrame, columns: Sequence[str], weight=None) -> DataFrame:
     )
 
 
+def gram_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, j, total) for i <= j from 1: sums of products of every pair of columns, for many columns.
+
+    Each row is dealt into its entries, which are summed per i against all columns at once: a plan
+    with p sums, not p * (p + 1) / 2.
+    """
+    names = list(columns)
+    entries = df.select(*names, F.posexplode(F.array(*names)).alias("at", "x")).withColumn("i", F.col("at") + 1)
+    sums = entries.groupBy("i").agg(*[F.sum(F.col("x") * F.col(c)).alias(c) for c in names])
+    totals = [F.struct(F.lit(j).alias("j"), F.col(c).alias("total")) for j, c in enumerate(names, 1)]
+    return sums.select("i", F.explode(F.array(*totals)).alias("u")).select("i", "u.*").where("i <= j")
+
+
 def variance_inflation(
     model, scales: dict[str, float], train: DataFrame, features: Sequence[str], terms: dict[str, Sequence[str]]
 ) -> DataFrame:

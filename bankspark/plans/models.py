@@ -117,6 +117,20 @@ def _(b):
     return sums.select(*[F.round(F.col(f"{a}|{c}"), 6).alias(f"{a}_{c}") for a, c in _GRAM_PAIRS])
 
 
+_ALL_PAIRS = [(i, j) for i in range(1, VECTOR_SIZE + 1) for j in range(i, VECTOR_SIZE + 1)]
+
+
+@query(
+    "ml10_gram_matrix",
+    "vectors",
+    "SELECT u.i, u.j, u.total FROM (SELECT unnest(["
+    + ", ".join(f"{{'i': {i}, 'j': {j}, 'total': round(SUM(v{i} * v{j}), 6)}}" for i, j in _ALL_PAIRS)
+    + "]) AS u FROM vectors)",
+)
+def _(b):
+    return S.gram_matrix(b.vectors, _GRAM).withColumn("total", F.round("total", 6))
+
+
 @query("ml11_decision_tree")
 def _(b):
     return S.predict(loan_tree(b), loan_split(b)[1], S.LOAN_MATRIX).select(

@@ -240,3 +240,9 @@ def test_autoencoder_does_not_depend_on_partitions(outliers):
     one = A.fit_autoencoder(scaled.coalesce(1), ["a", "b", "c"], steps=5)
     many = A.fit_autoencoder(scaled.repartition(8), ["a", "b", "c"], steps=5)
     assert np.abs(one - many).max() < 1e-6
+
+
+def test_gram_matrix_has_every_pair(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (3.0, None, 4.0), (5.0, 6.0, 7.0)], "a double, b double, c double")
+    got = {(r.i, r.j): r.total for r in S.gram_matrix(df, ["a", "b", "c"]).collect()}
+    assert got == {(1, 1): 35.0, (1, 2): 32.0, (1, 3): 47.0, (2, 2): 40.0, (2, 3): 42.0, (3, 3): 65.0}
