@@ -238,8 +238,7 @@ def _classes(source: DataFrame, size: int, bounds: SizeBounds) -> tuple[DataFram
     weight = counted.groupBy("key").agg(F.sum("rows").alias("weight"))
     rows = cut_lineage(
         source.join(
-            classes.join(weight.select("key", "weight"), "key").select(F.col("first.doc_id").alias("first_id"), "key", "n", "weight"),
-            source["doc_id"].eqNullSafe(F.col("first_id")),
+            classes.join(weight.select("key", "weight"), "key").select("first.row", "key", "n", "weight"), "row"
         ).select("key", "n", "weight", "text")
     )
     rows = _only_own_text(rows, size)
@@ -341,7 +340,7 @@ def _by_differences(grouped: DataFrame, rows: DataFrame, size: int, bounds: Size
 
 
 def _only_own_text(rows: DataFrame, size: int) -> DataFrame:
-    """Rows whose text has the row's fingerprint (an id may stand at several texts), once each."""
+    """Rows whose text has the fingerprint of their class (rows may be equal), once each."""
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

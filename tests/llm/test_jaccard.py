@@ -4,6 +4,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from bankspark.llm import jaccard
 from bankspark.llm.jaccard import jaccard_components
 
 
@@ -102,3 +103,13 @@ def test_one_row_of_each_component(spark):
     assert sorted(r[:2] for r in got if r[0] is not None and r[1]) == [(3, y), (5, x)]
     assert sorted(r[1] for r in got if r[0] is None) == [" ", "no id but a clean text here", z]
     assert got.count((7, None, "s")) == 2 and len(got) == 7
+
+
+def test_class_texts_meet_only_their_own_rows(spark, monkeypatch):
+    met = []
+    only_own_text = jaccard._only_own_text
+    monkeypatch.setattr(jaccard, "_only_own_text", lambda rows, size: met.append(rows.count()) or only_own_text(rows, size))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join([*base[:k], "new", *base[k + 1 :]])) for k in range(5, 55)]
+    assert run(spark, rows) == brute(rows)
+    assert met and met[0] <= len(rows)
