@@ -22,7 +22,7 @@ def test_matches_sql(spark, folder, name):
 def test_names():
     found = __spark_entry__.queries()
     assert "pipeline" in found
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(bool(re.match(rf"op{n}_", name)) for name in found) == 1
 
 
