@@ -135,12 +135,10 @@ def op11_periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @llm_query
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
-    digest = F.when(F.size("a_ids") > 0, F.sha2("groups", 256)).otherwise("")
-    kept = aligned.select(
-        "doc_id", "part", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"),
-        F.size("a_stops").cast("long").alias("n_groups"), digest.alias("groups_sha256"), "a_links", "b_links",
-    )
+    paths = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    aligned = align_tokens(table(spark, sf_dir, "documents"), *paths, outputs=("groups", "a_links", "b_links"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    kept = aligned.select("doc_id", "part", "n_a", "n_b", "n_groups", digest, "a_links", "b_links")
     scored = score_links(cut_lineage(kept))
     return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,14 @@ from pyspark.sql import types as T
 
 from bankspark.llm.byte_bpe import text_slices
 
-CACHE_WORDS = 400_000  # distinct words that a Python worker remembers
+CACHE_WORDS = 300_000  # distinct words that a Python worker remembers
 PART_CHARS = 1 << 21  # characters aligned together; a longer text is a part of its own
 SLICE_CHARS = 1 << 19
 
+LEARN = 4096  # new words encoded at once
+
+#: How the byte-level tokenizer splits ASCII text before its merges.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 _LATE_BLANK = re.compile(r"\s ")
 
@@ -47,6 +52,7 @@ class TokenPairs:
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         rest = [b for b in range(256) if b not in own]
         value = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+        self.letters = {b: c for c, b in value.items()}
         size = self.bytes_side.get_vocab_size(with_added_tokens=False)
         entries = [self.bytes_side.id_to_token(k) for k in range(size)]
         self.bytes_of = (
@@ -75,20 +81,46 @@ class TokenPairs:
             return text.split(" ")[1:]
         return [word[1:] for word in _SAFE_CUT.split(text)]
 
+    def _byte_level_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of the words with a blank before them; the merges alone are asked where the split is known."""
+        found: list[list[int]] = []
+        others = []
+        merge = self.bytes_side.model.tokenize
+        for word in words:
+            ids: list[int] = []
+            if word.isascii():
+                for piece in _ASCII_PIECES.findall(" " + word):
+                    letters = piece.replace(" ", self.letters[32]) if piece.isprintable() else piece.translate(self.letters)
+                    ids += [t.id for t in merge(letters)]
+            else:
+                others.append(len(found))
+            found.append(ids)
+        encoded = self.bytes_side.encode_batch_fast([" " + words[k] for k in others], add_special_tokens=False)
+        for k, e in zip(others, encoded, strict=True):
+            found[k] = e.ids
+        return found
+
     def _learn(self, words: list[str]) -> None:
-        left = [e.ids for e in self.bytes_side.encode_batch([" " + w for w in words], add_special_tokens=False)]
-        right = self.piece_side.encode(words, num_threads=1)
+        left, right = self._byte_level_ids(words), self.piece_side.encode(words, num_threads=1)
         if "" in words:  # a blank at the end of a text: alone it would count as no text
             right[words.index("")] = self.piece_side.encode("a ")[len(self.piece_side.encode("a")) :]
-        for word, *sides in zip(words, left, right, strict=True):
-            self.place[word] = len(self.place)
-            text = b" " + word.encode()
-            same = True
-            for ids, flat, start, token in zip(sides, self.flat, self.start, self.bytes_of, strict=True):
-                same = same and b"".join([token[i] for i in ids]) == text and all(token[i] for i in ids)
-                flat.extend(ids)
-                start.append(len(flat))
-            self.whole.append(same)
+        texts = [b" " + word.encode() for word in words]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        same = np.ones(len(words), bool)
+        all_bytes = b"".join(texts)
+        exact = True
+        for ids, flat, start, token, length_of in zip((left, right), self.flat, self.start, self.bytes_of, self.length_of, strict=True):
+            stops = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            own = np.fromiter(chain.from_iterable(ids), np.int32, int(stops[-1]))
+            start.frombytes((stops + len(flat)).tobytes())
+            flat.frombytes(own.tobytes())
+            same &= np.diff(np.concatenate([[0], np.cumsum(length_of[own])])[np.concatenate([[0], stops])]) == lengths
+            exact = exact and b"".join(map(token.__getitem__, own.tolist())) == all_bytes
+        if not exact:  # some word is not given back: compare one by one
+            for k in np.flatnonzero(same):
+                same[k] = all(b"".join([token[i] for i in side[k]]) == texts[k] for side, token in zip((left, right), self.bytes_of, strict=True))
+        self.whole.frombytes(same.astype(np.int8).tobytes())
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.arrays = None
 
     def look_up(self, words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -97,8 +129,8 @@ class TokenPairs:
         if len(self.place) + len(new) > CACHE_WORDS:
             self._clear()
             new = list(set(words))
-        if new:
-            self._learn(new)
+        for k in range(0, len(new), LEARN):
+            self._learn(new[k : k + LEARN])
         if self.arrays is None:
             self.arrays = [(np.array(f, np.int32), np.array(s, np.int64)) for f, s in zip(self.flat, self.start, strict=True)], np.array(self.whole, bool)
         sides, whole = self.arrays
@@ -184,8 +216,12 @@ def _group_text(ids: tuple[np.ndarray, np.ndarray], stops: tuple[np.ndarray, np.
     return [b"".join(parts[lo:hi]) for lo, hi in zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)]
 
 
-def align_part(pairs: TokenPairs, texts: list[str | None]) -> list[pa.Array]:
-    """The columns of ``align_tokens`` after the id, for some texts."""
+LISTS = ("a_ids", "b_ids", "a_stops", "b_stops", "a_links", "b_links")
+OUTPUTS = (*LISTS, "groups")
+
+
+def align_part(pairs: TokenPairs, texts: list[str | None], outputs: tuple[str, ...] = OUTPUTS) -> list[pa.Array]:
+    """The counts and the chosen outputs of ``align_tokens`` for some texts."""
     ids: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     stops: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     counts = np.zeros((3, len(texts)), np.int64)  # tokens of either side, groups
@@ -235,34 +271,44 @@ def align_part(pairs: TokenPairs, texts: list[str | None]) -> list[pa.Array]:
         stop = tuple(np.cumsum(keep)[s - 1][keep_group] for keep, s in zip(keep_token, stop, strict=True))
         flat = tuple(f[keep] for f, keep in zip(flat, keep_token, strict=True))
         counts[:, gone] = 0
-    text = _group_text(flat, stop, counts[2])
-    offsets = [pa.array(_starts(c), pa.int32()) for c in counts]
-    links = [pa.array(f[s - 1], pa.int32()) for f, s in zip(flat, stop, strict=True)]
-    relative = [pa.array(s - np.repeat(_starts(c)[:-1], counts[2]), pa.int32()) for s, c in zip(stop, counts, strict=False)]
-    lists = [(offsets[0], pa.array(flat[0], pa.int32())), (offsets[1], pa.array(flat[1], pa.int32())), *[(offsets[2], x) for x in (*relative, *links)]]
-    return [*[pa.ListArray.from_arrays(o, v) for o, v in lists], pa.array(text, pa.binary()).cast(pa.string())]
+    makers = {
+        "a_ids": lambda: (counts[0], flat[0]), "b_ids": lambda: (counts[1], flat[1]),
+        "a_stops": lambda: (counts[2], stop[0] - np.repeat(_starts(counts[0])[:-1], counts[2])),
+        "b_stops": lambda: (counts[2], stop[1] - np.repeat(_starts(counts[1])[:-1], counts[2])),
+        "a_links": lambda: (counts[2], flat[0][stop[0] - 1]), "b_links": lambda: (counts[2], flat[1][stop[1] - 1]),
+    }
+    columns: list[pa.Array] = [pa.array(c) for c in counts]
+    for name in outputs:
+        if name == "groups":
+            columns.append(pa.array(_group_text(flat, stop, counts[2]), pa.binary()).cast(pa.string()))
+        else:
+            n, values = makers[name]()
+            columns.append(pa.ListArray.from_arrays(pa.array(_starts(n), pa.int32()), pa.array(values, pa.int32())))
+    return columns
 
 
 _loaded: dict[tuple[str, str], TokenPairs] = {}
 _INTS = T.ArrayType(T.IntegerType(), False)
 
 
-def align_tokens(documents: DataFrame, byte_level_path: str, piece_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, part, a_ids, b_ids, a_stops, b_stops, a_links, b_links, groups) per row.
+def align_tokens(
+    documents: DataFrame, byte_level_path: str, piece_path: str, outputs: tuple[str, ...] = OUTPUTS, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """(doc_id, part, n_a, n_b, n_groups, and those of ``OUTPUTS`` that are asked for) per row.
 
     Side a is a byte-level tokenizer on a blank and the text, side b a piece tokenizer (which sets the
     blank itself) on the text. Group g holds the tokens from the stops of the group before it up to
     ``a_stops[g]`` and ``b_stops[g]``; ``a_links`` and ``b_links`` are the two tokens that end together
     there. ``groups`` writes all ids as ``a1,a2|b1;a3|b2``. ``part`` numbers rows aligned together, about
     ``PART_CHARS`` characters of text. A null or empty text, and one whose bytes either side does not
-    give back, has no tokens: empty arrays and text. Rows are worked on one by one: repeated rows and
-    null ids give a row each, an empty table gives none. Other columns are ignored.
+    give back, has no tokens: zeros, empty arrays and text. Rows are worked on one by one: repeated rows
+    and null ids give a row each, an empty table gives none. Other columns are ignored.
     """
     source = documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
-    names = ["a_ids", "b_ids", "a_stops", "b_stops", "a_links", "b_links"]
+    of_output = {c: _INTS if c in LISTS else T.StringType() for c in OUTPUTS}
     schema = T.StructType([
-        source.schema["doc_id"], T.StructField("part", T.LongType(), False),
-        *[T.StructField(c, _INTS, False) for c in names], T.StructField("groups", T.StringType(), False),
+        source.schema["doc_id"], *[T.StructField(c, T.LongType(), False) for c in ("part", "n_a", "n_b", "n_groups")],
+        *[T.StructField(c, of_output[c], False) for c in outputs],
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,18 +317,19 @@ def align_tokens(documents: DataFrame, byte_level_path: str, piece_path: str, id
         paths = byte_level_path, piece_path
         if paths not in _loaded:
             _loaded[paths] = TokenPairs(*paths)
-        part, size = TaskContext.get().partitionId() << 32, 0
+        part, in_part = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
+            lo, size = 0, 0
             texts = batch.column(1).to_pylist()
-            lo = 0
             for hi in range(1, len(texts) + 1):
                 size += len(texts[hi - 1] or "") + 64
-                if size >= PART_CHARS or hi == len(texts):
-                    found = align_part(_loaded[paths], texts[lo:hi])
+                if size >= SLICE_CHARS or hi == len(texts):
+                    found = align_part(_loaded[paths], texts[lo:hi], outputs)
                     yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([part] * (hi - lo)), *found], names=schema.names)
-                    lo = hi
-                    if size >= PART_CHARS:
-                        part, size = part + 1, 0
+                    in_part += size
+                    lo, size = hi, 0
+                    if in_part >= PART_CHARS:
+                        part, in_part = part + 1, 0
 
     return source.mapInArrow(run, schema)
 
