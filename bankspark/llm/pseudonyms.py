@@ -22,7 +22,7 @@ _ALONE = r"(?<![A-Za-z0-9_])(?<!\d[.,])"
 _END = r"(?![A-Za-z0-9_])(?![.,]\d)"
 #: What may be a value, most specific form first; whether it is one is decided by ``_KINDS``.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "address": rf"{_ALONE}\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?![A-Za-z0-9_])(?!\.\d)",
     "phone": rf"(?<![A-Za-z0-9_+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .-]?\d{{2,4}}){{2,4}}{_END}"
     rf"|(?<![A-Za-z0-9_])\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}{_END}|{_ALONE}\d{{3}}([ .-])\d{{3}}\1\d{{4}}{_END}",
@@ -65,8 +65,11 @@ def _feistel(values: Column, radices: Column, tag: Column, key: str) -> Column:
     return _let(F.struct(values.alias("v"), radices.alias("r"), tag.alias("tag")), lambda s: _let(halves(s), rounds))
 
 
-def _characters(value: Column, tag: str, key: str, letters: int, kept: Callable[[Column], Column]) -> Column:
-    """Permute digits as digits and letters as letters of their case; ``kept`` places stay."""
+def _characters(value: Column, tag: str, key: str, letters: int, kept: Callable[[Column], Column], after: Column | None = None) -> Column:
+    """Permute digits as digits and letters as letters of their case; ``kept`` places stay.
+
+    ``after`` is text that follows the value, part of the hash only.
+    """
 
     def place(i: Column) -> Column:
         return _let(F.substr(value, i, F.lit(1)), lambda c: F.struct(
@@ -79,7 +82,8 @@ def _characters(value: Column, tag: str, key: str, letters: int, kept: Callable[
         radices = F.transform(p, lambda x: x["r"])
         values = F.transform(p, lambda x: F.when(x["r"] == 1, 0).otherwise(F.ascii(x["c"]) - x["first"]))
         # the places that stay, and so the format, are part of the hash
-        form = F.concat(F.lit(tag), F.array_join(F.transform(p, lambda x: F.when(x["r"] == 1, x["c"]).otherwise(x["r"].cast("string"))), ""))
+        form = F.concat(F.lit(tag), F.array_join(F.transform(p, lambda x: F.when(x["r"] == 1, x["c"]).otherwise(x["r"].cast("string"))), ""),
+                        *([] if after is None else [after]))
         return F.array_join(
             F.zip_with(p, _feistel(values, radices, form, key), lambda x, v: F.when(x["r"] == 1, x["c"]).otherwise(F.char(v + x["first"]))), ""
         )
@@ -87,6 +91,14 @@ def _characters(value: Column, tag: str, key: str, letters: int, kept: Callable[
     return _let(F.transform(F.sequence(F.lit(1), F.length(value)), place), permuted)
 
 
+def _mail(value: Column, key: str) -> Column:
+    """The local part (64 characters at most) is permuted, the domain stays, however long it is."""
+    local = lambda v: F.substring_index(v, "@", 1)
+    domain = lambda v: F.substr(v, F.instr(v, "@"))
+    none = lambda j: F.lit(False)
+    return F.concat(_characters(local(value), "email", key, 26, none, domain(value)), domain(value))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -182,9 +194,8 @@ def _replaced(value: Column, key: str) -> Column:
     octets = _numbers(value)
     social = _numbers(value)
     country = F.length(F.regexp_extract(value, r"^\+\d{1,3}", 0))
-    at = F.instr(value, "@") - 1
     return (
-        F.when(_of_form(value, "email"), _characters(value, "email", key, 26, lambda j: j >= at))
+        F.when(_of_form(value, "email"), _mail(value, key))
         .when(_of_form(value, "address"), F.when(F.forall(octets, lambda o: o <= 255), _address(value, key)))
         .when(_of_form(value, "date"), _date(value, key))
         .when(
