@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from bankspark.session import cut_lineage
 
 MARKS = r"^\s*>[>\s]*"
+#: Whether some line has marks; white space is looked at from line ends only, once.
+QUOTES = r"(?:^|\n)[ \t\x0B\f\r]*+>"
 #: Lines of fewer words say little: what they match ranks after all other matches.
 LINE_WORDS = 4
 #: Ranks of what is compared: short lines, long lines, whole passages.
@@ -107,12 +109,12 @@ def _parts(messages: DataFrame) -> tuple[DataFrame, Column, DataFrame, DataFrame
     """Messages with their key, which of them quote, these once each, their runs, and their own text."""
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
     keyed = rows.withColumn("message", F.sha2(F.concat_ws("|", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.coalesce(F.col("turn").cast("string"), F.lit("-")), F.col("text")), 256))
-    quotes = F.coalesce(F.col("text").rlike(r"(?m)" + MARKS), F.lit(False))
+    quotes = F.coalesce(F.col("text").rlike(QUOTES), F.lit(False))
     quoting = keyed.where(quotes).select("message", "conv_id", "turn", "text").dropDuplicates(["message"])
     runs = cut_lineage(passages(quoting.select("message", "text")).join(quoting.select("message", "conv_id", "turn"), "message"))
     own = runs.where("depth = 0").groupBy("message").agg(
-        F.regexp_replace(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n"), r"^\s+|\s+$", ""
+        F.btrim(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "\n"), F.lit(" \t\n\x0b\f\r")
         ).alias("own")
     )
     return keyed, quotes, quoting, runs, own

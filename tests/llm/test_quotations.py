@@ -1,3 +1,5 @@
+import time
+
 from bankspark.llm.quotations import link_quotations, passage_origins
 
 A = "Could you explain how the index works?\nI read the paper twice."
@@ -75,3 +77,16 @@ def test_short_lines(spark):
     ]
     got = {r[1]: r[5] for r in run(spark, rows)}
     assert got == {0: None, 1: None, 2: 0, 3: 0, 4: 0, 5: None, 6: 5, 7: 1, 8: None}
+
+
+def test_a_megabyte_of_blank_lines(spark):
+    n = 1_000_000
+    rows = [
+        (1, 0, "user", "one line of several words" + "\n" * n + "and another one at the end"), (1, 1, "user", "> one line of several words" + "\n" * n + "x"),
+        (1, 2, "user", " " * n + "> and another one at the end\n" + " " * n), (1, 3, "user", "\n" * n), (1, 4, "user", "wrote:  " * (n // 8)),
+    ]
+    started = time.perf_counter()
+    got = run(spark, rows)
+    assert time.perf_counter() - started < 90
+    assert [r[4:] for r in got] == [(0, None, 0, 0), (1, 0, 0, 1), (1, 0, 0, 1), (0, None, 3, 0), (0, None, 4, 0)]
+    assert [r[3] for r in got][1:4] == ["x", "", "\n" * n]
