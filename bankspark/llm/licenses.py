@@ -8,6 +8,7 @@ its longest mandatory phrase, so most texts are read once by plain phrase search
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 import re
 
 import pyarrow as pa
@@ -116,13 +117,23 @@ class Template:
 
     def found_in(self, spaced: bytes, words: list[bytes]) -> bool:
         """``spaced``: the words with a space before, between and after them."""
-        at = spaced.find(self.anchor)
-        while at >= 0:
-            place = spaced.count(b" ", 0, at)
-            if self.accepts(words[max(0, place - self.most) : place + self.most]):
-                return True
-            at = spaced.find(self.anchor, at + 1)
-        return False
+        first = after = 0  # words that may belong to a match; overlapping stretches are read once
+        for place in _places(spaced, self.anchor):
+            if place - self.most > after:
+                if self.accepts(words[first:after]):
+                    return True
+                first = place - self.most
+            after = place + self.most
+        return self.accepts(words[first:after])
+
+
+def _places(spaced: bytes, phrase: bytes) -> Iterator[int]:
+    """Number of the first word at each place of ``phrase``, counted on from place to place."""
+    at, seen, place = spaced.find(phrase), 0, 0
+    while at >= 0:
+        place += spaced.count(b" ", seen, at)
+        yield place
+        seen, at = at, spaced.find(phrase, at + 1)
 
 
 def with_licenses(documents: DataFrame, text: Column, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -145,11 +156,10 @@ def with_licenses(documents: DataFrame, text: Column, phrases: dict[str, str] =
                 spaced = b" %b " % b" ".join(words)
                 places, base = [], set()
                 for phrase, label in sought:
-                    at = spaced.find(phrase)
-                    while at >= 0:
-                        places.append(spaced.count(b" ", 0, at))
+                    found = list(_places(spaced, phrase))
+                    if found:
+                        places += found
                         base.add(label)
-                        at = spaced.find(phrase, at + 1)
                 own = {name for name, a in automata.items() if a.found_in(spaced, words)}
                 out.append((
                     len(words), len(places), min(places, default=None), max(places, default=None),

@@ -1,4 +1,5 @@
 import re
+import time
 
 from bankspark.llm.licenses import PHRASES, TEMPLATES, Template, license_scan, plain
 
@@ -48,3 +49,14 @@ def test_labels_and_edges(spark):
         ("mit", "mit,mit-notice", 1.0), ("", "", 0.0), ("mit", "mit,mit-notice", 1.0), ("mit", "mit,mit-notice", 1.0)]
     assert [tuple(r)[1:6] for r in got] == [brute_base(t) for _, t, *_ in rows]
     assert license_scan(docs.limit(0)).collect() == []
+
+
+def test_many_places(spark):
+    n = 100_000
+    texts = ["under the mit license " * n, "x under the mit license" * n, " ".join(["all rights reserved"] * n) + " " + MIT, "word " * 50 * 2000 + MIT]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    started = time.perf_counter()
+    got = license_scan(docs).collect()
+    assert time.perf_counter() - started < 60
+    assert [tuple(r)[1:6] for r in got] == [brute_base(t) for t in texts]
+    assert got[0].n_base == n and "mit-text" in got[2].labels and "mit-text" in got[3].labels
