@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bankspark.plans.models import once
 from bankspark.plans.registry import query
 from bankspark.session import fresh_path
 from bankspark.streaming import router
@@ -13,6 +14,11 @@ STAGED_FILES = 9
 
 
 def _routed(b) -> str:
+    """The output folder of one run of the router, shared by the queries on its tables."""
+    return once(b, "routed stream", lambda: _route(b))
+
+
+def _route(b) -> str:
     """Stage the transactions as a folder of files, each id twice and out of time order, and route them
     in several batches."""
     incoming, out = fresh_path(b.spark, "incoming"), fresh_path(b.spark, "routed")

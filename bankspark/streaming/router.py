@@ -1,4 +1,8 @@
-"""Live fraud routing: every transaction is stored, scored, logged and, if risky, alerted."""
+"""Live fraud routing: every transaction is stored, scored, logged and, if risky, alerted.
+
+Repeats are found in keyed state: a streaming aggregation holds, per transaction id, when the id was
+first seen. A batch reads its own rows and the state of their ids, never what was stored before.
+"""
 
 from __future__ import annotations
 
@@ -48,18 +52,18 @@ def route_stream(
 ) -> None:
     """Read the folder of incoming Parquet files to its end and write the three tables.
 
-    Every transaction is stored, scored and logged, however late it comes. An id that is already
-    stored is a repeat and is dropped; of several rows with one id in a batch the earliest (then
+    Every transaction is stored, scored and logged, however late it comes. An id that came in an
+    earlier batch is a repeat and is dropped; of several rows with one id in a batch the earliest (then
     the smallest in the order of columns) counts. A row without id is never a repeat. Each table is
     partitioned by the batch number and a batch overwrites only its own partition, so a batch that is
-    run again after a failure leaves the same rows.
+    run again after a failure leaves the same rows. State is kept by RocksDB, in as many partitions
+    as ``spark.sql.shuffle.partitions`` says when the stream runs for the first time.
     """
-    incoming_rows = (
-        spark.readStream.schema(ddl("live_transactions")).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
-    )
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    files = spark.readStream.schema(ddl("live_transactions")).option("maxFilesPerTrigger", files_per_batch)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score(_new_rows(batch, out, batch_id)).persist()
+        scored = score(batch).persist()
         for name, rows in route_batch(scored, model_name, model_version).items():
             (
                 rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
@@ -68,8 +72,10 @@ def route_stream(
             )
         scored.unpersist()
 
+    fresh = first_rows(files.parquet(incoming)).unionByName(files.parquet(incoming).filter("transaction_id IS NULL"))
     query = (
-        incoming_rows.writeStream.foreachBatch(write)
+        fresh.writeStream.foreachBatch(write)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -77,6 +83,24 @@ def route_stream(
     query.awaitTermination()
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_rows(live: DataFrame) -> DataFrame:
+    """The rows of a stream whose id no earlier batch had, one per id, in update mode.
+
+    All rows of a batch have one arrival time, also when the batch is run again, so an id is new where
+    the earliest arrival in its state is the batch's own.
+    """
+    columns = ["transaction_date", *[c for c in live.columns if c not in ("transaction_id", "transaction_date")]]
+    arrival = F.current_timestamp()
+    state = (
+        live.filter("transaction_id IS NOT NULL").withColumn("_arrival", arrival)
+        .groupBy("transaction_id").agg(F.min(F.struct(*columns)).alias("row"), F.min("_arrival").alias("first_seen"))
+    )
+    return state.filter(F.col("first_seen") == arrival).select("transaction_id", "row.*").select(live.columns)
+
+
 _STORED = {
     "transactions": "transaction_id BIGINT, account_id BIGINT, amount DOUBLE, type STRING, channel STRING, "
     "location STRING, transaction_date TIMESTAMP, batch_id BIGINT",
@@ -86,18 +110,6 @@ _STORED = {
 }
 
 
-def _new_rows(batch: DataFrame, out: str, batch_id: int) -> DataFrame:
-    """Rows of a batch whose id no other batch has stored, one per id."""
-    columns = ["transaction_date", *[c for c in batch.columns if c not in ("transaction_id", "transaction_date")]]
-    known = batch.filter("transaction_id IS NOT NULL")
-    first = known.groupBy("transaction_id").agg(F.min(F.struct(*columns)).alias("row")).select("transaction_id", "row.*")
-    spark = batch.sparkSession
-    if batch_id > 0:
-        before = stored(spark, out, "transactions").filter(F.col("batch_id") != batch_id).select("transaction_id")
-        first = first.join(before, "transaction_id", "left_anti")
-    return first.select(batch.columns).unionByName(batch.filter("transaction_id IS NULL"))
-
-
 def stored(spark: SparkSession, out: str, table: str) -> DataFrame:
     """One of the three tables as written so far."""
     return spark.read.schema(_STORED[table]).parquet(f"{out}/{table}")

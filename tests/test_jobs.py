@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from bankspark import fixed_values as V
 from bankspark.generate.bank import BankGenerator
 from bankspark.plans.run import JOBS, Run
+from bankspark.schema import ddl
 from bankspark.session import fresh_path
 from bankspark.sources import files
 from bankspark.streaming import router
@@ -153,6 +155,78 @@ def test_router_keeps_late_rows(spark):
         assert sorted(r["transaction_id"] for r in router.stored(spark, out, table).collect()) == [0, 1, 2, 3]
 
 
+def _router_input(spark, files):
+    """Files of 40 rows each; a third of the rows repeat ids of earlier files or of their own."""
+    incoming = fresh_path(spark, "in")
+    for k in range(files):
+        day = dt.datetime(2025, 1, 1 + (7 * k) % 28)
+        rows = [(max(0, 30 * k - 10 + i % 35), i, day, 10.0 + i, "Debit", "ATM", "Bago", (i % 10) / 10) for i in range(40)]
+        rows.append((None, k, day, 1.0, "Debit", "POS", "Bago", 0.9))
+        _live(spark, rows).coalesce(1).write.mode("append").parquet(incoming)
+    return incoming
+
+
+def _tables(spark, out):
+    return {t: sorted((tuple(r)[:-1] for r in router.stored(spark, out, t).collect()), key=repr) for t in router.TABLES}
+
+
+def test_router_reads_no_history(spark):
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Progress(StreamingQueryListener):
+        def __init__(self):
+            self.rows, self.state = [], []
+
+        def onQueryStarted(self, event): ...
+        def onQueryIdle(self, event): ...
+        def onQueryTerminated(self, event): ...
+
+        def onQueryProgress(self, event):
+            self.rows.append(event.progress.numInputRows)
+            self.state.append([o.numRowsTotal for o in event.progress.stateOperators])
+
+    files = 8
+    incoming, out = _router_input(spark, files), fresh_path(spark, "out")
+    seen = Progress()
+    spark.streams.addListener(seen)
+    try:
+        router.route_stream(spark, incoming, out, fresh_path(spark, "ck"), files_per_batch=1)
+    finally:
+        for _ in range(100):
+            if len([n for n in seen.rows if n]) >= files:
+                break
+            time.sleep(0.1)
+        spark.streams.removeListener(seen)
+    # the source stands twice in the plan (rows with and without id): 41 rows a file, in every batch
+    assert [n for n in seen.rows if n] == [82] * files
+    got = _tables(spark, out)
+    ids = {r[0] for r in got["transactions"]} - {None}
+    assert len(got["transactions"]) == len(got["model_logs"]) == len(ids) + files
+    assert max(n for state in seen.state for n in state) == len(ids)
+    batch = spark.read.schema(ddl("live_transactions")).parquet(incoming)
+    assert ids == {r[0] for r in batch.select("transaction_id").distinct().collect()} - {None}
+
+
+def test_router_goes_on_after_a_failure(spark):
+    incoming = _router_input(spark, 5)
+    out, other = fresh_path(spark, "out"), fresh_path(spark, "out")
+    router.route_stream(spark, incoming, other, fresh_path(spark, "ck"), files_per_batch=1)
+    ck, calls = fresh_path(spark, "ck"), []
+
+    def fails_once_in_between(df):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return router.rule_score(df)
+
+    with pytest.raises(Exception, match="lost"):
+        router.route_stream(spark, incoming, out, ck, score=fails_once_in_between, files_per_batch=1)
+    partly = router.stored(spark, out, "transactions").count()
+    router.route_stream(spark, incoming, out, ck, score=fails_once_in_between, files_per_batch=1)
+    assert 0 < partly < len(_tables(spark, out)["transactions"])
+    assert _tables(spark, out) == _tables(spark, other)
+
+
 def test_shared_folder_is_required_off_one_machine(spark, monkeypatch):
     from bankspark import session
 
