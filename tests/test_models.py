@@ -145,29 +145,38 @@ def brute_dbscan(x, eps, min_points):
     return core, label
 
 
-@pytest.mark.parametrize("d, eps", [(2, 0.5), (3, 0.6)])
-def test_dbscan_equals_brute_force(spark, d, eps, monkeypatch):
-    from bankspark.ml import dbscan as module
-
-    monkeypatch.setattr(module, "_LEAF", 4)  # so that finer cells are really used
+@pytest.mark.parametrize("d, eps, fan, leaf", [(2, 0.5, 3, 4), (3, 0.6, 32, 256), (6, 1.1, 5, 8), (64, 4.3, 4, 16)])
+def test_dbscan_equals_brute_force(spark, d, eps, fan, leaf):
     rng = np.random.default_rng(11)
     x = np.concatenate([
         rng.normal(size=(120, d)) * 0.4, rng.normal(size=(120, d)) * 0.3 + 3, rng.uniform(-4, 7, size=(60, d)),
         np.tile(rng.normal(size=(1, d)) + 6, (100, 1)),  # a hundred copies of one row
+        rng.normal(size=(60, d)) * 0.01 * eps / d - 5,  # a crowded place: all rows within eps
     ])
     columns = [f"c{i}" for i in range(d)]
-    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns))
-    got = {r["id"]: r for r in dbscan(df, "id", columns, eps, 5).collect()}
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)]
+    odd = [(len(x), *[None] * d), (len(x) + 1, *[float("nan")] * d), (len(x) + 2, *[float("inf")] * d)]
+    df = spark.createDataFrame(rows + odd, "id BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns))
+    got = {r["id"]: r for r in dbscan(df, "id", columns, eps, 5, fan, leaf).collect()}
     core, label = brute_dbscan(x, eps, 5)
+    assert core.any() and not core.all()
     assert [got[i]["core"] for i in range(len(x))] == list(core)
-    groups = {}
-    for i in range(len(x)):
-        if core[i]:
-            groups.setdefault(label[i], set()).add(got[i]["dbscan_cluster"])
-        else:
-            assert (got[i]["dbscan_cluster"] == 0) == (label[i] < 0)
-    assert all(len(g) == 1 for g in groups.values())
-    assert len({next(iter(g)) for g in groups.values()}) == len(groups)
+    assert not any(got[r[0]]["core"] or got[r[0]]["dbscan_cluster"] for r in odd) and len(got) == len(rows) + 3
+    # clusters are numbered by their lowest row; a border row takes the lowest number in reach
+    number = {v: k + 1 for k, v in enumerate(sorted(set(label[core])))}
+    assert [got[i]["dbscan_cluster"] for i in range(len(x))] == [number.get(v, 0) for v in label]
+
+
+def test_ball_pairs_decide_a_crowded_place(spark):
+    from bankspark.ml.dbscan import comparison_report
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(3000, 8)) * 0.01, rng.uniform(-50, 50, size=(1000, 8))])
+    columns = [f"c{i}" for i in range(8)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns))
+    report = comparison_report(df, "id", columns, eps=1.0, fan=8, leaf=32).first()
+    assert report["points"] == 4000 and report["all_pairs"] == 4000 * 3999 // 2
+    assert report["sure_pairs"] > 0 and report["compared_pairs"] < report["all_pairs"] / 15
 
 
 def test_dbscan_of_noise_only(spark):
