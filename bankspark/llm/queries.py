@@ -18,7 +18,7 @@ from bankspark.llm.periodic_runs import periodic_runs
 from bankspark.llm.pseudonyms import pseudonymise
 from bankspark.llm.quotations import link_quotations
 from bankspark.llm.sql import ORACLE_SQL
-from bankspark.llm.token_align import align_tokens, score_links
+from bankspark.llm.token_align import align_tokens, coded_links, score_links
 from bankspark.llm.warc_chunks import read_back
 from bankspark.llm.weak_labels import classify_quality
 from bankspark.session import configure, cut_lineage, ship_package
@@ -138,8 +138,8 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     paths = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
     aligned = align_tokens(table(spark, sf_dir, "documents"), *paths, outputs=("groups", "a_links", "b_links"))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
-    kept = aligned.select("doc_id", "part", "n_a", "n_b", "n_groups", digest, "a_links", "b_links")
-    scored = score_links(cut_lineage(kept))
+    kept = aligned.select("doc_id", "n_a", "n_b", "n_groups", digest, "a_links", "b_links")
+    scored = score_links(cut_lineage(coded_links(kept)))
     return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from bankspark.llm.byte_bpe import text_slices
 
 CACHE_WORDS = 300_000  # distinct words that a Python worker remembers
-PART_CHARS = 1 << 21  # characters aligned together; a longer text is a part of its own
+PART_LINKS = 400_000  # links that share a list of pairs; a text with more is a part of its own
 SLICE_CHARS = 1 << 19
 
 LEARN = 4096  # new words encoded at once
@@ -294,30 +294,26 @@ _INTS = T.ArrayType(T.IntegerType(), False)
 def align_tokens(
     documents: DataFrame, byte_level_path: str, piece_path: str, outputs: tuple[str, ...] = OUTPUTS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """(doc_id, part, n_a, n_b, n_groups, and those of ``OUTPUTS`` that are asked for) per row.
+    """(doc_id, n_a, n_b, n_groups, and those of ``OUTPUTS`` that are asked for) per row.
 
     Side a is a byte-level tokenizer on a blank and the text, side b a piece tokenizer (which sets the
     blank itself) on the text. Group g holds the tokens from the stops of the group before it up to
     ``a_stops[g]`` and ``b_stops[g]``; ``a_links`` and ``b_links`` are the two tokens that end together
-    there. ``groups`` writes all ids as ``a1,a2|b1;a3|b2``. ``part`` numbers rows aligned together, about
-    ``PART_CHARS`` characters of text. A null or empty text, and one whose bytes either side does not
-    give back, has no tokens: zeros, empty arrays and text. Rows are worked on one by one: repeated rows
+    there. ``groups`` writes all ids as ``a1,a2|b1;a3|b2``. A null or empty text, and one whose
+    bytes either side does not give back, has no tokens: zeros, empty arrays and text. Rows are worked on one by one: repeated rows
     and null ids give a row each, an empty table gives none. Other columns are ignored.
     """
     source = documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     of_output = {c: _INTS if c in LISTS else T.StringType() for c in OUTPUTS}
     schema = T.StructType([
-        source.schema["doc_id"], *[T.StructField(c, T.LongType(), False) for c in ("part", "n_a", "n_b", "n_groups")],
+        source.schema["doc_id"], *[T.StructField(c, T.LongType(), False) for c in ("n_a", "n_b", "n_groups")],
         *[T.StructField(c, of_output[c], False) for c in outputs],
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         paths = byte_level_path, piece_path
         if paths not in _loaded:
             _loaded[paths] = TokenPairs(*paths)
-        part, in_part = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             lo, size = 0, 0
             texts = batch.column(1).to_pylist()
@@ -325,57 +321,89 @@ def align_tokens(
                 size += len(texts[hi - 1] or "") + 64
                 if size >= SLICE_CHARS or hi == len(texts):
                     found = align_part(_loaded[paths], texts[lo:hi], outputs)
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([part] * (hi - lo)), *found], names=schema.names)
-                    in_part += size
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *found], names=schema.names)
                     lo, size = hi, 0
-                    if in_part >= PART_CHARS:
-                        part, in_part = part + 1, 0
 
     return source.mapInArrow(run, schema)
 
 
-def link_counts(aligned: DataFrame) -> DataFrame:
-    """(part, a_id, b_id, n): how many links hold each pair of ids, summed up within batches of rows."""
+def coded_links(aligned: DataFrame, part_links: int = PART_LINKS) -> DataFrame:
+    """``aligned`` with (part, codes, pairs) in place of ``a_links`` and ``b_links``.
+
+    Rows are taken in parts of about ``part_links`` links. ``codes`` numbers a row's links in the list of
+    their part's distinct id pairs, in two bytes each (four where the list is longer than that allows);
+    the list stands in ``pairs`` of the part's first row, each pair with its number of links, and is null
+    in the others.
+    """
+    others = [c for c in aligned.columns if c not in ("a_links", "b_links")]
+    pair = T.StructType([T.StructField("a_id", T.IntegerType()), T.StructField("b_id", T.IntegerType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([
+        *[aligned.schema[c] for c in others], T.StructField("part", T.LongType(), False),
+        T.StructField("codes", T.BinaryType(), False), T.StructField("pairs", T.ArrayType(pair)),
+    ])
+
+    def coded(rows: pa.Table, part: int) -> Iterator[pa.RecordBatch]:
+        links = [rows.column(c).combine_chunks() for c in ("a_links", "b_links")]
+        stop = np.cumsum(links[0].value_lengths().to_numpy())
+        both = links[0].flatten().to_numpy().astype(np.int64) << 32 | links[1].flatten().to_numpy()
+        known, code, n = np.unique(both, return_inverse=True, return_counts=True)
+        written = code.astype(_code_type(len(known))).tobytes()
+        width = len(written) // max(1, len(code))
+        codes = [written[width * lo : width * hi] for lo, hi in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+        listed = pa.StructArray.from_arrays(
+            [pa.array((known >> 32).astype(np.int32)), pa.array((known & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], names=["a_id", "b_id", "n"]
+        )
+        offsets = pa.array([0] + [len(known)] * len(codes), pa.int32())
+        mask = pa.array([False] + [True] * (len(codes) - 1))
+        columns = [*[rows.column(c) for c in others], pa.array([part] * len(codes), pa.int64()), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(offsets, listed, mask=mask)]
+        yield from pa.table(columns, names=schema.names).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            part = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
-            code = batch.column(1).flatten().to_numpy().astype(np.int64) << 32 | batch.column(2).flatten().to_numpy()
-            for one in np.unique(part):
-                pair, n = np.unique(code[part == one], return_counts=True)
-                columns = [np.full(len(pair), one), (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32), n]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "a_id", "b_id", "n"])
+            weight = batch.column(batch.schema.get_field_index("a_links")).value_lengths().to_numpy().astype(np.int64) + 1
+            while batch.num_rows:
+                total = size + np.cumsum(weight)
+                take = int(np.searchsorted(total, part_links)) + 1  # up to the row that fills the part
+                held.append(batch.slice(0, take))
+                size = int(total[min(take, len(total)) - 1])
+                batch, weight = batch.slice(take), weight[take:]
+                if size >= part_links:
+                    yield from coded(pa.Table.from_batches(held), part)
+                    part, held, size = part + 1, [], 0
+        if held:
+            yield from coded(pa.Table.from_batches(held), part)
 
-    return aligned.select("part", "a_links", "b_links").mapInArrow(run, "part long, a_id int, b_id int, n long")
+    return aligned.mapInArrow(run, schema)
 
 
-def score_links(aligned: DataFrame) -> DataFrame:
-    """The rows of a written ``align_tokens`` without their links, with (n_links, n_best, count_sum).
+def _code_type(pairs: int) -> type:
+    return np.uint16 if pairs <= 1 << 16 else np.uint32
+
+
+def score_links(coded: DataFrame) -> DataFrame:
+    """The rows of a written ``coded_links`` without part, codes and pairs, with (n_links, n_best, count_sum).
 
     A pair's count is the number of links that hold it in the whole table. ``n_best`` counts the links
     whose count is the highest of their b id, ``count_sum`` sums the counts over links. Each part asks
     once for each of its pairs, so that the join meets pairs of parts and not links.
     """
-    asked = link_counts(aligned)
+    asked = coded.where("pairs is not null").select("part", F.posexplode("pairs").alias("code", "pair")).select("part", "code", "pair.*")
     total = asked.groupBy("a_id", "b_id").agg(F.sum("n").alias("total"))
     highest = total.groupBy("b_id").agg(F.max("total").alias("highest"))
     best = total.join(highest, "b_id").select("a_id", "b_id", "total", (F.col("total") == F.col("highest")).alias("best"))
-    answers = asked.select("part", "a_id", "b_id").distinct().join(best, ["a_id", "b_id"])
-    others = [c for c in aligned.columns if c not in ("a_links", "b_links")]
-    schema = T.StructType([*[aligned.schema[c] for c in others], *[T.StructField(c, T.LongType(), False) for c in ("n_links", "n_best", "count_sum")]])
+    answers = asked.join(best, ["a_id", "b_id"]).select(F.col("part").alias("to"), "code", "total", "best")
+    others = [c for c in coded.columns if c not in ("part", "codes", "pairs")]
+    schema = T.StructType([*[coded.schema[c] for c in others], *[T.StructField(c, T.LongType(), False) for c in ("n_links", "n_best", "count_sum")]])
 
     def run(rows: pa.Table, known: pa.Table) -> pa.Table:
-        links = [rows.column(c).combine_chunks() for c in ("a_links", "b_links")]
-        counts = links[0].value_lengths().to_numpy()
-        code = links[0].flatten().to_numpy().astype(np.int64) << 32 | links[1].flatten().to_numpy()
-        pair = known.column("a_id").to_numpy().astype(np.int64) << 32 | known.column("b_id").to_numpy()
-        order = np.argsort(pair)
-        at = order[np.searchsorted(pair[order], code)] if len(code) else np.zeros(0, np.int64)
-        sums = []
-        for values in (known.column("best").to_numpy().astype(np.int64), known.column("total").to_numpy()):
-            running = np.concatenate([[0], np.cumsum(values[at])])
-            stop = np.cumsum(counts)
-            sums.append(running[stop] - running[stop - counts])
-        return pa.table([*[rows.column(c) for c in others], pa.array(counts.astype(np.int64)), *map(pa.array, sums)], names=schema.names)
-
-    return aligned.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, schema)
+        known = known.sort_by("code")
+        kind = _code_type(known.num_rows)
+        codes = [np.frombuffer(c, kind) for c in rows.column("codes").to_pylist()]
+        total, best = known.column("total").to_numpy(), known.column("best").to_numpy()
+        sums = [[len(c) for c in codes], [int(best[c].sum()) for c in codes], [int(total[c].sum()) for c in codes]]
+        return pa.table([*[rows.column(c) for c in others], *[pa.array(x, pa.int64()) for x in sums]], names=schema.names)
+
+    return coded.select("part", "codes", *others).groupBy("part").cogroup(answers.groupBy("to")).applyInArrow(run, schema)

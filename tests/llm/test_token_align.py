@@ -100,13 +100,15 @@ def expected(rows, brute):
 def test_rows(spark, brute, tmp_path):
     texts = [None, "", "one", "one", "x▁y", "no blanks" * 3000, " ".join(["many words here,"] * 20_000), *some_texts(random.Random(4), 60)]
     rows = [(k if k != 5 else None, t, 1, 2) for k, t in enumerate(texts)] + [(3, "one", 1, 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, part int, groups int").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, codes int, groups int").repartition(3)
     aligned = token_align.align_tokens(docs, *PATHS)
     key = lambda r: (str(r[0]), r[1:])
     assert sorted([(r.doc_id, *[r[f] for f in FIELDS]) for r in aligned.collect()], key=key) == sorted([(d, *brute(t)) for d, t, *_ in rows], key=key)
     assert {(r.n_a, r.n_b, r.n_groups) == (len(r.a_ids), len(r.b_ids), len(r.a_stops)) for r in aligned.collect()} == {True}
-    aligned.write.parquet(str(tmp_path / "aligned"))
-    scored = token_align.score_links(spark.read.parquet(str(tmp_path / "aligned")))
+    token_align.coded_links(aligned, part_links=500).write.parquet(str(tmp_path / "coded"))
+    coded = spark.read.parquet(str(tmp_path / "coded"))
+    assert coded.where("pairs is not null").count() == coded.select("part").distinct().count() > 5
+    scored = token_align.score_links(coded)
     got = [(r.doc_id, len(r.a_ids), len(r.b_ids), len(r.a_stops), r.n_links, r.n_best, r.count_sum) for r in scored.collect()]
     assert sorted(got, key=key) == sorted([r[:7] for r in expected([(d, t) for d, t, *_ in rows], brute)], key=key)
     assert token_align.align_tokens(docs.limit(0), *PATHS).collect() == []
@@ -115,3 +117,14 @@ def test_rows(spark, brute, tmp_path):
 def test_query_against_brute_force(spark, folder, brute):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in llm_queries()["op12_cross_tokenizer_alignment"](spark, folder).collect()) == sorted(expected(rows, brute))
+
+
+def test_parts_with_many_pairs(spark, tmp_path):
+    n = 70_000  # more pairs than two bytes number
+    rows = [(1, [k % 50_000 for k in range(n)], [k // 50_000 for k in range(n)]), (2, [], []), (3, [7, 7, 9], [0, 1, 0])]
+    aligned = spark.createDataFrame(rows, "doc_id long, a_links array<int>, b_links array<int>").coalesce(1)
+    token_align.coded_links(aligned).write.parquet(str(tmp_path / "coded"))
+    got = sorted(tuple(r) for r in token_align.score_links(spark.read.parquet(str(tmp_path / "coded"))).collect())
+    counts = Counter(p for _, a, b in rows for p in zip(a, b, strict=True))
+    highest = {x: max(c for (_, b), c in counts.items() if b == x) for x in (0, 1)}
+    assert got == [(d, len(a), sum(counts[p] == highest[p[1]] for p in zip(a, b)), sum(counts[p] for p in zip(a, b))) for d, a, b in rows]
