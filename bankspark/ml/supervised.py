@@ -184,9 +184,10 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str):
 
 
 def predict_logistic(model, scales: dict[str, float], df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Attach the probability to every row; null where a feature is null or NaN."""
     scaled = df.withColumns({f"_x_{f}": F.col(f) / scales[f] for f in features})
-    rows = VectorAssembler(inputCols=[f"_x_{f}" for f in features], outputCol="features").transform(scaled)
-    return model.transform(rows).select(*df.columns, F.col("prediction").alias("predicted_prob"))
+    scored = model.transform(assemble_all(scaled, [f"_x_{f}" for f in features]))
+    return scored.select(*df.columns, F.when(F.col("_complete"), F.col("prediction")).alias("predicted_prob"))
 
 
 def coefficients(model, scales: dict[str, float], features: Sequence[str], spark) -> DataFrame:

@@ -114,6 +114,17 @@ def _(b):
 
 @query("ml25_labels_every_row", "vectors", "SELECT vec_id, TRUE AS labelled FROM vectors")
 def _(b):
-    rows, names = PC._scaled(b)
-    pcs = K.principal_components(rows, "vec_id", names, 5)
-    return K.ward_labels(pcs, [f"pc{i}" for i in range(1, 6)]).select("vec_id", F.col("hc_cluster").between(1, 4).alias("labelled"))
+    return PC.ward_vectors(b)[1].select("vec_id", F.col("hc_cluster").between(1, 4).alias("labelled"))
+
+
+@query("ml25_cost_of_the_labels", "vectors", "SELECT CAST(4 AS BIGINT) AS clusters, TRUE AS cost_is_the_models, TRUE AS leaves_cost_less")
+def _(b):
+    model, labels, pcs = PC.ward_vectors(b)
+    # sum of squares around the cluster means, from the written labels
+    sums = labels.groupBy("hc_cluster").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in pcs], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in pcs]
+    )
+    cost = sums.agg(F.count(F.lit(1)).alias("clusters"), F.sum(reduce(lambda x, y: x + y, [F.col(f"q_{c}") - F.col(f"s_{c}") * F.col(f"s_{c}") / F.col("n") for c in pcs])).alias("cost"))
+    return cost.select(
+        "clusters", (F.abs(F.col("cost") - model.cost) < 1e-6 * (1 + model.cost)).alias("cost_is_the_models"), (F.col("cost") >= model.within).alias("leaves_cost_less")
+    )

@@ -122,11 +122,102 @@ def test_kmeans_and_ward_recover_blobs(spark):
     data = [(i, *map(float, centres[i % 4] + rng.normal(size=2) * 0.5)) for i in range(400)]
     df = spark.createDataFrame(data, "id BIGINT, x DOUBLE, y DOUBLE").persist()
     model = K.fit_kmeans(df, ["x", "y"], starts=5)
-    for labels, name in ((K.kmeans_labels(model, df, ["x", "y"]), "kmeans_cluster"), (K.ward_labels(df, ["x", "y"], micro=40), "hc_cluster")):
+    for labels, name in ((K.kmeans_labels(model, df, ["x", "y"]), "kmeans_cluster"), (K.ward_labels(df, ["x", "y"], leaves=40), "hc_cluster")):
         pairs = labels.select((F.col("id") % 4).alias("t"), name).distinct().collect()
         assert len(pairs) == 4 and {r[1] for r in pairs} == {1, 2, 3, 4}
 
 
+def test_kmeans_starts_are_what_they_are_alone(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(80, 3)) + c for c in (0, 3, 6, 10)])
+    df, columns = points_of(spark, x)
+    model = K.fit_kmeans(df, columns, k=4, starts=5, seed=3)
+    rows = df.select(F.array(*columns).alias("x"))
+    costs = []
+    for first in K._random_rows(rows, 4, 5, 3):
+        assert len({tuple(c) for c in first}) == 4 and all((x == c).all(axis=1).any() for c in first)
+        centres = first.copy()
+        for _ in range(20):
+            at = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.array([x[at == j].mean(axis=0) if (at == j).any() else centres[j] for j in range(4)])
+        costs.append(((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    assert model.costs == pytest.approx(costs)
+    got = K.kmeans_labels(model, df, columns).collect()
+    order = np.array(sorted(map(tuple, model.centres)))
+    assert all(r["kmeans_cluster"] == ((order - x[r["id"]]) ** 2).sum(axis=1).argmin() + 1 for r in got)
+    assert K.fit_kmeans(df.limit(0), columns).costs == ()
+
+
+def plain_ward(x, k):
+    """Ward's method row by row: the cheapest of all merges each time."""
+    groups = [[i] for i in range(len(x))]
+    mean, size = [x[i] for i in range(len(x))], [1] * len(x)
+    while len(groups) > k:
+        m, n = np.array(mean), np.array(size)
+        cost = ((m[:, None] - m[None]) ** 2).sum(axis=2) * (n[:, None] * n[None] / (n[:, None] + n[None]))
+        np.fill_diagonal(cost, np.inf)
+        a, b = sorted(np.unravel_index(cost.argmin(), cost.shape))
+        mean[a] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        groups[a] += groups[b]
+        for kept in (groups, mean, size):
+            del kept[b]
+    return {frozenset(g) for g in groups}
+
+
+def points_of(spark, x):
+    columns = [f"c{i}" for i in range(x.shape[1])]
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "id BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns)).repartition(5), columns
+
+
+def test_ward_is_the_plain_method_where_every_row_is_a_leaf(spark):
+    x = np.random.default_rng(8).normal(size=(150, 3))
+    df, columns = points_of(spark, x)
+    model = K.fit_ward(df, columns, k=5, leaves=150)
+    found = {}
+    for r in K.ward_predict(model, df, columns).collect():
+        found.setdefault(r["hc_cluster"], set()).add(r["id"])
+    assert {frozenset(g) for g in found.values()} == plain_ward(x, 5) and set(found) == set(range(1, 6))
+    assert model.within < 1e-9
+    means = [x[sorted(found[k])].mean(axis=0).tolist() for k in sorted(found)]
+    assert means == sorted(means)
+
+
+def test_ward_cost_is_within_its_bound(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(2500, 2)) * s + c for s, c in ((1, 0), (0.5, 4), (2, 9), (0.2, -6))])
+    df, columns = points_of(spark, x)
+    model = K.fit_ward(df, columns, k=4, leaves=200)
+    assert len(model.centres) <= 200
+    label = {r["id"]: r["hc_cluster"] for r in K.ward_predict(model, df, columns).collect()}
+    sse = lambda groups: sum(((x[g] - x[g].mean(axis=0)) ** 2).sum() for g in groups)
+    own = sse([np.array([i for i in label if label[i] == k]) for k in range(1, 5)])
+    assert own == pytest.approx(model.cost)
+    plain = K._ward(x, np.ones(len(x)), 4)  # all rows as leaves
+    assert np.sqrt(own) <= np.sqrt(sse([np.flatnonzero(plain == k) for k in range(4)])) + 2 * np.sqrt(model.within)
+
+
+def test_logistic_scores_keep_rows_with_nulls(spark):
+    from bankspark.ml import supervised as S
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 2))
+    rows = [(i, float(a), float(b), float(rng.random() < 1 / (1 + np.exp(-a)))) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "id INT, a DOUBLE, b DOUBLE, y DOUBLE")
+    model, scales = S.fit_logistic(df, ["a", "b"], "y")
+    odd = df.unionByName(spark.createDataFrame([(900, None, 1.0, 1.0), (901, 1.0, float("nan"), 0.0)], df.schema))
+    got = {r["id"]: r["predicted_prob"] for r in S.predict_logistic(model, scales, odd, ["a", "b"]).collect()}
+    assert len(got) == 302 and got[900] is None and got[901] is None and all(0 < got[i] < 1 for i in range(300))
+
+
+def test_ward_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None), (3, float("nan")), (4, 1.0), (5, 9.0)], "id BIGINT, x DOUBLE")
+    got = {r["id"]: r["hc_cluster"] for r in K.ward_labels(df, ["x"], k=4).collect()}
+    assert got == {1: 1, 2: None, 3: None, 4: 1, 5: 2}
+    assert K.ward_labels(df.limit(0), ["x"]).collect() == []
+
+
 def brute_dbscan(x, eps, min_points):
     near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= eps * eps
     core = near.sum(axis=1) >= min_points
@@ -220,14 +311,14 @@ def test_scoring_keeps_rows_with_nulls(spark):
     labels = K.kmeans_labels(K.fit_kmeans(df, ["a", "b"], k=2, starts=2), df, ["a", "b"])
     assert labels.count() == 50 and labels.filter("kmeans_cluster IS NULL").count() == 10
     assert K.principal_components(df, "id", ["a", "b"], 1).filter("pc1 IS NULL").count() == 10
-    assert K.ward_labels(df, ["a", "b"], k=2, micro=5).filter("hc_cluster IS NULL").count() == 10
+    assert K.ward_labels(df, ["a", "b"], k=2, leaves=5).filter("hc_cluster IS NULL").count() == 10
 
 
 def test_ward_with_a_centre_per_row_is_wards_method(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(12, 2))
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id BIGINT, a DOUBLE, b DOUBLE")
-    got = {r["id"]: r["hc_cluster"] for r in K.ward_labels(df, ["a", "b"], k=3, micro=12).collect()}
+    got = {r["id"]: r["hc_cluster"] for r in K.ward_labels(df, ["a", "b"], k=3, leaves=12).collect()}
     want = K._ward(x, np.ones(12), 3)
     pairs = {(got[i], int(want[i])) for i in range(12)}
     assert len(pairs) == 3
