@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from bankspark import fixed_values as V
 from bankspark.functions.numbers import dummies
+from bankspark.ml.profile_likelihood import Profile, design, profile
 from bankspark.operators.sampling import fold_of, rank_by_hash
 
 LOAN_NUMERIC = ["loan_amount", "interest_rate", "term_months", "income", "age", "score"]
@@ -207,6 +208,22 @@ def coefficients(model, scales: dict[str, float], features: Sequence[str], spark
     )
 
 
+def loan_profile(model, scales: dict[str, float], train: DataFrame, features: Sequence[str], label: str) -> Profile:
+    """Profile-likelihood search from the fitted model, in scaled columns."""
+    start = np.array([*map(float, model.coefficients), float(model.intercept)])
+    return profile(design(train, scales, features, label), start)
+
+
+def profile_coefficients(coefs: DataFrame, found: Profile, scales: dict[str, float], features: Sequence[str]) -> DataFrame:
+    """``coefs`` with profile-likelihood in place of Wald intervals; a null bound has no finite place."""
+    rows = []
+    for j, term in enumerate([*features, "(Intercept)"]):
+        bounds = [float(v) / scales.get(term, 1.0) for v in found.points[j, :, j]]
+        rows.append((term, *[None if np.isnan(v) else v for v in bounds]))
+    bounds = coefs.sparkSession.createDataFrame(rows, "term STRING, conf_low DOUBLE, conf_high DOUBLE")
+    return coefs.drop("conf_low", "conf_high").join(bounds, "term")
+
+
 def odds_ratios(coefs: DataFrame) -> DataFrame:
     """Odds ratio and its interval per term."""
     return coefs.select(

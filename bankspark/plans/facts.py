@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from bankspark.ml import anomaly as A
@@ -78,6 +79,23 @@ def _(b):
     return _rows_off(both, F.abs(F.col("odds_ratio") / F.exp("estimate") - 1) > 1e-9)
 
 
+@query("sc25_deviance_at_the_bounds", "loans", _NONE_OFF)
+def _(b):
+    found = PM.loan_intervals(b)
+    train, scales = PM.loan_split(b)[0], PM.loan_logistic(b)[1]
+    names = [*S.GLM_FEATURES, "(Intercept)"]
+    there = [(j, k) for j in range(len(names)) for k in (0, 1) if not np.isnan(found.points[j, k]).any()]
+    points = [found.best, *[found.points[j, k] for j, k in there]]
+    deviance = []
+    for point in points:  # column expressions: nothing of the search's own sums
+        eta = reduce(lambda x, y: x + y, [F.col(f) / scales[f] * float(c) for f, c in zip(S.GLM_FEATURES, point, strict=False)]) + float(point[-1])
+        deviance.append(F.sum(-2 * (F.col("default") * eta - F.greatest(eta, F.lit(0.0)) - F.log1p(F.exp(-F.abs(eta))))))
+    row = train.dropna(subset=[*S.GLM_FEATURES, "default"]).agg(F.array(*deviance).alias("d"))
+    return row.select(F.explode(F.transform("d", lambda v, i: F.struct(i.alias("i"), (v - F.get("d", F.lit(0))).alias("more")))).alias("r")).agg(
+        F.count_if((F.col("r.i") > 0) & (F.abs(F.col("r.more") - 3.841458820694124) > 1e-4)).alias("rows_off")
+    )
+
+
 @query("ml15_confusion_of_written_predictions", "loans", _NONE_OFF)
 def _(b):
     written = cut_lineage(PM._boosted(b).select("default", "predicted_prob", "predicted_class"))

@@ -84,16 +84,26 @@ def loan_tree(b):
     return once(b, "loan tree", lambda: S.fit_tree(loan_split(b)[0], S.LOAN_MATRIX, "default"))
 
 
+def loan_intervals(b):
+    """The profile-likelihood search of the loan regression."""
+    model, scales = loan_logistic(b)
+    return once(b, "loan intervals", lambda: S.loan_profile(model, scales, loan_split(b)[0], S.GLM_FEATURES, "default"))
+
+
+def _loan_coefficients(b):
+    model, scales = loan_logistic(b)
+    estimates = S.coefficients(model, scales, S.GLM_FEATURES, b.spark)
+    return S.profile_coefficients(estimates, loan_intervals(b), scales, S.GLM_FEATURES)
+
+
 @query("ml9_logistic_regression_with_inference")
 def _(b):
-    model, scales = loan_logistic(b)
-    return S.coefficients(model, scales, S.GLM_FEATURES, b.spark)
+    return _loan_coefficients(b)
 
 
 @query("sc25_odds_ratio")
 def _(b):
-    model, scales = loan_logistic(b)
-    return S.odds_ratios(S.coefficients(model, scales, S.GLM_FEATURES, b.spark))
+    return S.odds_ratios(_loan_coefficients(b))
 
 
 @query("ml10_vif")

@@ -211,6 +211,49 @@ def test_logistic_scores_keep_rows_with_nulls(spark):
     assert len(got) == 302 and got[900] is None and got[901] is None and all(0 < got[i] < 1 for i in range(300))
 
 
+def test_profile_intervals_equal_a_plain_search(spark):
+    from bankspark.ml import profile_likelihood as PL
+
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.normal(size=(250, 2)), rng.random(250) < 0.3]).astype(float)
+    y = (rng.random(250) < 1 / (1 + np.exp(-(x @ [1.5, -0.4, 0.8] - 1)))).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)] + [(None, 1.0, 1.0, 1.0)], "a DOUBLE, b DOUBLE, c DOUBLE, y DOUBLE")
+    scales = {"a": 1.0, "b": 2.0, "c": 1.0}
+    found = PL.profile(PL.design(df, scales, ["a", "b", "c"], "y"), np.zeros(4))
+    full = np.column_stack([x / [1, 2, 1], np.ones(250)])
+
+    def best(matrix, offset):
+        beta = np.zeros(matrix.shape[1])
+        for _ in range(60):
+            eta = matrix @ beta + offset
+            mu = 1 / (1 + np.exp(-eta))
+            beta = beta + np.linalg.solve(matrix.T @ (matrix * (mu * (1 - mu))[:, None]), matrix.T @ (y - mu))
+        eta = matrix @ beta + offset
+        return (y * eta - np.logaddexp(0, eta)).sum(), beta
+
+    top, beta = best(full, 0)
+    assert found.top == pytest.approx(top) and found.best == pytest.approx(beta, abs=1e-6)
+    for j in range(4):
+        others = np.delete(full, j, axis=1)
+        for k, sign in ((0, -1), (1, 1)):
+            inside = lambda v: best(others, full[:, j] * (beta[j] + sign * v))[0] > top - PL.HALF_CHI_SQUARE  # noqa: B023, E731
+            low, high = 0.0, 0.05
+            while inside(high):
+                low, high = high, 1.3 * high
+            for _ in range(40):
+                middle = (low + high) / 2
+                low, high = (middle, high) if inside(middle) else (low, middle)
+            assert found.points[j, k, j] == pytest.approx(beta[j] + sign * low, abs=1e-4)
+
+
+def test_profile_of_separated_classes_has_no_bound(spark):
+    from bankspark.ml import profile_likelihood as PL
+
+    df = spark.createDataFrame([(float(i), float(i >= 10)) for i in range(20)], "a DOUBLE, y DOUBLE")
+    found = PL.profile(PL.design(df, {"a": 5.0}, ["a"], "y"), np.zeros(2), steps=12)
+    assert np.isnan(found.points).any()
+
+
 def test_ward_of_odd_rows(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, float("nan")), (4, 1.0), (5, 9.0)], "id BIGINT, x DOUBLE")
     got = {r["id"]: r["hc_cluster"] for r in K.ward_labels(df, ["x"], k=4).collect()}
