@@ -33,3 +33,22 @@ def test_hot_keys_are_combined_before_joins(spark, folder):
     grouped = next(i for i, line in enumerate(lines) if "partial_count" in line and "keys=[customer_id" in line)
     joined = next(i for i, line in enumerate(lines) if "Join [customer_id" in line)
     assert joined < grouped
+
+
+def test_key_checks_read_each_table_once(spark, folder, bank):
+    from bankspark.plans.cleaning import _KEYS
+
+    scans = lambda df: plan_of(df).count("FileScan parquet")
+    report = QUERIES["dq3_key_and_foreign_key_check"](spark, folder)
+    assert scans(report) == sum(scans(bank.table(t)) for t in _KEYS)
+
+
+def test_key_report_of_odd_keys(spark):
+    from bankspark.operators.quality import key_report
+
+    parent = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "p BIGINT")
+    child = spark.createDataFrame([(10, 1), (11, 3), (12, 3), (13, None), (13, 2)], "c BIGINT, p BIGINT")
+    got = [tuple(r) for r in key_report({"parent": (parent, "p"), "child": (child, "c")}, [("child", "p", "parent")]).collect()]
+    assert got == [("parent.p unique", 2, 4), ("child.c unique", 1, 2), ("child.p in parent", 1, 2)]
+    empty = key_report({"parent": (parent.limit(0), "p"), "child": (child.limit(0), "c")}, [("child", "p", "parent")])
+    assert [tuple(r)[1:] for r in empty.collect()] == [(0, 0)] * 3
