@@ -16,40 +16,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bankspark.session import fresh_path
-
-
-def tree_nodes(model, spark) -> DataFrame:
-    """The nodes of a saved tree ensemble as rows: tree, weight, node, split, children, cover."""
-    path = fresh_path(spark, "model")
-    model.write().save(path)
-    n = "nodeData"
-    nodes = spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), F.col(f"{n}.id").alias("node"), F.col(f"{n}.prediction").alias("value"),
-        F.col(f"{n}.rawCount").cast("double").alias("cover"), F.col(f"{n}.leftChild").alias("left"),
-        F.col(f"{n}.rightChild").alias("right"), F.col(f"{n}.split.featureIndex").alias("feature"),
-        F.get(F.col(f"{n}.split.leftCategoriesOrThreshold"), F.lit(0)).alias("threshold"),
-    )
-    weights = spark.createDataFrame(
-        [(i, float(w)) for i, w in enumerate(model.treeWeights)], "tree INT, weight DOUBLE"
-    )
-    return nodes.join(weights, "tree")
-
 
-def _leaves(nodes: pd.DataFrame) -> list[tuple[float, dict[int, list[float]]]]:
-    """Each leaf as (value, {feature: [low, high, share of rows]})."""
+def _leaves(nodes: pd.DataFrame) -> list[tuple[float, dict[int, list]]]:
+    """Each leaf as (value, {feature: [low, high, missing values pass, share of rows]}); NaN is no bound."""
     by_id = {int(r.node): r for r in nodes.itertuples()}
     found, open_nodes = [], [(0, {})]
     while open_nodes:
         at, path = open_nodes.pop()
         r = by_id[at]
         if r.left < 0:
-            found.append((float(r.value) * float(r.weight), path))
+            found.append((float(r.value), path))
             continue
+        f = int(r.feature)
         for child, is_left in ((int(r.left), True), (int(r.right), False)):
-            low, high, share = path.get(int(r.feature), [-np.inf, np.inf, 1.0])
-            bound = [low, min(high, r.threshold)] if is_left else [max(low, r.threshold), high]
-            open_nodes.append((child, {**path, int(r.feature): [*bound, share * by_id[child].cover / r.cover]}))
+            low, high, passes, share = path.get(f, [np.nan, np.nan, True, 1.0])
+            bound = [low, np.fmin(high, r.threshold)] if is_left else [np.fmax(low, r.threshold), high]
+            passes = passes and bool(r.missing_left) == is_left
+            open_nodes.append((child, {**path, f: [*bound, passes, share * by_id[child].cover / r.cover]}))
     return found
 
 
@@ -72,7 +55,7 @@ def _pattern_values(shares: np.ndarray) -> np.ndarray:
 class LeafTables:
     """All leaves of an ensemble as arrays, small enough to broadcast (its size is the model's)."""
 
-    def __init__(self, nodes: pd.DataFrame, n_features: int, scale: float):
+    def __init__(self, nodes: pd.DataFrame, n_features: int):
         self.trees = []
         self.base = 0.0
         cache: dict[tuple, np.ndarray] = {}
@@ -80,26 +63,27 @@ class LeafTables:
             leaves = _leaves(rows)
             depth = max(1, max(len(path) for _, path in leaves))
             feature = np.zeros((len(leaves), depth), dtype=np.int64)
-            low = np.full((len(leaves), depth), -np.inf)
-            high = np.full((len(leaves), depth), np.inf)
+            low = np.full((len(leaves), depth), np.nan)
+            high = np.full((len(leaves), depth), np.nan)
+            passes = np.ones((len(leaves), depth), dtype=bool)
             table = np.zeros((len(leaves), 2**depth, n_features))
             for i, (value, path) in enumerate(leaves):
                 shares = np.ones(depth)  # unused places are features that never matter
-                for j, (f, (lo, hi, share)) in enumerate(path.items()):
-                    feature[i, j], low[i, j], high[i, j], shares[j] = f, lo, hi, share
+                for j, (f, (lo, hi, ok, share)) in enumerate(path.items()):
+                    feature[i, j], low[i, j], high[i, j], passes[i, j], shares[j] = f, lo, hi, ok, share
                 key = tuple(shares)
                 if key not in cache:
                     cache[key] = _pattern_values(shares)
                 for j, f in enumerate(path):
-                    table[i, :, f] += scale * value * cache[key][:, j]
-                self.base += scale * value * float(np.prod(shares))
-            self.trees.append((feature, low, high, table))
+                    table[i, :, f] += value * cache[key][:, j]
+                self.base += value * float(np.prod(shares))
+            self.trees.append((feature, low, high, passes, table))
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(x.shape)
-        for feature, low, high, table in self.trees:
+        for feature, low, high, passes, table in self.trees:
             v = x[:, feature]
-            met = (v > low) & (v <= high)
+            met = np.where(np.isnan(v), passes, ~(v <= low) & ~(v > high))
             pattern = met @ (1 << np.arange(feature.shape[1]))
             out += table[np.arange(len(table)), pattern].sum(axis=1)
         return out
@@ -107,10 +91,8 @@ class LeafTables:
 
 def shap_values(model, df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Keys, one contribution per feature (log-odds) and the base value; they sum to the margin."""
-    spark = df.sparkSession
-    nodes = tree_nodes(model, spark).toPandas()  # as many rows as the model has nodes
-    tables = LeafTables(nodes, len(features), 2.0)  # the margin of the boosted model is half the log-odds
-    shared = spark.sparkContext.broadcast(tables)
+    tables = LeafTables(model.nodes(), len(features))
+    shared = df.sparkSession.sparkContext.broadcast(tables)  # its size is the model's
     names = list(features)
 
     def score(batches):

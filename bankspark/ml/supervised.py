@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 
 from bankspark import fixed_values as V
 from bankspark.functions.numbers import dummies
+from bankspark.ml.boosting import Boosting, fit_boosted
 from bankspark.ml.profile_likelihood import Profile, design, profile
 from bankspark.operators.sampling import fold_of, rank_by_hash
 
@@ -52,14 +52,9 @@ def assemble_all(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(filled).drop(*names)
 
 
-def fit_boosting(train: DataFrame, features: Sequence[str], label: str, rounds: int = 100, seed: int = 123):
-    """Gradient boosted trees with logistic loss, depth 6 and step 0.3."""
-    rows = assemble(train, features).select("features", F.col(label).cast("double").alias(label)).persist()
-    model = GBTClassifier(
-        labelCol=label, maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed, cacheNodeIds=False
-    ).fit(rows)
-    rows.unpersist()
-    return model
+def fit_boosting(train: DataFrame, features: Sequence[str], label: str, rounds: int = 100) -> Boosting:
+    """Gradient boosted trees with logistic loss, depth 6 and step 0.3; rows with null features are kept."""
+    return fit_boosted(train, features, label, rounds)
 
 
 def fit_forest(
@@ -114,19 +109,26 @@ def fit_forest_cross_validated(
 def predict(model, df: DataFrame, features: Sequence[str], cut: float = 0.5) -> DataFrame:
     """Attach the probability of class 1 and the class (strictly above the cut) to every row.
 
-    A row with a null or NaN feature keeps both as null.
+    A row with a null or NaN feature keeps both as null, but for boosted trees, which have a side for it.
     """
-    scored = model.transform(assemble_all(df, features))
-    prob = F.when(F.col("_complete"), vector_to_array("probability")[1])
-    return scored.select(*df.columns, prob.alias("predicted_prob")).withColumn(
+    if isinstance(model, Boosting):
+        scored = df.withColumn("predicted_prob", model.probability(df.sparkSession))
+    else:
+        scored = model.transform(assemble_all(df, features))
+        prob = F.when(F.col("_complete"), vector_to_array("probability")[1])
+        scored = scored.select(*df.columns, prob.alias("predicted_prob"))
+    return scored.withColumn(
         "predicted_class", F.when(F.col("predicted_prob").isNull(), F.lit(None)).when(F.col("predicted_prob") > cut, 1).otherwise(0)
     )
 
 
 def importance(model, features: Sequence[str], spark) -> DataFrame:
     """Share of the total gain per feature (one row per feature of the model)."""
-    weights = [float(w) for w in model.featureImportances.toArray()]
-    return spark.createDataFrame(list(zip(features, weights)), "feature STRING, gain DOUBLE").orderBy(
+    if isinstance(model, Boosting):
+        shares = model.importance()
+    else:
+        shares = list(zip(features, map(float, model.featureImportances.toArray())))
+    return spark.createDataFrame(shares, "feature STRING, gain DOUBLE").orderBy(
         F.desc("gain"), "feature"
     )
 
