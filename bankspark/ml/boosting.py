@@ -26,7 +26,8 @@ UNIT = 2.0**26  # derivatives are rounded to this part; 10^11 rows fit into a 64
 LEAST_GAIN = 1e-6
 _ACCURACY = 10_000
 _ROWS_PER_TASK = 200_000
-_TREES_PER_WRITE = 10  # margins are written again after so many trees
+_ROWS = "x BINARY, y DOUBLE, margin DOUBLE"
+_TREES_PER_WRITE = 5  # margins are written again after so many trees
 
 NODE_SCHEMA = (
     "tree INT, node INT, feature INT, cut INT, threshold DOUBLE, missing_left BOOLEAN, left INT, right INT, "
@@ -59,14 +60,15 @@ class Tree:
         """The leaf of every row of ``x``; ``bounds`` are the nodes' cuts (for bins) or thresholds (for values)."""
         feature, bounds = np.asarray(self.feature), np.asarray(bounds)
         left, right, default = np.asarray(self.left), np.asarray(self.right), np.asarray(self.missing_left)
-        rows, at = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
-        while True:
-            f = feature[at]
-            inner = f >= 0
-            if not inner.any():
-                return at
-            goes_left = np.where(missing[rows, f], default[at], x[rows, f] <= bounds[at])
-            at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+        at = np.zeros(len(x), dtype=np.int64)
+        rows = np.arange(len(x)) if feature[0] >= 0 else at[:0]  # those not yet in a leaf
+        while len(rows):
+            node = at[rows]
+            f = feature[node]
+            goes_left = np.where(missing[rows, f], default[node], x[rows, f] <= bounds[node])
+            at[rows] = node = np.where(goes_left, left[node], right[node])
+            rows = rows[feature[node] >= 0]
+        return at
 
     def margins(self, x: np.ndarray, missing: np.ndarray, bounds: Sequence) -> np.ndarray:
         return np.asarray(self.value)[self.places(x, missing, bounds)]
@@ -139,14 +141,14 @@ def derivatives(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
     """At most ``bins`` - 1 increasing cuts per feature, in one pass; nulls and NaN are left out."""
-    grid = [i / bins for i in range(1, bins + 1)]
+    grid = F.expr(f"array({', '.join(f'{i / bins!r}D' for i in range(1, bins + 1))})")
     value = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features}
     found = df.agg(*[F.percentile_approx(value[f], grid, _ACCURACY).alias(f"c{i}") for i, f in enumerate(features)]).first()
     return [np.unique(np.array(found[f"c{i}"] or [], dtype=float))[:-1] for i in range(len(features))]  # all rows are up to the last
 
 
 def _binned(df: DataFrame, features: Sequence[str], label: str, cuts: list[np.ndarray], missing: int) -> DataFrame:
-    """(x, y, margin): the bin of every feature, ``missing`` for null and NaN; the margin starts at 0."""
+    """(x, y, margin): the bins of the features as packed 16-bit numbers, ``missing`` for null and NaN; margin 0."""
     p = len(features)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +158,18 @@ def _binned(df: DataFrame, features: Sequence[str], label: str, cuts: list[np.nd
                 v = batch.column(j).to_numpy(zero_copy_only=False).astype(float)
                 there = ~np.isnan(v)
                 x[there, j] = np.searchsorted(cuts[j], v[there], side="left")
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * p)
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), batch.column(p), pa.array(np.zeros(batch.num_rows))],
-                names=["x", "y", "margin"],
-            )
+            packed = pa.array([row.tobytes() for row in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, batch.column(p), pa.array(np.zeros(batch.num_rows))], names=["x", "y", "margin"])
 
     rows = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("y"))
-    return rows.filter(F.col("y").isNotNull()).mapInArrow(bins, "x array<smallint>, y double, margin double")
+    return rows.filter(F.col("y").isNotNull()).mapInArrow(bins, _ROWS)
 
 
 def _read(batch: pa.RecordBatch, p: int, missing: int, done: Sequence[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins, which of them are missing, and the margin with the trees ``done`` since it was written."""
-    x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+    packed = batch.column(0).cast(pa.large_binary())
+    ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    x = np.frombuffer(packed.buffers()[2] or b"", np.int16)[ends[0] // 2 : ends[-1] // 2].reshape(-1, p)
     gone = x == missing
     margin = batch.column(2).to_numpy(zero_copy_only=False).copy()
     for tree in done:
@@ -241,7 +242,7 @@ def fit_boosted(
     def written(rows: DataFrame) -> tuple[str, DataFrame]:
         path = fresh_path(spark, "margins")
         rows.write.parquet(path)
-        return path, spark.read.schema("x array<smallint>, y double, margin double").parquet(path)
+        return path, spark.read.schema(_ROWS).parquet(path)
 
     def with_margins(rows: DataFrame, done: list[Tree]) -> DataFrame:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,28 +276,33 @@ def fit_boosted(
 def _grow(
     rows: DataFrame, cuts: list[np.ndarray], missing: int, done: list[Tree], depth: int, step: float, shrink: float, least_cover: float
 ) -> Tree:
-    """One tree, level by level; each level is one pass over the rows."""
+    """One tree, level by level; each level is one pass over the rows.
+
+    A pass sums the lighter child of every split; the sums of its sibling are what the parent's leave.
+    """
     tree = Tree()
     worth = lambda v: -step * (v[0] / UNIT) / (v[1] / UNIT + shrink)
-    nodes = [tree.add_leaf(0.0, 0.0)]
-    for level in range(max(depth, 1)):
-        sums = _histogram(rows, len(cuts), missing, done, tree, nodes)
-        if level == 0:
-            whole = sums[0, 0].sum(axis=0)
-            tree.value[0], tree.cover[0] = float(worth(whole)) if whole.any() else 0.0, float(whole[1] / UNIT)
-        opened = []
-        for at, node in enumerate(nodes):
-            found = best_split(sums[at], cuts, shrink, least_cover) if depth else None
+    tree.add_leaf(0.0, 0.0)
+    sums = {0: _histogram(rows, len(cuts), missing, done, tree, [0])[0]}
+    whole = sums[0][0].sum(axis=0)
+    tree.value[0], tree.cover[0] = float(worth(whole)) if whole.any() else 0.0, float(whole[1] / UNIT)
+    for level in range(1, depth + 1):
+        opened = []  # (parent, lighter child, heavier child)
+        for node, here in sums.items():
+            found = best_split(here, cuts, shrink, least_cover)
             if found is None:
                 continue
             gain, f, c, missing_left, left = found
-            right = sums[at, 0].sum(axis=0) - left
+            right = here[0].sum(axis=0) - left
             tree.feature[node], tree.cut[node], tree.threshold[node] = f, c, float(cuts[f][c])
             tree.missing_left[node], tree.gain[node] = bool(missing_left), gain
-            tree.left[node] = tree.add_leaf(float(worth(left)), float(left[1] / UNIT))
-            tree.right[node] = tree.add_leaf(float(worth(right)), float(right[1] / UNIT))
-            opened += [tree.left[node], tree.right[node]]
-        nodes = opened
-        if not nodes:
+            children = [tree.add_leaf(float(worth(v)), float(v[1] / UNIT)) for v in (left, right)]
+            tree.left[node], tree.right[node] = children
+            opened.append((node, *sorted(children, key=lambda child: (tree.cover[child], child))))
+        if level == depth or not opened:
             break
+        light = _histogram(rows, len(cuts), missing, done, tree, [child for _, child, _ in opened])
+        sums = {child: own for (_, child, _), own in zip(opened, light)} | {
+            other: sums[parent] - own for (parent, _, other), own in zip(opened, light)
+        }
     return tree
