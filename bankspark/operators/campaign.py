@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bankspark import fixed_values as V
-from bankspark.functions.numbers import as_money, cents_sum, percent, ratio
+from bankspark.functions.numbers import as_money, cents_sum, dummies, percent, ratio
 from bankspark.functions.text import percent_label, yes_flag
 from bankspark.operators.joins import lookup_join, repeated_by
 from bankspark.operators.profile import stack_rows
@@ -253,5 +253,32 @@ def campaign_features(customers: DataFrame, responses: DataFrame, campaigns: Dat
     )
 
 
+FIXED_LEVELS = {"gender": V.GENDERS, "marital_status": V.MARITAL_STATUSES, "education_level": V.EDUCATION_LEVELS}
+OPEN_LEVELS = ["occupation", "region"]
+CUSTOMER_LABELS = [*FIXED_LEVELS, *OPEN_LEVELS]
+MOST_LEVELS = 1000
+
+
+def levels_of(rows: DataFrame, column: str, most: int = MOST_LEVELS) -> list:
+    """The values of a column that holds a few labels; more than ``most`` are an error, never cut off."""
+    found = rows.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values and is no label")
+    return sorted(r[0] for r in found)
+
+
+def encode_customers(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows with a 0/1 column per level of every categorical customer column, and the names of these.
+
+    Columns without a fixed list of levels have those that ``rows`` hold; a null is 0 in all levels.
+    """
+    names: list[str] = []
+    for column, levels in (FIXED_LEVELS | {c: levels_of(rows, c) for c in OPEN_LEVELS}).items():
+        columns = dummies(F.col(column), levels, column)
+        rows = rows.withColumns(columns)
+        names += list(columns)
+    return rows, names
+
+
 def mean_by_bracket(df: DataFrame, bracket: Column, value: str, name: str) -> DataFrame:
     return df.groupBy(bracket.alias("income_bracket")).agg(F.round(F.avg(value), 9).alias(name))

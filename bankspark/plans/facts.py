@@ -19,7 +19,7 @@ from bankspark.operators import fraud as D
 from bankspark.plans import clusters as PC
 from bankspark.plans import models as PM
 from bankspark.plans.registry import query
-from bankspark.session import cut_lineage
+from bankspark.session import cut_lineage, fresh_path
 
 _NONE_OFF = "SELECT CAST(0 AS BIGINT) AS rows_off"
 
@@ -107,6 +107,51 @@ def _(b):
     return _rows_off(table, reduce(lambda x, y: x | y, [F.col(name) != F.col(f"own_{name}") for name in cells]))
 
 
+@query("ml9_score_equations", "loans", _NONE_OFF)
+def _(b):
+    model, scales = PM.loan_logistic(b)
+    train = PM.loan_split(b)[0].dropna(subset=[*S.GLM_FEATURES, "default"])
+    scored = S.predict_logistic(model, scales, train, S.GLM_FEATURES)
+    # at the maximum the residuals are orthogonal to every column, also to the intercept's
+    terms = [F.lit(1.0), *[F.col(f) / scales[f] for f in S.GLM_FEATURES]]
+    off = scored.agg(F.array(*[F.abs(F.sum((F.col("default") - F.col("predicted_prob")) * t)) / F.sum(F.abs(t)) for t in terms]).alias("off"))
+    return _rows_off(off.select(F.explode("off").alias("v")), F.col("v") > 1e-6)
+
+
+@query("ml11_probabilities_are_leaf_shares", "loans", _NONE_OFF)
+def _(b):
+    # a leaf gives the share of defaults among its training rows; equal shares fall together
+    scored = S.predict(PM.loan_tree(b), PM.loan_split(b)[0], S.LOAN_MATRIX).dropna(subset=["predicted_prob"])
+    leaves = scored.groupBy("predicted_prob").agg(F.avg("default").alias("share"))
+    return _rows_off(leaves, F.abs(F.col("share") - F.col("predicted_prob")) > 1e-9)
+
+
+@query("ml16_gains_are_reductions_of_loss", "loans", _NONE_OFF)
+def _(b):
+    model = PM.loan_boosting(b)
+    path = fresh_path(b.spark, "boosting")
+    model.save(b.spark, path)
+    nodes = b.spark.read.parquet(path)
+    worth = (F.col("value") / 0.3) ** 2 * (F.col("cover") + 1)  # G * G / (H + 1) of a node
+    own = nodes.select("tree", "node", "cover", worth.alias("worth"))
+    inner = nodes.filter("feature >= 0").select("tree", "node", "left", "right", "gain", F.col("cover").alias("whole"), worth.alias("before"))
+    for side in ("left", "right"):
+        child = own.select("tree", F.col("node").alias(side), F.col("worth").alias(f"{side}_worth"), F.col("cover").alias(f"{side}_cover"))
+        inner = inner.join(child, ["tree", side], "left")
+    gained = F.col("left_worth") + F.col("right_worth") - F.col("before")
+    wrong = (F.abs(gained - F.col("gain")) > 1e-6) | (F.abs(F.col("left_cover") + F.col("right_cover") - F.col("whole")) > 1e-6)
+    return _rows_off(inner, wrong)
+
+
+@query(
+    "ml19_scores_every_customer", "customers campaign_responses",
+    "SELECT customer_id, COUNT(*) FILTER (responded) > 0 AS responded, TRUE AS scored FROM customers LEFT JOIN campaign_responses USING (customer_id) GROUP BY 1",
+)
+def _(b):
+    agrees = F.col("predicted_prob").between(0, 1) & (F.col("predicted_class") == (F.col("predicted_prob") > 0.5).cast("int"))
+    return PM.campaign_predictions(b).select("customer_id", (F.col("responded") == 1).alias("responded"), agrees.alias("scored"))
+
+
 @query("ml23_labels_are_the_nearest_centres", "vectors", "SELECT vec_id, TRUE AS nearest FROM vectors")
 def _(b):
     rows, names = PC._scaled(b)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from bankspark import fixed_values as V
 from bankspark.functions import numbers as N
-from bankspark.functions.numbers import dummies
 from bankspark.ml import anomaly as A
 from bankspark.ml import metrics as M
 from bankspark.ml import shap as H
@@ -315,20 +314,11 @@ def _(b):
     return M.errors_only(predicted, "label", "predicted").select("response_id", "label", "classification")
 
 
-_LEVELS = {
-    "gender": V.GENDERS, "marital_status": V.MARITAL_STATUSES, "education_level": V.EDUCATION_LEVELS,
-}
-
-
 @query("ml21_campaign_model_comparison")
 def _(b):
-    rows = campaign_rows(b)
-    features, reference = list(_NUMERIC), []
-    for c, levels in _LEVELS.items():
-        encoded = dummies(F.col(c), levels, c)
-        rows = rows.withColumns(encoded)
-        features += list(encoded)
-        reference.append(next(iter(encoded)))
+    rows, names = C.encode_customers(campaign_rows(b).persist())
+    features = [*_NUMERIC, *names]
+    reference = [next(n for n in names if n.startswith(f"{c}_")) for c in C.CUSTOMER_LABELS]
     rows = rows.persist()
     train, test = rows.filter("is_train"), rows.filter("NOT is_train")
     linear = [f for f in features if f not in reference]
@@ -342,21 +332,26 @@ def _(b):
     return _compare(scored, "label")
 
 
-_CUSTOMER_FEATURES = [
+_HISTORY = [
     "age", "income", "total_campaigns", "response_rate", *[C.column_name(ch) for ch in V.CAMPAIGN_CHANNELS],
     "last_campaign_contacts",
 ]
 
 
-@query("ml19_campaign_predictions")
-def _(b):
+def campaign_predictions(b):
+    """Every customer with the probability of an answer; fitted on 80 % of them."""
     rows = C.campaign_features(b.customers, b.campaign_responses, b.campaigns).persist()
+    rows, names = C.encode_customers(rows)
+    features = [*_HISTORY, *names]
     split = split_flag(rows, "customer_id", 0.8, 123, ["responded"])
-    model = S.fit_boosting(split.filter("is_train"), _CUSTOMER_FEATURES, "responded")
-    aligned = L.align_features(rows, _CUSTOMER_FEATURES, keep=["customer_id", "responded"])
-    return S.predict(model, aligned, _CUSTOMER_FEATURES).select(
-        "customer_id", "responded", "predicted_prob", "predicted_class"
-    )
+    model = S.fit_boosting(split.filter("is_train"), features, "responded")
+    aligned = L.align_features(rows, features, keep=["customer_id", "responded"])
+    return S.predict(model, aligned, features).select("customer_id", "responded", "predicted_prob", "predicted_class")
+
+
+@query("ml19_campaign_predictions")
+def _(b):
+    return campaign_predictions(b)
 
 
 # --- fraud ---------------------------------------------------------------------------------------

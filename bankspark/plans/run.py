@@ -179,31 +179,9 @@ def campaign_analysis(run: Run) -> None:
     )
 
 
-ENCODED = {"gender": V.GENDERS, "marital_status": V.MARITAL_STATUSES, "education_level": V.EDUCATION_LEVELS}
-
-
-def encoded(rows, also: dict[str, list] | None = None):
-    """Rows with a 0/1 column per level of the categorical customer columns, and the names of these.
-
-    Levels without a fixed list are given by ``also``.
-    """
-    names: list[str] = []
-    for column, levels in (ENCODED | (also or {})).items():
-        columns = N.dummies(F.col(column), levels, column)
-        rows = rows.withColumns(columns)
-        names += list(columns)
-    return rows, names
-
-
-def levels_of(rows, columns) -> dict[str, list]:
-    """The values of columns that hold a few labels each."""
-    found = rows.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).first()
-    return {c: list(found[c]) for c in columns}
-
-
 def response_predictions(features: DataFrame, rounds: int) -> DataFrame:
     """Boosting over numeric and encoded columns, fitted on 80 % and applied to every customer."""
-    rows, names = encoded(features, levels_of(features, ["occupation", "region"]))
+    rows, names = C.encode_customers(features)
     names += ["age", "income", "total_campaigns", "response_rate", *map(C.column_name, V.CAMPAIGN_CHANNELS), "last_campaign_contacts"]
     split = split_flag(rows, "customer_id", 0.8, 123, ["responded"]).persist()
     model = S.fit_boosting(split.filter("is_train"), names, "responded", rounds)
@@ -213,12 +191,12 @@ def response_predictions(features: DataFrame, rounds: int) -> DataFrame:
 @job
 def campaign_models(run: Run) -> None:
     """Three models of the single answer, compared on the same held-out 30 %."""
-    numeric, labels = ["age", "income"], [*ENCODED, "occupation", "region"]
+    numeric, labels = ["age", "income"], C.CUSTOMER_LABELS
     customers = run.table("customers").select("customer_id", *numeric, *labels)
     answers = run.table("campaign_responses").select("response_id", "customer_id", F.col("responded").cast("int").alias("label"))
     rows = answers.join(customers, "customer_id", "left").dropna("any").drop("customer_id")
     rows = split_flag(rows, "response_id", 0.7, 123, ["label"], round_up=True)
-    rows, names = encoded(rows, levels_of(rows, ["occupation", "region"]))
+    rows, names = C.encode_customers(rows)
     rows = rows.persist()
     train, test = rows.filter("is_train"), rows.filter("NOT is_train")
     first = {c: next(n for n in names if n.startswith(f"{c}_")) for c in labels}  # the reference level of each
