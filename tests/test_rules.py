@@ -241,3 +241,19 @@ def test_rejected_edges_of_city_box(spark):
     cities = spark.createDataFrame([("a", 10.0, 92.0), ("b", 9.99, 95.0), ("c", None, 95.0)], "location STRING, lat DOUBLE, lng DOUBLE")
     got = {r["location"]: r["inside"] for r in D.locate(df, cities).collect()}
     assert got == {"a": True, "b": False, "c": False, "d": False}
+
+
+def test_customer_labels_are_encoded_whole(spark):
+    rows = spark.createDataFrame(
+        [(1, "Male", None, "Clerk", "North"), (2, None, None, "Clerk", None), (3, "Male", None, "Smith", "South")],
+        "id INT, gender STRING, marital_status STRING, occupation STRING, region STRING",
+    ).withColumn("education_level", F.lit(None).cast("string"))
+    out, names = C.encode_customers(rows)
+    got = {r["id"]: r for r in out.collect()}
+    assert [n for n in names if n.startswith(("occupation", "region"))] == ["occupation_clerk", "occupation_smith", "region_north", "region_south"]
+    assert (got[1]["occupation_clerk"], got[3]["occupation_clerk"], got[3]["occupation_smith"]) == (1, 0, 1)
+    assert (got[2]["region_north"], got[2]["region_south"]) == (0, 0) and len(got) == 3
+    with pytest.raises(ValueError, match="more than 1 values"):
+        C.levels_of(rows, "region", most=1)
+    empty, names = C.encode_customers(rows.limit(0))
+    assert empty.count() == 0 and not [n for n in names if n.startswith("region")]
