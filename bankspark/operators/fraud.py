@@ -12,9 +12,11 @@ from bankspark import fixed_values as V
 from bankspark.functions import dates as D
 from bankspark.functions.numbers import log_amount, money_avg, money_sum, percent, ratio
 from bankspark.operators.quantiles import exact_quantiles
+from bankspark.operators.ranges import LOWEST_KEY, ROWS_PER_RANGE, in_ranges, last_before
 
 RULE_FLAGS = ["amount_anomaly", "type_anomaly", "channel_anomaly", "time_anomaly", "location_anomaly"]
 MODEL_FLAGS = ["iso_anomaly_flag", "ae_anomaly_flag"]
+_TIME_SHIFTS = [32, 16, 0]  # ranges of 71 minutes, of 66 milliseconds, of one microsecond
 
 
 def time_features(tx: DataFrame) -> DataFrame:
@@ -60,27 +62,30 @@ def usual_patterns(tx: DataFrame) -> DataFrame:
     return amounts.join(modes, "account_id", "left")
 
 
-def time_since_last(tx: DataFrame, every: str = "HOUR") -> DataFrame:
+def time_since_last(tx: DataFrame, rows: int = ROWS_PER_RANGE) -> DataFrame:
     """Hours since the previous transaction of the account; null for the first.
 
-    No account is sorted as a whole: each is cut into slices of the calendar, and the first row of
-    a slice takes the last time of the account's previous slice, from a table with one row per slice.
+    No account is sorted as a whole: its times are cut into ranges of at most ``rows`` rows, and the first
+    row of a range takes the last time before it from a table with one row per range. Rows of one account
+    and instant are ordered by their (unique) id; where they alone exceed a range, only the one with the
+    lowest id looks further back, and the others have zero.
     """
-    slice_start = F.date_trunc(every, "transaction_date")
-    sliced = tx.withColumn("_slice", F.coalesce(F.unix_seconds(slice_start.cast("timestamp")), F.lit(0)))
-    ends = sliced.groupBy("account_id", "_slice").agg(F.max("transaction_date").alias("_end"))
-    carried = ends.select(
-        "account_id", "_slice",
-        F.lag("_end").over(W.partitionBy("account_id").orderBy("_slice")).alias("_carried"),
-    )
-    inside = W.partitionBy("account_id", "_slice").orderBy("transaction_date", "transaction_id")
-    previous = F.coalesce(F.lag("transaction_date").over(inside), F.col("_carried"))
-    same = F.col("account_id").eqNullSafe(F.col("_account")) & (F.col("_slice") == F.col("_at"))
-    named = carried.select(F.col("account_id").alias("_account"), F.col("_slice").alias("_at"), "_carried")
-    return (
-        sliced.join(named, same, "left")
-        .withColumn("time_since_last", D.hours_between(F.col("transaction_date"), previous))
-        .drop("_slice", "_carried", "_account", "_at")
+    when = F.col("transaction_date")
+    keyed = tx.withColumn("_key", F.coalesce(F.unix_micros(when.cast("timestamp")), F.lit(LOWEST_KEY)))
+    ends = {"end": F.max("transaction_date")}
+    ranged, crowded = in_ranges(keyed, ["account_id"], "_key", ends, last_before, rows, _TIME_SHIFTS)
+    inside = W.partitionBy("account_id", "_shift", "_node").orderBy("_key", "transaction_id")
+    out = ranged.withColumn("_previous", F.coalesce(F.lag("transaction_date").over(inside), F.col("_before_end")))
+    if crowded is not None:
+        firsts = crowded.groupBy(F.col("account_id").alias("_account"), F.col("_node").alias("_at")).agg(
+            F.min("transaction_id").alias("_first")
+        )
+        same = F.col("account_id").eqNullSafe(F.col("_account")) & (F.col("_node") == F.col("_at"))
+        earlier = F.when(F.col("transaction_id") == F.col("_first"), F.col("_before_end")).otherwise(when)
+        found = crowded.join(firsts, same).withColumn("_previous", earlier)
+        out = out.unionByName(found.drop("_account", "_at", "_first"))
+    return out.withColumn("time_since_last", D.hours_between(when, F.col("_previous"))).drop(
+        "_key", "_shift", "_node", "_before_end", "_previous"
     )
 
 

@@ -1,8 +1,8 @@
 """Exact quantiles and running totals that stay distributed.
 
 ``percentile`` keeps every distinct value of a group in one task and an unpartitioned window
-sorts everything in one task. Both are replaced here by a sketch that narrows the search and an
-exact count inside the narrow part.
+sorts everything in one task. Here quantiles are found digit by digit of an ordered key, and totals are
+added up along a tree of ranges.
 """
 
 from __future__ import annotations
@@ -10,133 +10,70 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_ACCURACY = 10_000
-_ONE_TASK_ROWS = 1_000_000  # distinct values of a band that one task may order
+from bankspark.operators.ranges import (
+    ROWS_PER_RANGE, digit_shifts, double_key, double_of, in_ranges, ordered_key, sum_before,
+)
+from bankspark.session import cut_lineage
 
-
-def _around(position: float, width: int = 1) -> list[float]:
-    """Probabilities that enclose ``position`` given ``width`` times the sketch's rank error."""
-    return [max(0.0, position - 2 * width / _ACCURACY), min(1.0, position + 2 * width / _ACCURACY)]
+_DIGIT = 16  # bits settled by one pass: four passes, at most 65,536 counts per wanted rank
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
     """Linear-interpolated quantiles (R type 7), exact for any number of rows.
 
-    A sketch gives for every wanted rank a narrow band of values that must hold it; the rows
-    below the band are counted and only the rows inside it are ordered. A band that is still
-    large is narrowed again. The driver receives two values per probability.
-    """
-    v = F.col("_v")
-    values = df.select(F.col(column).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
-    grid = [g for p in probs for g in _around(p)]
-    head = values.agg(
-        F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
-        F.percentile_approx(v, grid, _ACCURACY).alias("cuts"),
-    ).first()
-    n = head["n"]
-    if n == 0:
-        return [None] * len(probs)
-    targets = [(n - 1) * p for p in probs]
-    cuts = [tuple(head["cuts"][2 * i : 2 * i + 2]) for i in range(len(probs))]
-    bands = _narrow(values, [math.floor(t) for t in targets], n, (head["low"], head["high"]), cuts)
-    in_bands = F.array_compact(
-        F.array(*[F.when(v.between(low, high), F.lit(i)) for i, (low, high, _) in enumerate(bands)])
-    )
-    counted = values.select(F.explode(in_bands).alias("_band"), "_v").groupBy("_band", "_v").count()
-    before = F.element_at(F.array(*[F.lit(b[2]).cast("bigint") for b in bands]), F.col("_band") + 1)
-    upto = before + F.sum("count").over(W.partitionBy("_band").orderBy("_v"))
-    wanted = F.lit(False)
-    for i, t in enumerate(targets):
-        k = math.floor(t)
-        for rank in (k, min(k + 1, n - 1)):
-            wanted = wanted | (
-                (F.col("_band") == i) & (F.col("_upto") > rank) & (F.col("_upto") - F.col("count") <= rank)
-            )
-    found = counted.withColumn("_upto", upto).filter(wanted).collect()
-    return [_interpolate(t, n, [r for r in found if r["_band"] == i]) for i, t in enumerate(targets)]
-
-
-def _interpolate(target: float, n: int, rows) -> float:
-    def at(rank: int) -> float:
-        return next(r["_v"] for r in rows if r["_upto"] - r["count"] <= rank < r["_upto"])
-
-    k = math.floor(target)
-    low, high = at(k), at(min(k + 1, n - 1))
-    return low + (high - low) * (target - k)
-
-
-def _narrow(values: DataFrame, ranks: Sequence[int], n: int, whole, cuts: list[tuple]) -> list[tuple[float, float, int]]:
-    """For each rank a value band that is small or a single value: (low, high, rows below).
-
-    All bands are counted in one pass. A band that misses its rank is widened, up to all values; one
-    that is still large is cut again by a sketch of its own rows.
+    Radix selection: each pass counts the next 16 bits of the keys that share the bits found so far, for
+    all probabilities at once. Nothing is ordered but the counts, and every table takes the same four
+    passes. Nulls and NaN are left out; without other rows every quantile is None.
     """
-    v = F.col("_v")
-    bands: list[tuple] = [(*whole, 0)] * len(ranks)
-    width = [1] * len(ranks)
-    size = [n] * len(ranks)
-    waiting = list(range(len(ranks)))
-    while waiting:
-        row = values.agg(
-            *[F.count_if(v < cuts[i][0]).alias(f"b{i}") for i in waiting],
-            *[F.count_if(v.between(*cuts[i])).alias(f"i{i}") for i in waiting],
-        ).first()
-        again = []
-        for i in waiting:
-            below, inside = row[f"b{i}"], row[f"i{i}"]
-            fits = below <= ranks[i] and below + inside > min(ranks[i] + 1, n - 1)
-            if fits:
-                stuck = cuts[i] == bands[i][:2]
-                bands[i], size[i], width[i] = (*cuts[i], below), inside, 1
-                if inside > _ONE_TASK_ROWS and cuts[i][0] < cuts[i][1] and not stuck:
-                    again.append(i)
-            else:
-                width[i] *= 8
-                again.append(i)
-        if again:
-            asked = []
-            for i in again:
-                low, high, below = bands[i]
-                inner = F.when(v.between(low, high), v)
-                grid = _around((ranks[i] - below) / size[i], width[i])
-                asked.append(F.percentile_approx(inner, grid, _ACCURACY).alias(f"c{i}"))
-            found = values.agg(*asked).first()
-            for i in again:
-                cuts[i] = tuple(found[f"c{i}"]) if width[i] < _ACCURACY else bands[i][:2]
-        waiting = again
-    return bands
+    v = F.col(column).cast("double")
+    keys = df.select(v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    keys = keys.select(double_key(F.col("_v")).alias("_key"))
+    n, targets, ranks, found = 0, [], [], []
+    for shift in range(64 - _DIGIT, -1, -_DIGIT):
+        left = keys.filter(F.shiftright("_key", shift + _DIGIT).isin(sorted(set(found)))) if found else keys
+        counted = left.groupBy(F.shiftright("_key", shift).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+        counts = counted.toPandas().sort_values("bits")
+        if not found:
+            n = int(counts["n"].sum())
+            if n == 0:
+                return [None] * len(probs)
+            targets = [(n - 1) * p for p in probs]
+            ranks = [min(math.floor(t) + up, n - 1) for t in targets for up in (0, 1)]
+        parent = counts["bits"].to_numpy() >> _DIGIT
+        below = [0] * len(ranks)
+        for i, rank in enumerate(ranks):
+            sisters = counts[parent == found[i]] if found else counts
+            upto = sisters["n"].cumsum().to_numpy()
+            at = int((upto <= rank).sum())
+            below[i], ranks[i] = int(sisters["bits"].iloc[at]), rank - int(upto[at] - sisters["n"].iloc[at])
+        found = below
+    values = [double_of(key) for key in found]
+    return [_between(values[2 * i], values[2 * i + 1], t - math.floor(t)) for i, t in enumerate(targets)]
+
+
+def _between(low: float, high: float, part: float) -> float:
+    return low if part == 0 or low == high else low + (high - low) * part
 
 
 def running_totals(
-    df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int = 256
+    df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), rows: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Add ``<name>_upto`` columns: totals of ``sums`` over all rows of the group up to ``order``.
 
-    ``order`` must be numeric and unique within ``by`` (group by it first). Rows are cut into value
-    ranges by a sketch, each range is totalled, the few range totals are accumulated, and every
-    range is then finished by its own task. The result does not depend on where the cuts fall.
+    ``order`` must be numeric and unique within ``by`` (group by it first); a null comes first. Every range
+    has at most ``rows`` rows and is finished by its own task; a few whole numbers per range are added up along
+    the tree. The result does not depend on where the ranges end.
     """
     by = list(by)
-    grid = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), grid, _ACCURACY).alias("c")).first()["c"]
-    splits = [-math.inf, *sorted(set(cuts or [0.0])), math.inf]  # an empty table has no cuts
-    ranged = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(
-        df.withColumn("_order", F.col(order).cast("double"))
-    )
-    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}_range") for c in sums])
-    # at most `buckets` rows per group
-    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by, "_range",
-        *[F.coalesce(F.sum(f"_{c}_range").over(earlier), F.lit(0)).alias(f"_{c}_before") for c in sums],
-    )
-    inside = W.partitionBy(*by, "_range").orderBy("_order")
-    out = ranged.join(offsets, [*by, "_range"])
-    for c in sums:
-        out = out.withColumn(f"{c}_upto", F.sum(c).over(inside) + F.col(f"_{c}_before"))
-    return out.drop("_range", "_order", *[f"_{c}_before" for c in sums])
+    keyed = cut_lineage(df.withColumn("_key", ordered_key(df, order)))
+    ends = keyed.agg(F.min("_key").alias("low"), F.max("_key").alias("high")).first()
+    shifts = digit_shifts(ends["low"] or 0, ends["high"] or 0)
+    totals = {c: F.sum(c) for c in sums}
+    ranged, _ = in_ranges(keyed, by, "_key", totals, sum_before, rows, shifts)
+    inside = W.partitionBy(*by, "_shift", "_node").orderBy("_key")
+    out = ranged.withColumns({f"{c}_upto": F.sum(c).over(inside) + F.col(f"_before_{c}") for c in sums})
+    return out.drop("_key", "_shift", "_node", *[f"_before_{c}" for c in sums])

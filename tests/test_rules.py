@@ -17,6 +17,7 @@ from bankspark.operators import ranking as K
 from bankspark.operators import reports as R
 from bankspark.operators import sampling as S
 from bankspark.operators.quantiles import exact_quantiles, running_totals
+from bankspark.operators.ranges import digit_shifts, double_key, double_of, in_ranges, ordered_key, sum_before
 
 
 def rows(df, *order):
@@ -137,17 +138,40 @@ def test_quantiles_match_numpy(spark):
     assert exact_quantiles(df, "v", probs) == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
 
 
-def test_quantiles_narrow_bands_exactly(spark, monkeypatch):
-    from bankspark.operators import quantiles
+def test_quantiles_of_hot_and_few_values(spark):
+    import numpy as np
 
-    monkeypatch.setattr(quantiles, "_ONE_TASK_ROWS", 50)
     df = spark.range(20001).select((F.col("id") * 7919 % 20001).cast("double").alias("v"))
     df = df.union(spark.range(9000).select(F.lit(5.0).alias("v")))  # one value with a third of the rows
-    import numpy as np
-
-    values = [r[0] for r in df.collect()]
+    few = spark.range(5000).select(((F.col("id") % 10) / 7 - 0.5).alias("v"))  # ten values, both signs
     probs = [0.001, 0.1, 0.31, 0.5, 0.999]
-    assert exact_quantiles(df, "v", probs) == pytest.approx(list(np.quantile(values, probs)))
+    for frame in (df, few):
+        values = [r[0] for r in frame.collect()]
+        assert exact_quantiles(frame, "v", probs) == pytest.approx(list(np.quantile(values, probs)))
+
+
+def test_quantiles_of_odd_numbers(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [-inf, -1.5, -5e-324, -0.0, 0.0, 2.2e-308, 1.0, 1.7976931348623157e308, inf, inf, nan, None]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE")
+    ordered = values[:10]
+    assert exact_quantiles(df, "v", [i / 9 for i in range(10)]) == ordered
+    assert exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+    assert exact_quantiles(df.filter("v IS NULL OR isnan(v)"), "v", [0.1, 0.5]) == [None, None]
+
+
+def test_keys_keep_order_and_value(spark):
+    import random
+    import struct
+
+    draw = random.Random(3)
+    bits = [draw.getrandbits(64) for _ in range(3000)] + [0x000FFFFFFFFFFFFF, 0x0010000000000000, 0x7FEFFFFFFFFFFFFF, 1]
+    values = [v for v in (struct.unpack("<d", struct.pack("<Q", b))[0] for b in bits) if v == v]
+    values += [2.0**e for e in range(-1074, 1024)] + [2.0**e * (1 - 2**-53) for e in range(-1000, 1024)]
+    df = spark.createDataFrame([(v,) for v in values], "v DOUBLE").select("v", double_key(F.col("v")).alias("k"))
+    for r in df.collect():
+        size = struct.unpack("<q", struct.pack("<d", abs(r["v"])))[0]
+        assert r["k"] == (-size if r["v"] < 0 else size) and double_of(r["k"]) == r["v"]
 
 
 def test_quantile_flag_is_strict(spark):
@@ -157,10 +181,36 @@ def test_quantile_flag_is_strict(spark):
 
 def test_running_totals_cross_ranges(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
-    got = running_totals(df, "v", ["n"], buckets=7).orderBy("v").collect()
+    got = running_totals(df, "v", ["n"], rows=7).orderBy("v").collect()
     assert [r["n_upto"] for r in got] == list(range(1, 1001))
 
 
+def test_running_totals_in_groups_with_nulls(spark):
+    df = spark.createDataFrame(
+        [(None, 1.0, 5), (None, None, 2), ("a", -3.0, 1), ("a", float("inf"), 4), ("a", None, 7), ("a", -2.5, 1)],
+        "g STRING, v DOUBLE, n INT",
+    )
+    for most in (1, 100):
+        got = {(r["g"], r["v"]): r["n_upto"] for r in running_totals(df, "v", ["n"], ["g"], rows=most).collect()}
+        assert got == {
+            (None, None): 2, (None, 1.0): 7, ("a", None): 7, ("a", -3.0): 8, ("a", -2.5): 9, ("a", float("inf")): 13,
+        }
+    assert running_totals(df.limit(0), "v", ["n"], ["g"]).count() == 0
+
+
+def test_ranges_hold_a_stated_number_of_rows(spark):
+    scores = spark.range(1_000_000).select(F.pow(F.lit(1.0) - F.col("id") / 1_000_000, 9).alias("v"), F.lit(1).alias("n"))
+    keyed = scores.withColumn("k", ordered_key(scores, "v"))
+    ranged, crowded = in_ranges(keyed, [], "k", {"n": F.sum("n")}, sum_before, 20_000, digit_shifts(0, 2**62))
+    sizes = ranged.groupBy("_shift", "_node").agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("_before_n").alias("b"))
+    found = sizes.orderBy("low").collect()
+    assert crowded is None and sum(r["c"] for r in found) == 1_000_000 and max(r["c"] for r in found) <= 20_000
+    upto = 0
+    for r in found:
+        assert r["b"] == upto
+        upto += r["c"]
+
+
 def test_clean_is_idempotent_and_repairs(spark):
     raw = spark.createDataFrame(
         [(" city MART ", "sittwe"), (None, " bago"), ("Junction Square", None), ("Nobody", None), ("MPT Merchant", "PATHEIN")],
@@ -231,8 +281,27 @@ def test_time_since_last_equals_plain_lag(spark):
         "transaction_id",
         ((F.unix_micros(F.col("transaction_date").cast("timestamp")) - F.unix_micros(F.col("p").cast("timestamp"))) / 3.6e9).alias("h"),
     )
-    for every in ("HOUR", "YEAR"):  # many slices, one slice
-        got = D.time_since_last(tx, every).select("transaction_id", F.col("time_since_last").alias("h"))
+    for most in (10, 100_000):  # many ranges, one range an hour
+        got = D.time_since_last(tx, most).select("transaction_id", F.col("time_since_last").alias("h"))
+        assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+
+
+def test_time_since_last_of_one_busy_hour(spark):
+    from pyspark.sql import Window as W
+
+    # one account, all rows within an hour, a third of them at one instant
+    micros = F.when(F.col("id") % 3 == 0, 1_800_000_000).otherwise(F.col("id") * 7919 % 3_600_000_000)
+    tx = spark.range(6000).select(
+        F.col("id").alias("transaction_id"), F.lit(None).cast("int").alias("account_id"),
+        F.timestamp_micros(micros.cast("bigint")).cast("timestamp_ntz").alias("transaction_date"),
+    ).unionByName(spark.sql("SELECT -1L AS transaction_id, CAST(NULL AS INT) AS account_id, CAST(NULL AS TIMESTAMP_NTZ) AS transaction_date"))
+    at = F.unix_micros(F.col("transaction_date").cast("timestamp"))
+    w = W.partitionBy("account_id").orderBy("transaction_date", "transaction_id")
+    plain = tx.select("transaction_id", ((at - F.lag(at).over(w)) / 3.6e9).alias("h"))
+    for most in (50, 100_000):
+        out = D.time_since_last(tx, most)
+        assert out.columns == [*tx.columns, "time_since_last"]
+        got = out.select("transaction_id", F.col("time_since_last").alias("h"))
         assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
 
 
