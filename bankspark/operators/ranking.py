@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bankspark.operators.reports import monthly_summary
@@ -51,10 +50,14 @@ def top_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
 def top_with_ties(grouped: DataFrame, metric: str, n: int) -> DataFrame:
     """Rows whose metric is among the ``n`` best, every tie of the last place included.
 
-    Meant for grouped rows, one per key; the rank runs over those only.
+    Meant for grouped rows, one per key, of any number: each task keeps its ``n`` best, and the worst
+    of the best is the limit. Nulls come last.
     """
-    place = F.rank().over(W.orderBy(F.desc(metric)))
-    return grouped.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+    m = F.col(metric)
+    best = grouped.select(m.alias("_m")).orderBy(F.desc("_m")).limit(n)
+    limit = best.agg(F.min("_m")).scalar()
+    nulls_too = best.agg(F.count_if(F.col("_m").isNull()) > 0).scalar()
+    return grouped.filter((m >= limit) | (m.isNull() & nulls_too))
 
 
 def extremes(grouped: DataFrame, key: str, metric: str) -> DataFrame:
@@ -69,6 +72,6 @@ def extremes(grouped: DataFrame, key: str, metric: str) -> DataFrame:
 
 
 def with_share(grouped: DataFrame, metric: str, name: str) -> DataFrame:
-    """Each row's metric as percent of the whole; for grouped rows only."""
-    whole = F.sum(metric).over(W.partitionBy())
+    """Each row's metric as percent of the whole, which is added up apart from the rows."""
+    whole = grouped.agg(F.sum(metric)).scalar()
     return grouped.withColumn(name, F.col(metric).cast("double") / whole * 100)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bankspark.functions.dates import month_key
 from bankspark.functions.numbers import as_money, cents_sum
+from bankspark.session import cut_lineage
 
 
 def _report_rows(df: DataFrame, report: str, key1: str, key2: str | None = None) -> DataFrame:
@@ -140,31 +141,28 @@ def campaign_report(customers: DataFrame, responses: DataFrame) -> DataFrame:
 def fraud_reports(flagged: DataFrame) -> DataFrame:
     """Daily, per account, per location and overall fraud figures in one long table.
 
-    Flagged rows are summed once per (day, account, location); the four reports are sums of that.
+    The columns in use are written once; each report is an aggregate of its own over them, so rows
+    are summed within their tasks and every report shuffles only its own groups.
     """
     from bankspark import fixed_values as V
 
     day = F.col("transaction_date").cast("date").cast("string")
-    small = flagged.groupBy(day.alias("day"), "account_id", "location").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("fraud_flag").alias("_f"), cents_sum(F.col("amount")).alias("_s")
-    )
-    pairs = F.array(
-        *[
-            F.struct(F.lit(report).alias("report"), c.alias("key"))
-            for report, c in [
-                ("daily", F.col("day")), ("account", F.col("account_id").cast("string")),
-                ("location", F.col("location")), ("all", F.lit("all")),
-            ]
-        ]
-    )
-    reports = (
-        small.select("_n", "_f", "_s", F.inline(pairs))
-        .groupBy("report", "key")
-        .agg(
-            F.sum("_n").alias("transactions"), F.sum("_f").alias("frauds"),
-            as_money(F.sum("_s")).alias("amount"),
+    rows = cut_lineage(
+        flagged.select(
+            day.alias("day"), F.col("account_id").cast("string").alias("account"), "location", "fraud_flag", "amount"
         )
     )
+    keys = {"daily": F.col("day"), "account": F.col("account"), "location": F.col("location"), "all": F.lit("all")}
+    parts = [
+        rows.groupBy(key.alias("key")).agg(
+            F.count(F.lit(1)).alias("transactions"), F.sum("fraud_flag").alias("frauds"),
+            as_money(cents_sum(F.col("amount"))).alias("amount"),
+        ).select(F.lit(report).alias("report"), "key", "transactions", "frauds", "amount")
+        for report, key in keys.items()
+    ]
+    reports = parts[0]
+    for part in parts[1:]:
+        reports = reports.unionByName(part)
     return reports.filter(
         (F.col("report") != "location") | (F.col("transactions") > V.MIN_LOCATION_TRANSACTIONS)
     )

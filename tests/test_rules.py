@@ -174,6 +174,15 @@ def test_keys_keep_order_and_value(spark):
         assert r["k"] == (-size if r["v"] < 0 else size) and double_of(r["k"]) == r["v"]
 
 
+def test_ties_and_shares_of_grouped_rows(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 3), ("c", 3), ("d", 1), ("e", None)], "k STRING, n INT")
+    kept = {n: [r[0] for r in rows(K.top_with_ties(df, "n", n), "k")] for n in (1, 2, 3, 4, 5)}
+    assert kept == {1: ["a"], 2: list("abc"), 3: list("abc"), 4: list("abcd"), 5: list("abcde")}
+    assert rows(K.top_with_ties(df.filter("n IS NULL"), "n", 2), "k") == [("e", None)]
+    assert K.top_with_ties(df.limit(0), "n", 2).count() == 0
+    assert [r["s"] for r in K.with_share(df, "n", "s").orderBy("k").collect()] == [5 / 12 * 100, 25.0, 25.0, 1 / 12 * 100, None]
+
+
 def test_quantile_flag_is_strict(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,)], "v DOUBLE")
     assert sum(r["f"] for r in D.top_share_flag(df, "v", "f", 1.0).collect()) == 0
