@@ -58,46 +58,64 @@ def _buckets(words: np.ndarray, at: np.ndarray, i: int) -> np.ndarray:
     return (grams % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def labelled_sample(labels: DataFrame, sample: int, id_column: str = "doc_id", quality_column: str = "quality") -> dict[int, int]:
-    """{id: 1 trusted / 0 not} of at most ``sample`` labelled rows of each kind, by hash of the id.
+def labelled(labels: DataFrame, id_column: str = "doc_id", quality_column: str = "quality") -> DataFrame:
+    """(id, label): 1 trusted, 0 not, a row per labelled id.
 
     An id labelled both ways is not trusted; null ids and labels are left out.
     """
     rows = labels.select(F.col(id_column).cast("long").alias("id"), F.col(quality_column).cast("int").alias("quality"))
-    known = rows.where("id is not null and quality in (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
-    return {
-        r.id: kind for kind in (0, 1)
-        for r in known.where(F.col("quality") == kind).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).collect()
-    }
+    return rows.where("id is not null and quality in (0, 1)").groupBy("id").agg(F.min("quality").alias("label"))
 
 
-def log_ratios(documents: DataFrame, sample: dict[int, int]) -> np.ndarray:
-    """log p_trusted - log p_corpus per bucket; the corpus side counts every document."""
-    trusted = documents.sparkSession.sparkContext.broadcast({k for k, v in sample.items() if v})
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, buckets of the n-grams as packed 16-bit numbers) of (id, text)."""
+    for batch in batches:
+        words, _, at = word_hashes(batch.column(1), lower=False)
+        packed = [_buckets(words, at, i).astype(np.uint16).tobytes() for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "grams"])
+
+
+def _counts(documents: DataFrame, known: DataFrame | None = None) -> np.ndarray:
+    """How many n-grams fall into each bucket, of all documents or of those whose id is in ``known``.
+
+    Not the texts but two bytes an n-gram meet the known ids.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            words, _, at = word_hashes(batch.column(1), lower=False)
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                got = np.bincount(_buckets(words, at, i), minlength=1)
-                raw[: len(got)] += got
-                if key in trusted.value:
-                    target[: len(got)] += got
-        there = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(there, pa.int32()), pa.array(target[there]), pa.array(raw[there])], names=["bucket", "target", "raw"]
-        )
-
-    parts = documents.select("doc_id", "text").mapInArrow(count, "bucket int, target long, raw long")
-    target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in parts.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect():  # at most BUCKETS rows
-        target[r.bucket], raw[r.bucket] = r.target, r.raw
+            for packed in batch.column("grams"):
+                got = np.bincount(np.frombuffer(packed.as_buffer(), np.uint16), minlength=1)
+                total[: len(got)] += got
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], names=["bucket", "n"])
+
+    rows, out = documents.select("doc_id", "text"), "bucket int, n long"
+    if known is None:
+        parts = rows.mapInArrow(lambda batches: count(_grams(batches)), out)
+    else:  # by hash at any size: a broadcast would grow with the labels
+        grams = rows.mapInArrow(_grams, "id long, grams binary")
+        parts = grams.join(known.select("id").hint("shuffle_hash"), "id").select("grams").mapInArrow(count, out)
+    total = np.zeros(BUCKETS)
+    for r in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        total[r.bucket] = r.n
+    return total
+
+
+def log_ratios(documents: DataFrame, known: DataFrame) -> np.ndarray:
+    """log p_trusted - log p_corpus per bucket; the corpus side counts every document, the trusted
+    side every document with label 1."""
+    target = _counts(documents, known.where("label = 1"))
     if not target.sum():
         return np.zeros(BUCKETS)
+    raw = _counts(documents)
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
+def _llr(weight: np.ndarray, words: np.ndarray, at: np.ndarray, n: int) -> list[float]:
+    return [float(weight[b].mean()) if len(b := _buckets(words, at, i)) else 0.0 for i in range(n)]
+
+
 def _scored(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
     """(row, n_words ... n_repeat_words, llr) for rows with doc_id and text."""
     sent = documents.sparkSession.sparkContext.broadcast(ratios)
@@ -107,7 +125,7 @@ def _scored(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
 
         def work(columns: list[pa.Array]) -> list[pa.Array]:
             statistics, words, at = text_statistics(columns[0])
-            llr = [float(weight[b].mean()) if len(b := _buckets(words, at, i)) else 0.0 for i in range(len(columns[0]))]
+            llr = _llr(weight, words, at, len(columns[0]))
             return [*(pa.array(v, pa.int64()) for v in statistics.values()), pa.array(llr, pa.float64())]
 
         return work
@@ -115,19 +133,30 @@ def _scored(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
     return map_rows(documents, [F.col("text")], "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double", make)
 
 
-def choose_threshold(documents: DataFrame, sample: dict[int, int], ratios: np.ndarray, keep: float) -> float:
-    """The score that best separates the labelled sample and keeps a part ``keep`` of the trusted.
+def _ratio_of_ids(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """(id, llr) of every document; the texts stay where they are read."""
+    sent = documents.sparkSession.sparkContext.broadcast(ratios)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, _, at = word_hashes(batch.column(1), lower=False)
+            llr = _llr(sent.value, words, at, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(llr, pa.float64())], names=["id", "llr"])
+
+    return documents.select("doc_id", "text").mapInArrow(score, "id long, llr double")
+
+
+def choose_threshold(documents: DataFrame, known: DataFrame, ratios: np.ndarray, keep: float) -> float:
+    """The score that best separates the labelled documents and keeps a part ``keep`` of the trusted.
 
     Without trusted rows nothing is rejected. Ties go to the lower threshold.
     """
-    if not any(sample.values()):
+    if known.where("label = 1").isEmpty():
         return -RANGE
-    spark = documents.sparkSession
-    ids = spark.createDataFrame(list(sample.items()), "doc_id long, label int")  # bounded by the sample
     llr = F.least(F.greatest("llr", F.lit(-RANGE)), F.lit(RANGE))
     bins = (
-        _scored(documents.join(F.broadcast(ids), "doc_id"), ratios)
-        .groupBy(F.col("row.label").alias("label"), F.floor(llr * BINS_PER_UNIT).alias("bin")).count().collect()
+        _ratio_of_ids(documents, ratios).join(known.hint("shuffle_hash"), "id")
+        .groupBy("label", F.floor(llr * BINS_PER_UNIT).alias("bin")).count().collect()
     )
     size = int(RANGE * BINS_PER_UNIT)
     counts = np.zeros((2, 2 * size + 1))
@@ -139,17 +168,17 @@ def choose_threshold(documents: DataFrame, sample: dict[int, int], ratios: np.nd
     return (int(np.argmax(gain)) - size) / BINS_PER_UNIT
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, sample: int = 20000, keep: float = 0.99) -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, keep: float = 0.99) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr).
 
     Words are runs of characters other than ASCII white space. ``base_failed``: under 50 words, or
     over half of them in repeated three-word windows. ``kept``: not failed, and ``llr`` not below
-    the threshold. Trusted documents and the threshold come from at most ``sample`` labelled rows
-    of each kind; the corpus counts and the decision cover every document. Null and empty texts
-    have no words and fail; repeated rows, null ids and other columns do no harm.
+    the threshold. Trusted documents and the threshold come from all labelled rows, the corpus
+    counts and the decision from every document. Null and empty texts have no words and fail;
+    repeated rows, null ids and other columns do no harm.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = labelled_sample(labels, sample)
+    known = labelled(labels)
     ratios = log_ratios(rows, known)
     threshold = choose_threshold(rows, known, ratios, keep)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
-from bankspark.llm.likelihood import quality_rules
+import numpy as np
+
+from bankspark.llm.likelihood import BUCKETS, choose_threshold, labelled, log_ratios, quality_rules
 
 
 def brute(text):
@@ -43,3 +45,16 @@ def test_edges(spark):
     none = quality_rules(docs, labels.limit(0)).collect()
     assert [r.kept for r in none] == [not r.base_failed for r in none]
     assert quality_rules(docs.limit(0), labels).collect() == []
+
+
+def test_all_labelled_rows_count(spark):
+    n = 41000  # more of each kind than any fixed sample of the past held
+    rows = spark.range(n).selectExpr("id AS doc_id", "concat('w', id, if(id % 2 = 1, ' good', ' bad')) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality").union(spark.sql("SELECT 1L, 0"))
+    known = labelled(labels)
+    assert {r.label: r["count"] for r in known.groupBy("label").count().collect()} == {0: n // 2 + 1, 1: n // 2 - 1}
+    ratios = log_ratios(rows, known)
+    # three n-grams a document; where every n-gram of a bucket is trusted the ratio is that of the totals
+    target, raw = 3 * (n // 2 - 1) + BUCKETS, 3 * n + BUCKETS
+    assert abs(ratios.max() - np.log(raw / target)) < 1e-9
+    assert -10 < choose_threshold(rows, known, ratios, 0.99) < 10
