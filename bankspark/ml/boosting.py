@@ -4,6 +4,10 @@ Each feature is cut once at its quantiles. A level of a tree needs, per open nod
 of first and second derivatives of the loss: one pass over the rows and one group-by. Only these sums (nodes x
 features x bins) reach the driver, which picks the splits; rows and their margins stay on the executors.
 
+Rows are kept in blocks: a record holds the bins of many rows, feature by feature, with their labels and
+margins, so that a pass hands arrays to numpy and nothing row by row. Each tree's leaf values are added to
+the margins once, in the pass that starts the next tree.
+
 Derivatives are summed as integers, so a tree depends neither on row order nor on partitions, and a lost
 executor's rows give the same sums again.
 """
@@ -25,9 +29,11 @@ from bankspark.session import fresh_path, remove_path
 UNIT = 2.0**26  # derivatives are rounded to this part; 10^11 rows fit into a 64-bit sum
 LEAST_GAIN = 1e-6
 _ACCURACY = 10_000
-_ROWS_PER_TASK = 200_000
-_ROWS = "x BINARY, y DOUBLE, margin DOUBLE"
-_TREES_PER_WRITE = 5  # margins are written again after so many trees
+_ROWS_PER_TASK = 100_000
+_MOST_PER_TASK = 2_000_000  # where there are more tasks than a few per core
+_BLOCK, _BLOCK_BYTES = 16_384, 1 << 21  # rows of a block at most, and bytes of its bins
+_ROWS = "n INT, x BINARY, y BINARY, margin BINARY"
+_TREES_PER_WRITE = 10  # margins are written again after so many trees
 
 NODE_SCHEMA = (
     "tree INT, node INT, feature INT, cut INT, threshold DOUBLE, missing_left BOOLEAN, left INT, right INT, "
@@ -148,52 +154,91 @@ def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int) -> list[np.
 
 
 def _binned(df: DataFrame, features: Sequence[str], label: str, cuts: list[np.ndarray], missing: int) -> DataFrame:
-    """(x, y, margin): the bins of the features as packed 16-bit numbers, ``missing`` for null and NaN; margin 0."""
-    p = len(features)
+    """Blocks (n, x, y, margin): the bins of each feature in turn as packed numbers of one or two bytes,
+    ``missing`` for null and NaN; labels as doubles; margins 0."""
+    p, kind = len(features), _kind(missing)
+    most = min(_BLOCK, _BLOCK_BYTES // (2 * p + 1))
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        x = np.full((p, rows.num_rows), missing, dtype=kind)
+        for j in range(p):
+            v = rows.column(j).to_numpy().astype(float)
+            there = ~np.isnan(v)
+            x[j, there] = np.searchsorted(cuts[j], v[there], side="left")
+        return _block(x, rows.column(p).to_numpy().astype(float), np.zeros(rows.num_rows))
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            x = np.full((batch.num_rows, p), missing, dtype=np.int16)
-            for j in range(p):
-                v = batch.column(j).to_numpy(zero_copy_only=False).astype(float)
-                there = ~np.isnan(v)
-                x[there, j] = np.searchsorted(cuts[j], v[there], side="left")
-            packed = pa.array([row.tobytes() for row in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed, batch.column(p), pa.array(np.zeros(batch.num_rows))], names=["x", "y", "margin"])
+            if n and n + batch.num_rows > most:
+                yield block(held)
+                held, n = [], 0
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield block(held)
 
     rows = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("y"))
     return rows.filter(F.col("y").isNotNull()).mapInArrow(bins, _ROWS)
 
 
-def _read(batch: pa.RecordBatch, p: int, missing: int, done: Sequence[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bins, which of them are missing, and the margin with the trees ``done`` since it was written."""
-    packed = batch.column(0).cast(pa.large_binary())
-    ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1]
-    x = np.frombuffer(packed.buffers()[2] or b"", np.int16)[ends[0] // 2 : ends[-1] // 2].reshape(-1, p)
-    gone = x == missing
-    margin = batch.column(2).to_numpy(zero_copy_only=False).copy()
-    for tree in done:
-        margin += tree.margins(x, gone, tree.cut)
-    return x, gone, margin
+def _kind(missing: int) -> type:
+    return np.uint8 if missing < 256 else np.int16
+
+
+def _block(x: np.ndarray, y: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
+    parts = [pa.array([v.tobytes()], pa.binary()) for v in (x, y, margin)]
+    return pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *parts], names=["n", "x", "y", "margin"])
+
 
+def _blocks(batches: Iterator[pa.RecordBatch], p: int, missing: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bins (feature, row), labels and margins of each block."""
+    for batch in batches:
+        for n, x, y, margin in zip(*batch.columns):
+            bins = np.frombuffer(x.as_buffer(), _kind(missing)).reshape(p, n.as_py())
+            yield bins, np.frombuffer(y.as_buffer()), np.frombuffer(margin.as_buffer())
 
-def _histogram(rows: DataFrame, p: int, missing: int, done: list[Tree], tree: Tree, nodes: list[int]) -> np.ndarray:
+
+def _members(tree: Tree, x: np.ndarray, missing: int) -> Iterator[tuple[int, np.ndarray | slice]]:
+    """(node, its rows) for the nodes of ``tree`` without children; all rows are a slice."""
+    waiting: list[tuple[int, np.ndarray | slice]] = [(0, slice(None))]
+    while waiting:
+        node, rows = waiting.pop()
+        f = tree.feature[node]
+        if f < 0:
+            yield node, rows
+            continue
+        v = x[f][rows]
+        left = v <= tree.cut[node]  # the bin of missing values is above every cut
+        if tree.missing_left[node]:
+            left |= v == missing
+        if isinstance(rows, slice):
+            waiting += [(tree.left[node], np.flatnonzero(left)), (tree.right[node], np.flatnonzero(~left))]
+        else:
+            waiting += [(tree.left[node], rows[left]), (tree.right[node], rows[~left])]
+
+
+def _histogram(rows: DataFrame, p: int, missing: int, tree: Tree, nodes: list[int]) -> np.ndarray:
     """(node, feature, bin, 2): sums of both derivatives over the rows of each open node."""
     width = missing + 1
     shape = (len(nodes), p, width)
-    number = np.full(len(tree.feature), -1, dtype=np.int64)
-    number[nodes] = np.arange(len(nodes))
+    number = {node: i for i, node in enumerate(nodes)}
+    slots = len(nodes) * width
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, math.prod(shape)), dtype=np.int64)
-        for batch in batches:
-            x, gone, margin = _read(batch, p, missing, done)
-            at = number[tree.places(x, gone, tree.cut)]
-            inside = at >= 0
-            slot = ((at[inside, None] * p + np.arange(p)) * width + x[inside]).ravel()
-            for k, d in enumerate(derivatives(margin[inside], batch.column(1).to_numpy(zero_copy_only=False)[inside])):
-                # whole numbers below 2^53 in a batch: the sums are exact
-                total[k] += np.bincount(slot, np.repeat(d, p), total.shape[1]).astype(np.int64)
+        total = np.zeros((2, p, slots))  # whole numbers below 2^53: the sums are exact
+        for x, y, margin in _blocks(batches, p, missing):
+            found = [(number[node], np.arange(len(y))[rows]) for node, rows in _members(tree, x, missing) if node in number]
+            inside = np.concatenate([rows for _, rows in found])
+            first = np.repeat([i * width for i, _ in found], [len(rows) for _, rows in found])
+            both = derivatives(margin[inside], y[inside])
+            for j in range(p):
+                slot = first + x[j][inside]
+                for k, d in enumerate(both):
+                    total[k, j] += np.bincount(slot, d, slots)
+        total = total.astype(np.int64).reshape(2, p, len(nodes), width).swapaxes(1, 2)
+        total = total.reshape(2, -1)
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["slot", "g", "h"])
 
@@ -204,6 +249,19 @@ def _histogram(rows: DataFrame, p: int, missing: int, done: list[Tree], tree: Tr
     return out.reshape(*shape, 2)
 
 
+def _with_margins(rows: DataFrame, p: int, missing: int, tree: Tree) -> DataFrame:
+    """The blocks with the leaf values of ``tree`` added to the margins."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, margin in _blocks(batches, p, missing):
+            after = margin.copy()
+            for node, inside in _members(tree, x, missing):
+                after[inside] += tree.value[node]
+            yield _block(x, y, after)
+
+    return rows.mapInArrow(add, _ROWS)
+
+
 def best_split(sums: np.ndarray, cuts: list[np.ndarray], shrink: float, least_cover: float):
     """The split of one node with the greatest gain: (gain, feature, cut, missing left, sums of the left side).
 
@@ -244,29 +302,25 @@ def fit_boosted(
         rows.write.parquet(path)
         return path, spark.read.schema(_ROWS).parquet(path)
 
-    def with_margins(rows: DataFrame, done: list[Tree]) -> DataFrame:
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.set_column(2, "margin", pa.array(_read(batch, p, missing, done)[2]))
-
-        return rows.mapInArrow(add, rows.schema)
-
     path, rows = written(_binned(df, features, label, cuts, missing))
-    tasks = max(1, math.ceil(rows.count() / _ROWS_PER_TASK))
-    rows = rows.coalesce(tasks).persist()
-    done: list[Tree] = []
+    n = rows.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, min(math.ceil(n / _ROWS_PER_TASK), max(3 * spark.sparkContext.defaultParallelism, math.ceil(n / _MOST_PER_TASK))))
+    rows, old = rows.repartition(tasks).persist(), None
     try:
         while len(trees) < rounds:
-            tree = _grow(rows, cuts, missing, done, depth, step, shrink, least_cover)
-            trees.append(tree)
-            done.append(tree)
-            if len(done) == _TREES_PER_WRITE and len(trees) < rounds:
-                old_path, old = path, rows
-                path, rows = written(with_margins(rows, done))
-                rows = rows.coalesce(tasks).persist()
+            trees.append(_grow(rows, cuts, missing, depth, step, shrink, least_cover))
+            if old is not None:  # the tree's first pass has read it
+                old.unpersist()
+            if len(trees) == rounds:
+                break
+            old, rows = rows, _with_margins(rows, p, missing, trees[-1])
+            if len(trees) % _TREES_PER_WRITE == 0:
+                old_path, (path, rows) = path, written(rows)
+                rows = rows.repartition(tasks)
                 old.unpersist()
+                old = None
                 remove_path(spark, old_path)
-                done = []
+            rows = rows.persist()
     finally:
         rows.unpersist()
         remove_path(spark, path)
@@ -274,7 +328,7 @@ def fit_boosted(
 
 
 def _grow(
-    rows: DataFrame, cuts: list[np.ndarray], missing: int, done: list[Tree], depth: int, step: float, shrink: float, least_cover: float
+    rows: DataFrame, cuts: list[np.ndarray], missing: int, depth: int, step: float, shrink: float, least_cover: float
 ) -> Tree:
     """One tree, level by level; each level is one pass over the rows.
 
@@ -283,7 +337,7 @@ def _grow(
     tree = Tree()
     worth = lambda v: -step * (v[0] / UNIT) / (v[1] / UNIT + shrink)
     tree.add_leaf(0.0, 0.0)
-    sums = {0: _histogram(rows, len(cuts), missing, done, tree, [0])[0]}
+    sums = {0: _histogram(rows, len(cuts), missing, tree, [0])[0]}
     whole = sums[0][0].sum(axis=0)
     tree.value[0], tree.cover[0] = float(worth(whole)) if whole.any() else 0.0, float(whole[1] / UNIT)
     for level in range(1, depth + 1):
@@ -301,7 +355,7 @@ def _grow(
             opened.append((node, *sorted(children, key=lambda child: (tree.cover[child], child))))
         if level == depth or not opened:
             break
-        light = _histogram(rows, len(cuts), missing, done, tree, [child for _, child, _ in opened])
+        light = _histogram(rows, len(cuts), missing, tree, [child for _, child, _ in opened])
         sums = {child: own for (_, child, _), own in zip(opened, light)} | {
             other: sums[parent] - own for (parent, _, other), own in zip(opened, light)
         }

@@ -154,3 +154,11 @@ def test_edge_tables(spark):
     assert len(scored) == 30 and all(r["predicted_prob"] > 0.5 and r["predicted_class"] == 1 for r in scored)
     assert {f for t in model.trees for f in t.feature} <= {-1, 2}
     assert G.fit_boosted(df, ["x"], "y", rounds=0).trees == ()
+
+
+def test_rows_are_held_in_blocks(fitted):
+    rows, df, _ = fitted
+    cuts = G.quantile_cuts(df, FEATURES, 16)
+    blocks = G._binned(df, FEATURES, "label", cuts, 16).collect()
+    assert sum(b["n"] for b in blocks) == len(rows) and len(blocks) <= 5  # a record a partition here, not a row
+    assert all(len(b["x"]) == 3 * b["n"] and len(b["y"]) == len(b["margin"]) == 8 * b["n"] for b in blocks)
