@@ -386,3 +386,21 @@ def test_gram_matrix_has_every_pair(spark):
     df = spark.createDataFrame([(1.0, 2.0, None), (3.0, None, 4.0), (5.0, 6.0, 7.0)], "a double, b double, c double")
     got = {(r.i, r.j): r.total for r in S.gram_matrix(df, ["a", "b", "c"]).collect()}
     assert got == {(1, 1): 35.0, (1, 2): 32.0, (1, 3): 47.0, (2, 2): 40.0, (2, 3): 42.0, (3, 3): 65.0}
+
+
+def test_random_rows_do_not_multiply_the_table(spark, monkeypatch):
+    from bankspark.ml import clusters as K
+
+    rows = spark.createDataFrame([([float(i % 37), float(i % 5)],) for i in range(400)], "x array<double>").persist()
+    keyed = rows.distinct().select("x", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("start"))
+    hashed = keyed.select("start", F.pmod(F.xxhash64("x"), F.lit(3)).alias("part"), F.xxhash64("x", F.lit(9), "start").alias("h"), "x")
+    least = hashed.groupBy("start", "part").agg(F.min_by("x", "h").alias("x")).orderBy("start", "part").collect()
+    expected = [[r["x"] for r in least if r["start"] == i] for i in range(6)]
+    assert [len(e) for e in expected] == [3] * 6
+
+    def refuse(*_):
+        raise AssertionError("a row for each start")
+
+    monkeypatch.setattr(F, "explode", refuse)
+    assert K._random_rows(rows, 3, 6, 9).tolist() == expected
+    assert len(K._random_rows(rows.limit(0), 3, 6, 9)) == 0
