@@ -149,7 +149,8 @@ def _(b):
 )
 def _(b):
     agrees = F.col("predicted_prob").between(0, 1) & (F.col("predicted_class") == (F.col("predicted_prob") > 0.5).cast("int"))
-    return PM.campaign_predictions(b).select("customer_id", (F.col("responded") == 1).alias("responded"), agrees.alias("scored"))
+    written = cut_lineage(PM.campaign_predictions(b))
+    return written.select("customer_id", (F.col("responded") == 1).alias("responded"), agrees.alias("scored"))
 
 
 @query("ml23_labels_are_the_nearest_centres", "vectors", "SELECT vec_id, TRUE AS nearest FROM vectors")
