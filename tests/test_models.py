@@ -316,6 +316,37 @@ def test_dbscan_of_noise_only(spark):
     assert len(got) == 12 and not any(r["core"] or r["dbscan_cluster"] for r in got)
 
 
+def test_dbscan_compares_only_what_is_not_yet_known(spark, monkeypatch):
+    from bankspark.ml import dbscan as B
+
+    rng = np.random.default_rng(2)
+    # a crowd without surely near balls, chains that cross blocks, and rows on their own
+    x = np.concatenate([
+        rng.normal(size=(1200, 6)) * 0.5, np.arange(60)[:, None] * 0.2 + np.tile([20.0, 0, 0, 0, 0, 0], (60, 1)),
+        rng.uniform(-40, 40, size=(60, 6)),
+    ])
+    monkeypatch.setattr(B, "BLOCK", 100)
+    monkeypatch.setattr(B, "PROBES", 2)
+    met, compared = [], B.Blocks.compared
+
+    def spy(blocks, columns, work, out):
+        met.append((work.__name__, blocks.own.count(), blocks.met.count()))
+        return compared(blocks, columns, work, out)
+
+    monkeypatch.setattr(B.Blocks, "compared", spy)
+    columns = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns))
+    got = {r["id"]: r for r in dbscan(df, "id", columns, 1.2, 5, 8, 32).collect()}
+    core, label = brute_dbscan(x, 1.2, 5)
+    number = {v: k + 1 for k, v in enumerate(sorted(set(label[core])))}
+    assert [got[i]["core"] for i in range(len(x))] == list(core)
+    assert [got[i]["dbscan_cluster"] for i in range(len(x))] == [number.get(v, 0) for v in label]
+    assert [m[0] for m in met] == ["_weights", "_weights", "_together", "_touching", "_touching", "_lowest"]
+    first, last = met[0], met[1]
+    assert 0 < last[1] < first[1] / 2  # most rows know enough after a few blocks
+    assert met[4][1] < core.sum() / 2  # only rows outside the largest cluster look for others
+
+
 def test_metrics_of_nothing(spark):
     df = spark.createDataFrame([], "label INT, p DOUBLE")
     assert M.auc(df, "label", "p").first()["auc"] is None
