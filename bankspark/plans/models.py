@@ -24,7 +24,7 @@ from bankspark.sources.tables import VECTOR_SIZE
 from bankspark.operators.quantiles import exact_quantiles
 from bankspark.plans.campaign import INCOME_BRACKET_SQL, INCOME_EDGES_SQL
 from bankspark.plans.scalars import split_sql
-from bankspark.session import cut_lineage
+from bankspark.session import cut_lineage, spread
 
 _FITTED: dict[tuple, object] = {}
 
@@ -421,7 +421,8 @@ def fraud_predictions(b):
     rows = rows.withColumn("is_fraud", F.col("is_fraud").cast("int")).select(
         "transaction_id", "account_id", "is_fraud", *S.FRAUD_FEATURES
     )
-    rows = split_flag(rows, "transaction_id", 0.8, 42, ["is_fraud"], round_up=True).persist()
+    rows = split_flag(rows, "transaction_id", 0.8, 42, ["is_fraud"], round_up=True)
+    rows = spread(rows, b.transactions_ev.count(), "transaction_id", "account_id").persist()
     model = S.fit_forest_cross_validated(
         rows.filter("is_train"), S.FRAUD_FEATURES, "is_fraud", "transaction_id"
     )

@@ -32,7 +32,7 @@ from bankspark.operators import profile as P
 from bankspark.operators import reports as R
 from bankspark.operators.quantiles import exact_quantiles
 from bankspark.operators.sampling import split_flag
-from bankspark.session import configure, cut_lineage
+from bankspark.session import configure, cut_lineage, spread
 from bankspark.sources import files
 
 JOBS: dict[str, Callable[[Run], None]] = {}
@@ -308,7 +308,8 @@ def fraud_detection(run: Run) -> None:
     run.save("anomaly_scores", data.select("transaction_id", "account_id", "amount", *kept))
     files.append_run_log(data, f"{run.out}/run_log", f"{run.today} 00:00:00")
     labelled = fraud.with_alerts(data, run.table("fraud_alerts")).withColumn("is_fraud", F.col("is_fraud").cast("int"))
-    labelled = split_flag(labelled.select("transaction_id", "account_id", "is_fraud", *S.FRAUD_FEATURES), "transaction_id", 0.8, 42, ["is_fraud"], round_up=True).persist()
+    labelled = split_flag(labelled.select("transaction_id", "account_id", "is_fraud", *S.FRAUD_FEATURES), "transaction_id", 0.8, 42, ["is_fraud"], round_up=True)
+    labelled = spread(labelled, data.count(), "transaction_id", "account_id").persist()
     best = S.fit_forest_cross_validated(labelled.filter("is_train"), S.FRAUD_FEATURES, "is_fraud", "transaction_id")
     predicted = cut_lineage(S.predict(best, labelled.filter("NOT is_train"), S.FRAUD_FEATURES).withColumnsRenamed({"predicted_prob": "rf_prob", "predicted_class": "rf_pred"}))
     run.save("forest_predictions", predicted)

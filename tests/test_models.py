@@ -347,6 +347,16 @@ def test_dbscan_compares_only_what_is_not_yet_known(spark, monkeypatch):
     assert met[4][1] < core.sum() / 2  # only rows outside the largest cluster look for others
 
 
+def test_large_tables_are_spread_over_tasks_of_bounded_rows(spark):
+    from bankspark.session import spread
+
+    df = spark.range(1000).withColumn("k", F.col("id") % 10).groupBy("id", "k").count()
+    assert spread(df, 1000, "id", rows=1000) is df
+    dealt = spread(df, 1000, "id", rows=100)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert dealt.count() == 1000 and len(sizes) == 10 and max(r["count"] for r in sizes) < 200
+
+
 def test_metrics_of_nothing(spark):
     df = spark.createDataFrame([], "label INT, p DOUBLE")
     assert M.auc(df, "label", "p").first()["auc"] is None
