@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -156,19 +157,48 @@ def _start(n: int, seed: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _gradient(flat: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _gradient(flat: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """The gradient of the mean loss, and the sum of the rows' losses."""
     layers = _unpack(flat, x.shape[1])
     acts = [x]
     for i, (w, bias) in enumerate(layers):
         z = acts[-1] @ w + bias
         acts.append(z if i == len(layers) - 1 else np.tanh(z))
-    delta = 2 * (acts[-1] - x) / x.size
+    off = acts[-1] - x
+    loss = float((off**2).mean(axis=1).sum())
+    delta = 2 * off / x.size
     grads = []
     for i in range(len(layers) - 1, -1, -1):
         grads.append((acts[i].T @ delta, delta.sum(axis=0)))
         if i:
             delta = (delta @ layers[i][0].T) * (1 - acts[i] ** 2)
-    return np.concatenate([part for w, b in reversed(grads) for part in (w.ravel(), b)])
+    return np.concatenate([part for w, b in reversed(grads) for part in (w.ravel(), b)]), loss
+
+
+_BLOCK = 16_384  # rows that a gradient takes at a time
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """The rows of numbers as records ``x`` of many rows each, one row after the other."""
+
+    def pack(batches):
+        held, many = [], 0
+
+        def block():
+            flat = np.concatenate(held).ravel()
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(flat)], pa.array(flat))], names=["x"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+                many += batch.num_rows
+            if many >= _BLOCK:
+                yield block()
+                held, many = [], 0
+        if held:
+            yield block()
+
+    return rows.mapInArrow(pack, "x array<double>")
 
 
 def fit_autoencoder(
@@ -178,11 +208,11 @@ def fit_autoencoder(
 
     Each step sums the gradient over all rows and moves once (Adam), so the weights do not depend on
     how rows are dealt to partitions. Training ends after ``steps`` or when the loss has
-    settled. What moves is one small array per partition; the rows are read from a written copy.
+    settled. What moves is one small array per partition; the rows are read from a written copy, in blocks.
     Rows with a null are left out.
     """
     names, n = list(features), len(features)
-    rows = cut_lineage(scaled.select(*[F.col(f).cast("double").alias(f) for f in names]).dropna("any"))
+    rows = cut_lineage(_in_blocks(scaled.select(*[F.col(f).cast("double").alias(f) for f in names]).dropna("any")))
     weights = _start(n, seed)
     spark = scaled.sparkSession
     m, v, last = np.zeros_like(weights), np.zeros_like(weights), math.inf
@@ -190,21 +220,22 @@ def fit_autoencoder(
     def one_step(shared):
         def run(batches):
             total, loss, seen = np.zeros(len(shared.value)), 0.0, 0
-            for pdf in batches:
-                x = pdf.to_numpy(dtype=float)
-                if len(x):
-                    total += _gradient(shared.value, x) * len(x)
-                    loss += _loss(shared.value, x)
+            for batch in batches:
+                for block in batch.column(0):
+                    x = block.values.to_numpy(zero_copy_only=False).reshape(-1, n)
+                    gradient, lost = _gradient(shared.value, x)
+                    total += gradient * len(x)
+                    loss += lost
                     seen += len(x)
             if seen:
-                place = np.arange(len(total) + 2)
-                yield pd.DataFrame({"place": place, "total": np.concatenate([total, [loss, seen]])})
+                place = pa.array(np.arange(len(total) + 2, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([place, pa.array(np.concatenate([total, [loss, seen]]))], names=["place", "total"])
 
         return run
 
     for step in range(1, steps + 1):
         shared = spark.sparkContext.broadcast(weights)
-        sums = rows.mapInPandas(one_step(shared), "place INT, total DOUBLE").groupBy("place").agg(F.sum("total").alias("t"))
+        sums = rows.mapInArrow(one_step(shared), "place INT, total DOUBLE").groupBy("place").agg(F.sum("total").alias("t"))
         got = np.array([r["t"] for r in sorted(sums.collect(), key=lambda r: r["place"])])  # one number per weight
         shared.unpersist()
         if not len(got):
@@ -218,13 +249,6 @@ def fit_autoencoder(
     return weights
 
 
-def _loss(flat: np.ndarray, x: np.ndarray) -> float:
-    out, layers = x, _unpack(flat, x.shape[1])
-    for w, bias in layers[:-1]:
-        out = np.tanh(out @ w + bias)
-    return float(((out @ layers[-1][0] + layers[-1][1] - x) ** 2).mean(axis=1).sum())
-
-
 def reconstruction_error(
     weights: np.ndarray, scaled: DataFrame, features: Sequence[str], name: str = "ae_reconstruction_error"
 ) -> DataFrame:

@@ -347,6 +347,14 @@ def test_dbscan_compares_only_what_is_not_yet_known(spark, monkeypatch):
     assert met[4][1] < core.sum() / 2  # only rows outside the largest cluster look for others
 
 
+def test_autoencoder_reads_blocks_of_rows(spark):
+    df = spark.range(40_000).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    blocks = A._in_blocks(df.coalesce(1)).select(F.size("x").alias("n")).collect()
+    assert sum(r["n"] for r in blocks) == 80_000 and len(blocks) <= 3
+    whole = A._in_blocks(df.coalesce(1)).first()["x"]
+    assert whole[:6] == [0.0, 0.0, 1.0, 1.0, 2.0, 2.0]
+
+
 def test_large_tables_are_spread_over_tasks_of_bounded_rows(spark):
     from bankspark.session import spread
 
