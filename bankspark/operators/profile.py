@@ -77,14 +77,25 @@ def _as_text(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("string")
 
 
+COUNTED_ROWS = 100_000  # rows of a large table that a task counts at a time
+
+
 def value_histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, count) for all the columns at once; null is a value.
 
-    Values are told apart by their exact text; doubles are then shown with two decimals.
+    Values are told apart by their exact text; doubles are then shown with two decimals. A large table is
+    counted in parts of a bounded number of rows, and the counts are summed in tasks of a bounded number of values.
     """
     doubles = [c for c, t in df.dtypes if t == "double"]
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")) for c in columns])
-    counted = df.select(F.inline(pairs)).groupBy("column", "value").count()
+    tasks = df.count() // COUNTED_ROWS
+    if tasks < 10:
+        counted = df.select(F.inline(pairs)).groupBy("column", "value").count()
+    else:
+        part = F.pmod(F.xxhash64(*columns), F.lit(8 * tasks)).alias("_part")
+        dealt = df.select(*columns, part).repartition(tasks, "_part")
+        parts = dealt.select("_part", F.inline(pairs)).groupBy("_part", "column", "value").count()
+        counted = parts.repartition(tasks, "column", "value").groupBy("column", "value").agg(F.sum("count").alias("count"))
     shown = F.coalesce(F.col("value").try_cast("double").try_cast("decimal(18,2)").cast("string"), F.col("value"))
     return counted.withColumn("value", F.when(F.col("column").isin(doubles), shown).otherwise(F.col("value")))
 

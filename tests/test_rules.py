@@ -335,3 +335,18 @@ def test_customer_labels_are_encoded_whole(spark):
         C.levels_of(rows, "region", most=1)
     empty, names = C.encode_customers(rows.limit(0))
     assert empty.count() == 0 and not [n for n in names if n.startswith("region")]
+
+
+def test_values_of_a_large_table_are_counted_in_bounded_tasks(spark, monkeypatch):
+    from bankspark.operators import profile as P
+
+    df = spark.range(4000).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 9 > 0, F.col("id") % 3).cast("string").alias("s"),
+        F.when(F.col("id") % 4 > 0, (F.col("id") % 500) / 8).alias("v"),
+    )
+    df = df.unionAll(df.limit(300))
+    want = sorted(map(str, P.value_profile(df, "k", ["s", "v", "k"]).collect()))
+    monkeypatch.setattr(P, "COUNTED_ROWS", 100)
+    assert sorted(map(str, P.value_profile(df, "k", ["s", "v", "k"]).collect())) == want
+    tasks = P.value_histogram(df, ["k", "s", "v"]).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 43 and max(r["count"] for r in tasks) < 300
