@@ -10,7 +10,7 @@ from bankspark.session import fresh_path
 from bankspark.streaming import router
 
 
-STAGED_FILES = 9
+STAGED_FILES, STAGED_ROWS = 9, 250_000  # files at least, and rows of a file
 
 
 def _routed(b) -> str:
@@ -28,9 +28,10 @@ def _route(b) -> str:
         F.when(F.col("transaction_id") % 3 == 0, F.col("amount") / 100.0).alias("fraud_score"),
     )
     # dealt by a hash: a file has rows of all days, and repeats of rows of other files
+    files = 3 * max(STAGED_FILES // 3, -(-2 * live.count() // (3 * STAGED_ROWS)))
     twice = live.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    twice.repartition(STAGED_FILES, F.xxhash64("transaction_id", "copy")).drop("copy").write.parquet(incoming)
-    router.route_stream(b.spark, incoming, out, fresh_path(b.spark, "checkpoint"), files_per_batch=STAGED_FILES // 3)
+    twice.repartition(files, F.xxhash64("transaction_id", "copy")).drop("copy").write.parquet(incoming)
+    router.route_stream(b.spark, incoming, out, fresh_path(b.spark, "checkpoint"), files_per_batch=files // 3)
     return out
 
 

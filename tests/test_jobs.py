@@ -234,3 +234,18 @@ def test_shared_folder_is_required_off_one_machine(spark, monkeypatch):
     monkeypatch.setattr(session.SparkSession, "conf", property(lambda s: type("C", (), {"get": staticmethod(lambda k, d=None: d)})()), raising=False)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(spark)
+
+
+def test_staged_files_and_tasks_grow_with_the_stream(spark, monkeypatch, folder):
+    from bankspark.plans import streams
+    from bankspark.sources.tables import Bank
+
+    routed = []
+    monkeypatch.setattr(streams, "STAGED_ROWS", 100)
+    monkeypatch.setattr(streams.router, "route_stream", lambda spark, incoming, out, ck, files_per_batch: routed.append((incoming, files_per_batch)))
+    bank = Bank(spark, folder)
+    streams._route(bank)
+    incoming, per_batch = routed[0]
+    staged = spark.read.parquet(incoming)
+    rows = bank.transactions_ev.count()
+    assert staged.count() == 2 * rows and len(staged.inputFiles()) == 3 * -(-2 * rows // 300) and 3 * per_batch == len(staged.inputFiles())
