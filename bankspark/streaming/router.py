@@ -60,8 +60,6 @@ def route_stream(
     as ``spark.sql.shuffle.partitions`` says when the stream runs for the first time.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    # counting the ids would look up every id once more before it is written
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
     files = spark.readStream.schema(ddl("live_transactions")).option("maxFilesPerTrigger", files_per_batch)
 
     def write(batch: DataFrame, batch_id: int) -> None:
