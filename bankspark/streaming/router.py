@@ -49,6 +49,7 @@ def route_stream(
     model_version: str = "v1.0",
     score: Callable[[DataFrame], DataFrame] = rule_score,
     files_per_batch: int = 64,
+    count_ids: bool = True,
 ) -> None:
     """Read the folder of incoming Parquet files to its end and write the three tables.
 
@@ -57,9 +58,11 @@ def route_stream(
     the smallest in the order of columns) counts. A row without id is never a repeat. Each table is
     partitioned by the batch number and a batch overwrites only its own partition, so a batch that is
     run again after a failure leaves the same rows. State is kept by RocksDB, in as many partitions
-    as ``spark.sql.shuffle.partitions`` says when the stream runs for the first time.
+    as ``spark.sql.shuffle.partitions`` says when the stream runs for the first time. Without ``count_ids``
+    its progress does not tell how many ids the state holds, and no id is looked up once more to be counted.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", str(count_ids).lower())
     files = spark.readStream.schema(ddl("live_transactions")).option("maxFilesPerTrigger", files_per_batch)
 
     def write(batch: DataFrame, batch_id: int) -> None:

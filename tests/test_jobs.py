@@ -242,7 +242,7 @@ def test_staged_files_and_tasks_grow_with_the_stream(spark, monkeypatch, folder)
 
     routed = []
     monkeypatch.setattr(streams, "STAGED_ROWS", 100)
-    monkeypatch.setattr(streams.router, "route_stream", lambda spark, incoming, out, ck, files_per_batch: routed.append((incoming, files_per_batch)))
+    monkeypatch.setattr(streams.router, "route_stream", lambda spark, incoming, out, ck, files_per_batch, count_ids: routed.append((incoming, files_per_batch)))
     bank = Bank(spark, folder)
     streams._route(bank)
     incoming, per_batch = routed[0]
