@@ -24,7 +24,7 @@ from bankspark.sources.tables import VECTOR_SIZE
 from bankspark.operators.quantiles import exact_quantiles
 from bankspark.plans.campaign import INCOME_BRACKET_SQL, INCOME_EDGES_SQL
 from bankspark.plans.scalars import split_sql
-from bankspark.session import cut_lineage, spread
+from bankspark.session import cut_lineage, fewer_tasks, spread
 
 _FITTED: dict[tuple, object] = {}
 
@@ -62,6 +62,7 @@ def loan_split(b):
         data = loan_default_data(b.loans, b.customers, b.credit_scores)
         data = S.model_matrix(data).withColumn("row_id", F.xxhash64("loan_id", "score_id"))
         rows = split_flag(data, "row_id", 0.8, 123).persist()
+        rows = fewer_tasks(rows, rows.count())
         return rows.filter("is_train").drop("is_train"), rows.filter("NOT is_train").drop("is_train")
 
     return once(b, "loan split", make)
@@ -233,7 +234,8 @@ def _compare(scored, label):
     for name, df in scored.items():
         part = df.select(F.lit(name).alias("model"), F.col(label).alias("label"), "predicted_prob")
         long = part if long is None else long.unionByName(part)
-    return M.compare_models(long, "model", "label", "predicted_prob")
+    # rates and AUC both read the scores; the models run over the rows once
+    return M.compare_models(cut_lineage(long), "model", "label", "predicted_prob")
 
 
 # --- campaign response ---------------------------------------------------------------------------

@@ -162,3 +162,61 @@ def test_rows_are_held_in_blocks(fitted):
     blocks = G._binned(df, FEATURES, "label", cuts, 16).collect()
     assert sum(b["n"] for b in blocks) == len(rows) and len(blocks) <= 5  # a record a partition here, not a row
     assert all(len(b["x"]) == 3 * b["n"] and len(b["y"]) == len(b["margin"]) == 8 * b["n"] for b in blocks)
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rows_that_one_task_holds_need_no_job_for_each_level(fitted, spark):
+    _, df, model = fitted
+    again, jobs = jobs_of(spark, "one task", lambda: G.fit_boosted(df, FEATURES, "label", rounds=12, depth=3, bins=16))
+    assert [nested(t) for t in again.trees] == [nested(t) for t in model.trees]
+    assert jobs <= 12  # 36 levels
+
+
+def test_many_tasks_give_the_trees_of_one(fitted, monkeypatch):
+    _, df, model = fitted
+    monkeypatch.setattr(G, "_ONE_TASK", 0)
+    monkeypatch.setattr(G, "_ROWS_PER_TASK", 60)
+    for sent in (G._SENT, 1):  # sums of each task, or of all tasks in one
+        monkeypatch.setattr(G, "_SENT", sent)
+        again = G.fit_boosted(df, FEATURES, "label", rounds=12, depth=3, bins=16)
+        assert [nested(t) for t in again.trees] == [nested(t) for t in model.trees]
+
+
+def test_equal_rows_are_kept_once_with_their_number(spark, monkeypatch):
+    monkeypatch.setattr(G, "_MOST_WEIGHT", 4)
+    rows = [r for i, r in enumerate(made_rows(60)) for _ in range(1 + i % 11)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    cuts = G.quantile_cuts(df, FEATURES, 16)
+    layout = G._Layout.of(cuts, 16)
+    blocks = G._distinct(G._binned(df, FEATURES, "label", cuts, 16), 3, layout).collect()
+    weights = np.concatenate([np.frombuffer(b["w"]) for b in blocks])
+    assert weights.sum() == len(rows) and weights.max() == 4 and len(weights) < len(rows) / 2
+    model = G.fit_boosted(df, FEATURES, "label", rounds=4, depth=3, bins=16)
+    assert [nested(t) for t in model.trees] == plain_fit(rows, cuts, 4, 3)[0]
+
+
+def test_features_of_few_bins_share_a_column():
+    rng = np.random.default_rng(5)
+    cuts = [np.arange(c) + 0.5 for c in (1, 255, 1, 3, 0, 1, 1, 2)]
+    layout = G._Layout.of(cuts, 256)
+    bins = np.array([rng.integers(0, len(c) + 2, 500) for c in cuts])
+    missing = bins == np.array(layout.radix)[:, None] - 1
+    bins[missing] = 256
+    x = layout.packed(bins)
+    assert len(x) == 3 and x.max() <= 256
+    tree = G.Tree()
+    tree.add_leaf(0.0, 0.0)
+    y, w, margin = rng.integers(0, 2, 500).astype(float), rng.integers(1, 4, 500).astype(float), rng.normal(size=500)
+    sums = layout.sums(G._sums(iter([(x, y, w, margin)]), layout, tree, [0]))
+    for f in range(len(cuts)):
+        for k, d in enumerate(G.derivatives(margin, y)):
+            assert (sums[0, f, :, k] == np.bincount(bins[f], d * w, 257)).all()
+        digit = layout.digits(x, f, slice(None))
+        assert (digit == np.where(missing[f], layout.radix[f] - 1, bins[f])).all()

@@ -453,3 +453,33 @@ def test_random_rows_do_not_multiply_the_table(spark, monkeypatch):
     monkeypatch.setattr(F, "explode", refuse)
     assert K._random_rows(rows, 3, 6, 9).tolist() == expected
     assert len(K._random_rows(rows.limit(0), 3, 6, 9)) == 0
+
+
+def test_models_are_compared_with_one_scoring(spark):
+    from bankspark.plans.models import _compare
+
+    scored_rows = spark.sparkContext.accumulator(0)
+
+    def count(label):
+        scored_rows.add(1)
+        return 0.25 + 0.5 * label
+
+    prob = F.udf(count, "double").asNondeterministic()
+    df = spark.range(300).select((F.col("id") % 2).alias("label")).withColumn("predicted_prob", prob("label"))
+    found = {r["model"]: r for r in _compare({"a": df, "b": df}, "label").collect()}
+    assert scored_rows.value == 600 and sorted(found) == ["a", "b"]
+    assert all(r["accuracy"] == r["auc"] == 1 for r in found.values())
+
+
+def test_few_rows_are_not_left_in_many_partitions(spark):
+    from bankspark.session import fewer_tasks
+
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(0, 1000, 1, 8 * cores).persist()
+    few = fewer_tasks(df, 1000)
+    assert few.rdd.getNumPartitions() == 2 * cores and few.count() == 1000
+    assert fewer_tasks(df, 1000, 1000 // (3 * cores)).rdd.getNumPartitions() >= 3 * cores
+    small = spark.range(0, 1000, 1, 2).persist()
+    assert fewer_tasks(small, 1000).rdd.getNumPartitions() == 2
+    df.unpersist()
+    small.unpersist()
