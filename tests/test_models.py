@@ -483,3 +483,24 @@ def test_few_rows_are_not_left_in_many_partitions(spark):
     assert fewer_tasks(small, 1000).rdd.getNumPartitions() == 2
     df.unpersist()
     small.unpersist()
+
+
+def test_campaign_rows_are_spread_after_the_split(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from bankspark.plans import models as P
+    from bankspark.session import spread
+
+    asked = spark.range(4000).select(
+        F.col("id").alias("response_id"), (F.col("id") % 50).alias("customer_id"), (F.col("id") % 3 == 0).alias("responded")
+    )
+    named = [F.concat(F.lit(c), F.col("id") % 3).alias(c) for c in P._CATEGORICAL]
+    customers = spark.range(49).select(F.col("id").alias("customer_id"), F.col("id").alias("age"), (F.col("id") * 10.0).alias("income"), *named)
+    b = SimpleNamespace(spark=spark, folder=str(tmp_path), campaign_responses=asked, customers=customers)
+    monkeypatch.setattr(P, "spread", lambda df, total, *columns: spread(df, total, *columns, rows=400))
+    P.forget()
+    kept = P.kept_campaign_rows(b)
+    sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 600 and sum(sizes) == 49 * 80  # not two partitions, one per answer
+    assert kept.exceptAll(P.campaign_rows(b)).isEmpty() and P.campaign_rows(b).exceptAll(kept).isEmpty()
+    P.forget()
