@@ -504,3 +504,15 @@ def test_campaign_rows_are_spread_after_the_split(spark, tmp_path, monkeypatch):
     assert len(sizes) == 10 and max(sizes) < 600 and sum(sizes) == 49 * 80  # not two partitions, one per answer
     assert kept.exceptAll(P.campaign_rows(b)).isEmpty() and P.campaign_rows(b).exceptAll(kept).isEmpty()
     P.forget()
+
+
+def test_density_clusters_broadcast_no_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, *map(float, v)) for i, v in enumerate(np.concatenate([rng.normal(size=(150, 2)) * 0.2, rng.uniform(-4, 4, (50, 2))]))]
+    df = spark.createDataFrame(rows, "id BIGINT, a DOUBLE, b DOUBLE").persist()
+    found = dbscan(df, "id", ["a", "b"], 0.3, 5)
+    assert len(found.collect()) == 200
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    by_key = [line for line in plan if "Join" in line and ("[pid#" in line or "array" in line or "[x#" in line or "knownfloatingpoint" in line)]
+    assert by_key and not [line for line in by_key if "Broadcast" in line]
+    df.unpersist()
